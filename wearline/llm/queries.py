@@ -5,19 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import near, quality
+from wearline.llm import mixing, near, pieces, quality, secrets, vectors
 from wearline.llm.session import table
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("value_hash", F.sha2("value", 256)).drop("value")
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op7_pca_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def piece_model() -> str:
+    """The public BPE model's file; another path may be given to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, piece_model(), verify="round_trip").drop("text")
+
+
 def op10_ngram_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_pfair_mix": op3_pfair_mix,
+    "op4_secret_scan": op4_secret_scan,
     "op5_line_quality": op5_line_quality,
+    "op7_pca_tiled_cosine": op7_pca_tiled_cosine,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard_groups": op10_ngram_jaccard_groups,
 }
