@@ -40,6 +40,10 @@ from wearline.llm.session import cut
 
 BITS = 512
 CHUNK = 128
+#: What verifying a pair costs, in postings.
+VERIFY_COST = 8
+#: Up to so many ids (16 MB) are broadcast to pick their rows out of the texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -83,12 +87,10 @@ def _facts(df: DataFrame, k: int, frequent: float) -> DataFrame:
                     parity = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1
                     maps.append(np.packbits(parity.astype(np.uint8)).tobytes())
                 ids = batch.column(0).slice(low, len(sets))
-                zero = pa.array(np.zeros(len(sets), np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(sets), np.int8)), ids, pa.array(n), pa.array(_signed(d1)), pa.array(_signed(d2)), pa.array(maps, pa.binary())],
                     ["kind", "doc_id", "n", "d1", "d2", "bits"],
                 )
-                del zero
                 every.append(np.concatenate([np.zeros(0, np.uint64), *sets]))
             shingles = np.sort(np.concatenate([np.zeros(0, np.uint64), *every]))
             at = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, np.int64)
@@ -110,12 +112,12 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def boundary(sizes: list[tuple[int, int]], list_length: float, percent: int) -> int:
-    """The largest set size for which 2-subsets cost no more than scanning lists of ``list_length``."""
+def boundary(sizes: list[tuple[int, int]], scan: float, percent: int) -> int:
+    """The set size up to which 2-subsets cost least, a posting costing 1 and scanning it in its list ``scan``."""
     best, cost, least = 1, 0.0, 0.0
     for n, count in sorted(sizes):
         p = n - needed(n, percent)
-        cost += count * ((p + 2) * (p + 1) / 2 - (p + 1) * (1 + list_length))
+        cost += count * ((p + 2) * (p + 1) / 2 - (p + 1) * (1 + scan))
         if cost < least:
             best, least = n, cost
     return best
@@ -186,8 +188,11 @@ def _by_bitmap(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.where(_may_link("na", "nb", percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that do link, by the whole sets."""
+def _verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that do link, by the whole sets; ``pairs`` is a written table."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    small = pairs.count() * 2 <= BROADCAST_IDS
+    sets = cut(_sets(source.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b"
     )
@@ -204,7 +209,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_groups(
@@ -231,8 +236,9 @@ def near_groups(
     rank = np.empty(len(keys), np.int64)
     rank[np.lexsort((keys, found[:, 1]))] = np.arange(len(keys))
     sizes = [(int(n), int(c)) for n, c in reps.groupBy(F.least("n", F.lit(1000))).count().collect()]
-    list_length = 1 + float((found[:, 1].astype(float) ** 2).sum()) / max(1, shingles or 0)
-    light = boundary(sizes, list_length, percent)
+    # An entry of a list meets one pivot; a share of them, about that of frequent shingles, is then verified.
+    scan = 1 + VERIFY_COST * float(found[:, 1].sum()) / max(1, shingles or 0)
+    light = boundary(sizes, scan, percent)
 
     postings = _postings(source.where("doc_id is not null"), k, percent, (keys[by], rank[by]), light)
     token = Window.partitionBy("token")
@@ -247,8 +253,7 @@ def near_groups(
         .groupBy("doc").agg(F.max_by("pivot", F.struct(F.col("count"), -F.col("pivot"))).alias("pivot"))
     )
     first = cut(_by_bitmap(best.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), reps, percent))
-    sets = cut(_sets(source.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)).dropDuplicates(["doc_id"])
-    links = cut(_verify(first, sets, percent))
+    links = cut(_verify(first, source, k, percent))
     groups = components(links)
     labelled = shared.join(groups.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     chunk = F.floor((F.row_number().over(Window.partitionBy("token", "component").orderBy("doc")) - 1) / CHUNK)
@@ -266,7 +271,7 @@ def near_groups(
         )).alias("r"))
         .select("r.a", "r.b").distinct()
     )
-    second = _verify(_by_bitmap(across, reps, percent), sets, percent)
+    second = _verify(cut(_by_bitmap(across, reps, percent)), source, k, percent)
     every = links.union(second).union(same)
     labels = components(every)
     return (
