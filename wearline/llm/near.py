@@ -188,16 +188,45 @@ def _by_bitmap(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.where(_may_link("na", "nb", percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A bitmap of four bits or more per member, the parity of the members of each place."""
+    width = 1 << max(9, int(4 * len(s) - 1).bit_length())
+    place = (s >> np.uint64(64 - (width.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, by their bitmaps; the wider is folded."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) > len(q):
+        p, q = q, p
+    if len(q) > len(p):
+        # Places are leading bits, so the places that meet in one place of the narrower map are neighbours.
+        bits = np.unpackbits(q).reshape(len(p) * 8, -1)
+        q = np.packbits(np.bitwise_xor.reduce(bits, axis=1))
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that do link, by the whole sets; ``pairs`` is a written table."""
+    """The pairs that do link, by wide bitmaps and then the whole sets; ``pairs`` is a written table."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     small = pairs.count() * 2 <= BROADCAST_IDS
     sets = cut(_sets(source.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b"
-    )
+    kind = pairs.schema["a"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        left = sets.select(F.col("doc_id").alias("a"), F.col(column).alias("x"), F.size("s").alias("n"))
+        right = sets.select(F.col("doc_id").alias("b"), F.col(column).alias("y"), F.size("s").alias("m"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
+
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            total = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+            differ = np.array([_differ(x[i].as_py(), y[i].as_py()) for i in range(len(batch))], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(differ * (100 + percent) <= total * (100 - percent)))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             x, y = batch.column(2), batch.column(3)
@@ -208,8 +237,8 @@ def _verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFr
                 keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    left = cut(both(pairs, "parity").mapInArrow(able, f"a {kind}, b {kind}").distinct())
+    return both(left, "s").mapInArrow(exact, f"a {kind}, b {kind}").distinct()
 
 
 def near_groups(
@@ -286,9 +315,10 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
             for low, sets in shingle_sets(batch.column(1), k):
                 ends = np.cumsum([0, *map(len, sets)])
                 values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_signed(np.concatenate(sets))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(sets)), values], ["doc_id", "s"])
+                maps = pa.array([_parity(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(sets)), values, maps], ["doc_id", "s", "parity"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema[0].dataType.simpleString()}, s array<long>")
+    return df.mapInArrow(run, f"doc_id {df.schema[0].dataType.simpleString()}, s array<long>, parity binary")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

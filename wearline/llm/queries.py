@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import mixing, near, pieces, quality, secrets, vectors
+from wearline.llm import mixing, near, pieces, quality, secrets, suffix_tree, vectors
 from wearline.llm.session import table
 
 
@@ -26,6 +26,10 @@ def op7_pca_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 def piece_model() -> str:
     """The public BPE model's file; another path may be given to the operator."""
     import public_tokenizers
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_line_quality": op5_line_quality,
     "op7_pca_tiled_cosine": op7_pca_tiled_cosine,
+    "op8_suffix_tree_scores": op8_suffix_tree_scores,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard_groups": op10_ngram_jaccard_groups,
 }
