@@ -4,8 +4,8 @@ A batch's texts are cut into units that no merge can cross (a run of spaces with
 to the next space; line breaks and tabs alone, as long as no piece holds them), and each distinct
 unit is kept once.  Then
 
-1. all suffixes of the concatenated units are sorted (by their first 16 bytes; longer pieces are
-   compared in full after that),
+1. all suffixes of the concatenated units are sorted (by their first eight bytes; the rest of longer
+   pieces is compared after that),
 2. each piece's occurrences are a range of the suffix array, found by binary search for all pieces
    at once,
 3. the occurrences become edges (position, length, piece), sorted by position,
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from wearline.llm import textblocks as tb
 
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 LONG_UNIT = 64
 BARRIERS = (0x0A, 0x0D, 0x09)
 
@@ -50,10 +50,6 @@ class Pieces:
     surface: list[bytes]
     barriers: tuple[int, ...] = field(default=())
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.texts), default=1)
-
 
 def load(path: str) -> Pieces:
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -86,48 +82,35 @@ def load(path: str) -> Pieces:
     return Pieces(texts, np.array(ids, np.int32), rank.astype(np.int64), byte_ids, surface, tuple(b for b in BARRIERS if b not in used))
 
 
-def _keys(data: np.ndarray, at: int) -> np.ndarray:
-    out = np.zeros(len(data) - 16, np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | data[at + j : at + j + len(out)].astype(np.uint64)
-    return out
-
-
-def _bisect(k1: np.ndarray, k2: np.ndarray, a: np.ndarray, b: np.ndarray, right: bool) -> np.ndarray:
-    """For each (a, b) the place in the pairs (k1, k2), which are sorted."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), len(k1), np.int64)
-    while (open_ := low < high).any():
-        mid = (low + high) // 2
-        m = np.minimum(mid, len(k1) - 1)
-        less = (k1[m] < a) | ((k1[m] == a) & ((k2[m] <= b) if right else (k2[m] < b)))
-        low = np.where(open_ & less, mid + 1, low)
-        high = np.where(open_ & ~less, mid, high)
-    return low
-
-
 def edges(text: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """All occurrences of pieces in ``text``: position * 2^16 + length in ascending order, and the piece's index."""
-    padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    k1, k2 = _keys(padded, 0), _keys(padded, 8)
-    order = np.lexsort((k2, k1))
-    k1, k2 = k1[order], k2[order]
     lengths = np.array([len(t) for t in pieces.texts], np.int64)
-    table = np.zeros((2, len(lengths), 16), np.uint8)
-    table[1] = 255
+    width = max(8, int(lengths.max(initial=1)))
+    table = np.zeros((len(lengths), width), np.uint8)
     for i, t in enumerate(pieces.texts):
-        table[:, i, : min(16, len(t))] = np.frombuffer(t[:16], np.uint8)
-    wide = table.reshape(2, -1, 2, 8).view(">u8")[..., 0].astype(np.uint64)
-    first = _bisect(k1, k2, wide[0, :, 0], wide[0, :, 1], right=False)
-    count = _bisect(k1, k2, wide[1, :, 0], wide[1, :, 1], right=True) - first
+        table[i, : len(t)] = np.frombuffer(t, np.uint8)
+    low = table[:, :8].copy()
+    high = np.where(np.arange(8) < lengths[:, None], low, 255).astype(np.uint8)
+    padded = np.concatenate([text, np.zeros(width, np.uint8)])
+    suffix = np.zeros(len(text), np.uint64)
+    for j in range(8):
+        suffix = (suffix << np.uint64(8)) | padded[j : j + len(text)]
+    order = np.argsort(suffix)
+    suffix = suffix[order]
+    first = np.searchsorted(suffix, low.view(">u8")[:, 0].astype(np.uint64), side="left")
+    count = np.searchsorted(suffix, high.view(">u8")[:, 0].astype(np.uint64), side="right") - first
     piece = np.repeat(np.arange(len(lengths)), count)
     where = order[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(piece))]
-    good = np.ones(len(piece), bool)
-    for k in np.flatnonzero(lengths[piece] > 16):
-        t = pieces.texts[piece[k]]
-        good[k] = padded[where[k] : where[k] + len(t)].tobytes() == t
-    key = where[good] * 65536 + lengths[piece[good]]
+    more = np.flatnonzero(lengths[piece] > 8)
+    good = np.ones(len(more), bool)
+    for j in range(8, width):
+        good &= (lengths[piece[more]] <= j) | (padded[where[more] + j] == table[piece[more], j])
+    keep = np.ones(len(piece), bool)
+    keep[more] = good
+    piece, where = piece[keep], where[keep]
+    key = where * 65536 + lengths[piece]
     by = np.argsort(key)
-    return key[by], piece[good][by]
+    return key[by], piece[by]
 
 
 def _find(keys: np.ndarray, value: np.ndarray, start: np.ndarray, length: np.ndarray, none: int) -> np.ndarray:

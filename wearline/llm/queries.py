@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import mixing, near, pieces, quality, secrets, suffix_tree, vectors
+from wearline.llm import mixing, near, pieces, quality, secrets, suffix_tree, toxicity, vectors
 from wearline.llm.session import table
 
 
@@ -22,6 +22,10 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op6_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pca_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_pfair_mix": op3_pfair_mix,
     "op4_secret_scan": op4_secret_scan,
     "op5_line_quality": op5_line_quality,
+    "op6_nearest_toxicity": op6_nearest_toxicity,
     "op7_pca_tiled_cosine": op7_pca_tiled_cosine,
     "op8_suffix_tree_scores": op8_suffix_tree_scores,
     "op9_sentencepiece": op9_sentencepiece,
