@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import mixing, near, pieces, quality, secrets, suffix_tree, toxicity, vectors
+from wearline.llm import mixing, near, passages, pieces, quality, secrets, suffix_tree, toxicity, vectors, wrappers
 from wearline.llm.session import table
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op2_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ def op10_ngram_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeated_passages": op1_repeated_passages,
+    "op2_page_wrappers": op2_page_wrappers,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_secret_scan": op4_secret_scan,
     "op5_line_quality": op5_line_quality,
