@@ -169,11 +169,6 @@ def _postings(df: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.n
     return df.mapInArrow(run, f"token long, doc {df.schema[0].dataType.simpleString()}, n int")
 
 
-def _may_link(n: str, m: str, percent: int):
-    """Sizes that allow a link: the smaller is at least ``percent`` of the larger."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
 def _by_bitmap(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Drops pairs whose bitmaps differ in more places than a link's symmetric difference allows."""
     left = docs.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("na"))
@@ -185,7 +180,35 @@ def _by_bitmap(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ]
     differ = sum(words[1:], words[0])
     # |A ^ B| = |A| + |B| - 2 overlap, and overlap >= percent / (100 + percent) * (|A| + |B|)
-    return both.where(_may_link("na", "nb", percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
+    return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
+
+
+def _across(percent: int):
+    """Pairs of a list's blocks (x with y, or within x) from different groups whose sizes and bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(0).type.value_type.field("doc").type
+            left, right = [], []
+            for i in range(len(batch)):
+                sides = []
+                for column in (batch.column(0), batch.column(1)):
+                    block = column[i].values
+                    if block is not None:
+                        bits = np.frombuffer(b"".join(block.field("bits").to_pylist()), np.uint64).reshape(len(block), -1)
+                        sides.append((block.field("doc").to_numpy(zero_copy_only=False), block.field("component").to_numpy(zero_copy_only=False), block.field("n").to_numpy().astype(np.int64), bits))
+                (d1, c1, n1, b1), (d2, c2, n2, b2) = sides[0], sides[-1]
+                small, large = np.minimum(n1[:, None], n2[None, :]), np.maximum(n1[:, None], n2[None, :])
+                p, q = np.nonzero((c1[:, None] != c2[None, :]) & (100 * small >= percent * large))
+                if len(sides) == 1:
+                    p, q = p[p < q], q[p < q]
+                differ = np.bitwise_count(b1[p] ^ b2[q]).sum(axis=1, dtype=np.int64)
+                good = differ * (100 + percent) <= (n1[p] + n2[q]) * (100 - percent)
+                left.append(np.minimum(d1[p[good]], d2[q[good]]))
+                right.append(np.maximum(d1[p[good]], d2[q[good]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), kind), pa.array(np.concatenate(right), kind)], ["a", "b"])
+
+    return run
 
 
 def _parity(s: np.ndarray) -> bytes:
@@ -242,10 +265,11 @@ def _verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFr
 
 
 def near_groups(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, frequent: float = 1e-4
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, k: int = 5, percent: int = 80, frequent: float = 5e-5
 ) -> DataFrame:
     """(key, n_shingles, component_id) for every row: the size of its set and the smallest key it reaches by links."""
     source = df.select(df[key].alias("doc_id"), df[text].alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
     facts = cut(_facts(source, k, frequent))
     docs = facts.where("kind = 0").select("doc_id", "n", "d1", "d2", "bits")
     known = docs.where("n > 0 and doc_id is not null")
@@ -285,22 +309,17 @@ def near_groups(
     links = cut(_verify(first, source, k, percent))
     groups = components(links)
     labelled = shared.join(groups.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    chunk = F.floor((F.row_number().over(Window.partitionBy("token", "component").orderBy("doc")) - 1) / CHUNK)
     mixed = (
         labelled.withColumn("lowest", F.min("component").over(token)).withColumn("highest", F.max("component").over(token))
-        .where("lowest < highest").withColumn("chunk", chunk)
-        .groupBy("token", "component", "chunk").agg(F.collect_list(F.struct("doc", "n")).alias("members"))
-    )
-    other = mixed.select("token", F.col("component").alias("component2"), F.col("members").alias("members2"))
-    across = (
-        mixed.join(other, "token").where("component < component2")
-        .select(F.explode(F.expr(
-            "filter(flatten(transform(members, p -> transform(members2, q -> named_struct('a', p.doc, 'na', p.n, 'b', q.doc, 'nb', q.n)))), "
-            f"r -> least(r.na, r.nb) * 100 >= greatest(r.na, r.nb) * {percent})"
-        )).alias("r"))
-        .select("r.a", "r.b").distinct()
+        .where("lowest < highest").select("token", "doc", "component")
+        .join(reps.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
     )
-    second = _verify(cut(_by_bitmap(across, reps, percent)), source, k, percent)
+    chunk = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("component", "doc")) - 1) / CHUNK)
+    blocks = mixed.withColumn("chunk", chunk).groupBy("token", "chunk").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("x"))
+    others = blocks.select("token", F.col("chunk").alias("chunk2"), F.col("x").alias("y"))
+    facing = blocks.join(others, "token").where("chunk <= chunk2").select("x", F.when(F.col("chunk") < F.col("chunk2"), F.col("y")).alias("y"))
+    across = facing.mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct()
+    second = _verify(cut(across), source, k, percent)
     every = links.union(second).union(same)
     labels = components(every)
     return (
