@@ -212,8 +212,8 @@ def _across(percent: int):
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """A bitmap of four bits or more per member, the parity of the members of each place."""
-    width = 1 << max(9, int(4 * len(s) - 1).bit_length())
+    """A bitmap of one to two bits per member (512 at least), the parity of the members of each place."""
+    width = 1 << max(9, int(len(s) - 1).bit_length())
     place = (s >> np.uint64(64 - (width.bit_length() - 1))).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
 
@@ -232,12 +232,15 @@ def _differ(x: bytes, y: bytes) -> int:
 
 def _verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that do link, by wide bitmaps and then the whole sets; ``pairs`` is a written table."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    small = pairs.count() * 2 <= BROADCAST_IDS
-    sets = cut(_sets(source.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), k))
+
+    def of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        return rows.join(F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+    every = cut(_sets(of(source, pairs), k))
     kind = pairs.schema["a"].dataType.simpleString()
 
-    def both(pairs: DataFrame, column: str) -> DataFrame:
+    def both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("a"), F.col(column).alias("x"), F.size("s").alias("n"))
         right = sets.select(F.col("doc_id").alias("b"), F.col(column).alias("y"), F.size("s").alias("m"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
@@ -260,8 +263,8 @@ def _verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFr
                 keep[i] = 100 * common >= percent * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    left = cut(both(pairs, "parity").mapInArrow(able, f"a {kind}, b {kind}").distinct())
-    return both(left, "s").mapInArrow(exact, f"a {kind}, b {kind}").distinct()
+    left = cut(both(pairs, every, "parity").mapInArrow(able, f"a {kind}, b {kind}").distinct())
+    return both(left, of(every, left), "s").mapInArrow(exact, f"a {kind}, b {kind}").distinct()
 
 
 def near_groups(
