@@ -99,7 +99,7 @@ def _counts(df: DataFrame, depth: int, modulus: int, remainder: int) -> DataFram
                     held[kind][0].append(key)
                     held[kind][1].append(count)
                     waiting += len(key)
-                if waiting > 4_000_000:
+                if waiting > 1_500_000:
                     for kind in (0, 1):
                         key, count = _merge(*held[kind])
                         held[kind] = ([key], [count])
