@@ -44,4 +44,14 @@ SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id
 FROM documents JOIN reach ON id = doc_id LEFT JOIN size USING (doc_id) GROUP BY doc_id
 """
 
-ORACLES = {"op5_line_quality": OP5, "op10_ngram_jaccard_groups": OP10}
+OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.id),
+low AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN low ON id = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+ORACLES = {"op5_line_quality": OP5, "op7_pca_tiled_cosine": OP7, "op10_ngram_jaccard_groups": OP10}
