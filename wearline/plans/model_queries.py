@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from wearline.operators.metrics import metrics_by_sets
 from wearline.operators.supervised import supervised
 from wearline.plans import models
 from wearline.plans.catalog import query
+from wearline.plans.oracle_views import HIST
+from wearline.sources import tables
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -24,14 +30,36 @@ FULL = models.FEATURE_MIXTURES["current_static_lag_lifecycle_material"]
 
 @query("ml_01_rsh_09_feature_mixtures")
 def _(s, d):
-    columns = fx.training(s, d).columns
-    return reshape.feature_lists(s, {k: [f for f in v if f in columns] for k, v in models.FEATURE_MIXTURES.items()})
+    """Each mixture's features and the training rows that have all of them."""
+    train, _, _ = _split(s, d)
+    own = {k: [f for f in v if f in train.columns] for k, v in models.FEATURE_MIXTURES.items()}
+    full = train.agg(*(F.count_if(reduce(lambda x, y: x & y, (F.col(f).isNotNull() for f in v))).alias(k) for k, v in own.items()))
+    return reshape.feature_lists(s, own).join(F.broadcast(audit.tall(full, list(own), "feature_mixture", "complete_rows")), "feature_mixture")
 
 
 @query("flt_11_feature_guard")
 def _(s, d):
-    bad = models.violations(fx.training(s, d).columns, [*models.FEATURE_MIXTURES["current"], "target_next_URA", "Nopeus"])
-    return s.createDataFrame(bad, "feature string, fault string")
+    """Faulty features of a list, with the rows in which they have a value."""
+    table = fx.training(s, d)
+    bad = models.violations(table.columns, [*models.FEATURE_MIXTURES["current"], "target_next_URA", "Nopeus"])
+    present = [f for f, _ in bad if f in table.columns]
+    counts = audit.tall(table.agg(*(F.count(f).alias(f) for f in present)), present, "feature", "rows")
+    return s.createDataFrame(bad, "feature string, fault string").join(F.broadcast(counts), "feature", "left")
+
+
+@query("ml_13_14_16_23_tuning")
+def _(s, d):
+    """Two stages of ridge penalties on delta targets, the best of each, and its refit's errors on the test rows."""
+    train, valid, test = _split(s, d)
+    mixtures = {"current_static_lag_lifecycle_material": FULL}
+    stages, best = {}, 1.0
+    for name, factors in (("coarse", (0.01, 1.0, 100.0)), ("focused", (0.5, 1.0, 2.0))):
+        grids = {f"ridge_{best * f:g}": models.ridge(train, "target_next_URA", best * f) for f in factors}
+        stages[name] = models.grid(train, valid, mixtures, "target_next_URA", grids, ("delta",)).drop("fit_seconds")
+        best = float(models.chosen(stages[name]).first()["model"].split("_")[1])
+    fitted = models.fit(train.unionByName(valid), FULL, "target_next_URA", models.ridge(train, "target_next_URA", best), target_type="delta")
+    tested = models.evaluated(fitted, test).select(F.col("rmse").alias("test_rmse"), F.col("r2").alias("test_r2"))
+    return models.progression(stages).select("stage", "stage_no", "model", "rmse", "r2").join(F.broadcast(tested))
 
 
 @query("ml_02_04_flt_10_fitted_fills")
@@ -88,3 +116,22 @@ def _(s, d):
 def _(s, d):
     train, valid, _ = _split(s, d)
     return models.encoding(models.fit(train, FULL, "target_next_URA", models.estimators(train, "target_next_URA")["linear"]), valid)
+
+
+@query("snk_01_02_layout_by_asset", f"WITH {HIST} SELECT event_type, count(*) AS n, count(DISTINCT Segment_ID) AS assets FROM hist GROUP BY event_type")
+def _(s, d):
+    """The history written by asset and read again."""
+    folder = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-layout-')}/layout-{uuid.uuid4().hex}"
+    tables.write_by_asset(fx.history(s, d), folder, buckets=16)
+    return s.read.parquet(folder).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("Segment_ID").alias("assets"))
+
+
+@query("snk_05_06_saved_model_scores")
+def _(s, d):
+    """A model saved, loaded and applied to the test rows at one horizon."""
+    train, _, test = _split(s, d)
+    fitted = models.fit(train, models.FEATURE_MIXTURES["current"], "target_next_URA", models.estimators(train, "target_next_URA")["linear"])
+    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-model-')}/model-{uuid.uuid4().hex}"
+    tables.save_model(fitted.model, path)
+    rows = models.prepared(test.withColumn("target_horizon_years", F.lit(1.0)), fitted.numeric, fitted.categories, fitted.fill)
+    return tables.score(tables.load_model(path), rows, 1).select("Segment_ID", "slot_idx", "forecast_horizon_years", "prediction")
