@@ -105,8 +105,7 @@ def test_line_quality(docs, texts, nothing):
 
 
 def test_clean_lines_stay_and_navigation_goes(spark):
-    good = "This is a plain sentence of words that ends well. " * 3
-    good = "\n".join(f"{i} {good}" for i in range(5))
+    good = "\n".join(" ".join(f"word{i}x{j}" for j in range(15)) + "." for i in range(5))
     df = spark.createDataFrame([(1, good + "\nHome | About | Contact | Help\nAll rights reserved", "en", "s", 0), (2, "A | B | C | D | E\n" * 20, "en", "s", 0)], SCHEMA)
     (row,) = quality.keep_clean(df).collect()
     assert (row["doc_id"], row["text"], row["n_chars"]) == (1, good, len(good))
