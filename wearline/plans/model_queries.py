@@ -21,7 +21,7 @@ from wearline.sources import tables
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     table = supervised(temporal.current_material(fx.history(spark, sf_dir))).withColumn("observed_lifecycle_age_years", F.col("Pavement_Age_years"))
-    split = splits.with_split(table, splits.stratified_assets(table, "Segment_ID", "ELY"), "Segment_ID")
+    split = splits.with_split(table, splits.stratified_assets(table, "Segment_ID", "ELY"), "Segment_ID").persist()  # each fit reads it several times
     return tuple(split.where(F.col("split") == n) for n in ("train", "validation", "test"))
 
 
