@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and their defined cases."""
 
+import itertools
 import math
 import random
 import re
@@ -210,6 +211,39 @@ def test_repeated_passages(docs, texts, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
+def _reach(equal):
+    """How many words a passage grows over its equal and changed words."""
+    total = list(itertools.accumulate(1 if e else -2 for e in equal))
+    return total.index(max(total)) + 1 if total and max(total) > 0 else 0
+
+
+def test_repeated_passages_with_changed_words(spark):
+    rng = random.Random(11)
+    make = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, due = [], {}
+    for i in range(150):
+        n = rng.randint(50, 80)
+        words, low = make(n), rng.randint(1, n - 25)
+        if i % 2:  # a clean run that surely has a seed, every fifth word changed around it
+            changed = {j for j in range(n) if (j < low or j >= low + 24) and j % 5 == 2}
+        else:
+            changed = set(rng.sample(range(1, n - 1), rng.randint(2, n // 8)))
+        other = [f"edit{i}x{j}" if j in changed else w for j, w in enumerate(words)]
+        rows += [(2 * i, " ".join(make(70) + words + make(70)), "en", "s", 0), (2 * i + 1, " ".join(make(90) + other + make(90)), "en", "s", 0)]
+        equal = [j not in changed for j in range(n)]
+        for at in range(n - 22):
+            if all(equal[at : at + 23]):
+                start, end = at - _reach(equal[:at][::-1]), at + _reach(equal[at:])
+                if end - start >= 50 and sum(equal[start:end]) >= 0.8 * (end - start):
+                    due[2 * i + 1] = (90 + start, 90 + end)
+    assert len(due) > 90
+    found = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    missed = [i for i, (a, b) in due.items() if not any(s <= a and b <= e for s, e in found.get(i, []))]
+    assert not missed, (len(missed), len(due))
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(2)
     plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
