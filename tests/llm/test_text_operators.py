@@ -163,6 +163,26 @@ def test_secrets(spark, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_secrets_learn_from_distinct_findings(spark):
+    rng = random.Random(4)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    texts = [f'some words token = "{h}" and more words' for h in hexes[:40]]
+    texts += [f"call 4{rng.randrange(10**14, 10**15)} now please, friend" for _ in range(40)]
+    findings = [(value, before, after, label) for label, copies in ((1.0, texts[:40] + [texts[0]] * 3000), (0.0, texts[40:] + [texts[41]] * 2000)) for t in copies
+                for value, before, after in [(lambda m: (m[0], t[: m.start()], t[m.end() :]))(re.search("[0-9a-f]{15,}", t))]]
+    labelled = spark.createDataFrame([(v, b[-48:], a[:48], "src", y) for v, b, a, y in findings], "value string, before string, after string, path string, label double")
+    made, names = secrets.features(labelled)
+    taken = secrets.sample(made, names, 40).collect()
+    assert len(taken) == len({tuple(r[n] for n in names) for r in taken}) == 40
+    assert {r["label"] for r in taken} == {0.0, 1.0}
+    assert sum(r["weight"] for r in secrets.sample(made, names, 1000).collect()) == len(findings)
+    assert secrets.fit(made, names, max_findings=40) is not None
+    df = spark.createDataFrame([(i, t, "en", "src", 1) for i, t in enumerate(texts)] + [(900 + i, f"here it is: {h} ok", "en", "src", 1) for i, h in enumerate(hexes[40:])], SCHEMA)
+    score = {r["doc_id"]: r["score"] for r in secrets.scan(df, findings=labelled, max_findings=40).collect()}
+    assert all(score[i] >= 0.5 for i in range(40)) and all(score[i] < 0.5 for i in range(40, 80))
+    assert all(score[900 + i] > 0 for i in range(20))
+
+
 def test_suffix_tree_scores(docs, texts, nothing):
     rows = suffix_tree.score_texts(docs).collect()
     tokens = {i: WORD.findall(lower(t)) + [0] for i, t in texts.items()}

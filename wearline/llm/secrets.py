@@ -4,11 +4,11 @@ DataFrame and SQL functions only.  A candidate is a longest run of ``[A-Za-z0-9_
 digit (and up to two ``=`` behind it) of at least ``min_length`` characters.  Its features are
 length, character classes and the 25 transitions between them, distinct characters, dictionary
 coverage, the path's flags and the words next to it.  The forest learns from labelled findings
-(1 a secret, 0 none); ``max_findings`` of them, taken by hash, bound the fit.  ``weak_labels``
-labels those findings that their issuer's format, the name they are assigned to or their
+(1 a secret, 0 none); ``max_findings`` distinct ones, taken by hash within each label and weighted
+by how often they occur, bound the fit.  ``weak_labels`` labels those findings that their issuer's format, the name they are assigned to or their
 surroundings decide; the forest then judges all candidates, the undecided ones included.
 
-Every step but the fit is narrow.  Defined cases: null and empty texts have no candidate; without
+Every step but the fit and its sample is narrow.  Defined cases: null and empty texts have no candidate; without
 findings of both kinds the labels themselves are the scores (unlabelled: 0); rows with equal or
 null keys are scanned each for itself; an empty table gives an empty result; texts are scanned
 whole.
@@ -16,6 +16,8 @@ whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -108,13 +110,29 @@ def weak_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(value.rlike(KNOWN) | before.rlike(ASSIGNED), 1.0).when(plain, 0.0))
 
 
+def sample(labelled: DataFrame, names: list[str], max_findings: int) -> DataFrame:
+    """(label, weight, features) of at most ``max_findings`` distinct findings, by hash within each label.
+
+    A finding weighs as often as it occurs, times its label's distinct findings for each one taken.
+    A label gets half of the places, and those that the other leaves free.
+    """
+    distinct = cut(labelled.where("label is not null").groupBy("label", *names).agg(F.count("*").alias("times")))
+    kinds = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    taken = []
+    for label, n in sorted(kinds.items()):
+        places = max(max_findings // 2, max_findings - sum(kinds.values()) + n) if len(kinds) > 1 else max_findings
+        part = distinct.where(F.col("label") == label).orderBy(F.xxhash64(*names), *names).limit(places)
+        taken.append(part.select("label", (F.col("times") * (n / min(n, places))).alias("weight"), *names))
+    return reduce(DataFrame.union, taken) if taken else distinct.select("label", F.lit(1.0).alias("weight"), *names)
+
+
 def fit(labelled: DataFrame, names: list[str], *, max_findings: int = 20_000, trees: int = 24, depth: int = 8):
-    """A forest from at most ``max_findings`` labelled findings; None unless both labels occur."""
-    known = labelled.where("label is not null").select("label", *names).orderBy(F.xxhash64("label", *names), *names).limit(max_findings)
-    known = cut(VectorAssembler(inputCols=names, outputCol="features").transform(known).select("label", "features"))
+    """A forest from at most ``max_findings`` distinct labelled findings; None unless both labels occur."""
+    known = sample(labelled, names, max_findings)
+    known = cut(VectorAssembler(inputCols=names, outputCol="features").transform(known).select("label", "weight", "features"))
     if known.select("label").distinct().count() < 2:
         return None
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird", subsamplingRate=0.8).fit(known)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird", subsamplingRate=0.8, weightCol="weight").fit(known)
 
 
 def scan(
