@@ -2,7 +2,8 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; ``run`` writes each result as Parquet to
 the session's shared checkpoint folder and reads it again as the next stage's input.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; the rows of the last one in the order of (slot,
+offset_in_block) are the mix.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wearline.llm import mixing, near, pieces, quality, secrets
 from wearline.llm.queries import piece_model
-from wearline.llm.session import checkpoint_dir, table
+from wearline.llm.session import checkpoint_dir, cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,12 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids, their number and whether they decode to the text again."""
-    return pieces.encode(docs, piece_model(), verify="round_trip")
+    """Adds each document's place in the mix, the piece ids, their number and whether they decode to the text again.
+
+    Files have no order, so the mix is carried on as columns: (slot, offset_in_block) depends on
+    the documents' ids, sources and lengths only, which are those of the stage before.
+    """
+    return pieces.encode(cut(mixing.with_slots(docs)), piece_model(), verify="round_trip")
 
 
 STAGES = [

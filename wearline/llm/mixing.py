@@ -148,3 +148,12 @@ def interleave(
     """All rows and columns of ``df``, in the order of the mix: partitions are ranges of slots, sorted within."""
     placed = _placed(df, key, source, F.length(df[text]), weights, temperature, block_chars, rows_per_cell)
     return placed.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset").select("row.*")
+
+
+def with_slots(
+    df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", *, weights: Mapping[str, float] | None = None,
+    temperature: float = 0.5, block_chars: int = 100_000, rows_per_cell: int = 2_000,
+) -> DataFrame:
+    """All rows and columns of ``df`` with slot and offset_in_block, in any order; their order is the mix."""
+    placed = _placed(df, key, source, F.length(df[text]), weights, temperature, block_chars, rows_per_cell)
+    return placed.select("row.*", "slot", F.col("offset").alias("offset_in_block"))
