@@ -27,6 +27,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame
 
 from wearline.llm import textblocks as tb
 
-BLOCK = 4 << 20
+#: Bytes of text that one suffix array covers: all of its arrays together take about 60 times as much.
+BLOCK = 1 << 20
 LONG_UNIT = 64
 BARRIERS = (0x0A, 0x0D, 0x09)
 
@@ -50,6 +52,23 @@ class Pieces:
     surface: list[bytes]
     barriers: tuple[int, ...] = field(default=())
 
+    @cached_property
+    def matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' lengths in bytes, and their bytes as rows of one width (8 at least)."""
+        lengths = np.array([len(t) for t in self.texts], np.int64)
+        table = np.zeros((len(lengths), max(8, int(lengths.max(initial=1)))), np.uint8)
+        for i, t in enumerate(self.texts):
+            table[i, : len(t)] = np.frombuffer(t, np.uint8)
+        return lengths, table
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        """For each byte the index of the piece that is this byte alone, or -1."""
+        lengths, table = self.matrix
+        out = np.full(256, -1, np.int64)
+        out[table[lengths == 1, 0]] = np.flatnonzero(lengths == 1)
+        return out
+
 
 def load(path: str) -> Pieces:
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -83,32 +102,40 @@ def load(path: str) -> Pieces:
 
 
 def edges(text: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences of pieces in ``text``: position * 2^16 + length in ascending order, and the piece's index."""
-    lengths = np.array([len(t) for t in pieces.texts], np.int64)
-    width = max(8, int(lengths.max(initial=1)))
-    table = np.zeros((len(lengths), width), np.uint8)
-    for i, t in enumerate(pieces.texts):
-        table[i, : len(t)] = np.frombuffer(t, np.uint8)
+    """All occurrences of pieces of two or more bytes in ``text``: position * 2^16 + length in ascending order, and the piece's index."""
+    lengths, table = pieces.matrix
+    width = table.shape[1]
     low = table[:, :8].copy()
     high = np.where(np.arange(8) < lengths[:, None], low, 255).astype(np.uint8)
     padded = np.concatenate([text, np.zeros(width, np.uint8)])
     suffix = np.zeros(len(text), np.uint64)
     for j in range(8):
-        suffix = (suffix << np.uint64(8)) | padded[j : j + len(text)]
+        suffix <<= np.uint64(8)
+        suffix |= padded[j : j + len(text)]
     order = np.argsort(suffix)
     suffix = suffix[order]
+    order = order.astype(np.int32) if len(text) < 1 << 31 else order
     first = np.searchsorted(suffix, low.view(">u8")[:, 0].astype(np.uint64), side="left")
     count = np.searchsorted(suffix, high.view(">u8")[:, 0].astype(np.uint64), side="right") - first
-    piece = np.repeat(np.arange(len(lengths)), count)
-    where = order[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(piece))]
+    del suffix
+    # A piece of one byte spans no two neighbours, so it is no edge to relax; ``Pieces.single`` has it.
+    some = np.flatnonzero((count > 0) & (lengths > 1))
+    first, count = first[some], count[some]
+    piece = np.repeat(some.astype(np.int32), count)
+    where = order[np.arange(len(piece)) + np.repeat(first - (np.cumsum(count) - count), count)]
+    del order
     more = np.flatnonzero(lengths[piece] > 8)
-    good = np.ones(len(more), bool)
-    for j in range(8, width):
-        good &= (lengths[piece[more]] <= j) | (padded[where[more] + j] == table[piece[more], j])
-    keep = np.ones(len(piece), bool)
-    keep[more] = good
-    piece, where = piece[keep], where[keep]
-    key = where * 65536 + lengths[piece]
+    if len(more):
+        good = np.ones(len(more), bool)
+        for j in range(8, width):
+            good &= (lengths[piece[more]] <= j) | (padded[where[more] + j] == table[piece[more], j])
+        keep = np.ones(len(piece), bool)
+        keep[more] = good
+        piece, where = piece[keep], where[keep]
+    key = where.astype(np.int64)
+    del where
+    key *= 65536
+    key += lengths[piece]
     by = np.argsort(key)
     return key[by], piece[by]
 
@@ -155,8 +182,6 @@ def _relax_long(start: list[int], end: int, keys: np.ndarray, piece: np.ndarray,
 def relax(text: np.ndarray, bounds: np.ndarray, keys: np.ndarray, piece: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Starts of the symbols that remain in ``text``, whose units start at ``bounds[:-1]`` (0 bytes between units)."""
     none = np.int64(1) << 40
-    multi = keys & 65535 > 1
-    keys, piece = keys[multi], piece[multi]
     ranks = rank[piece]
     start = np.flatnonzero(tb.code_points(text) & (text != 0))
     unit = np.searchsorted(bounds, start, side="right") - 1
@@ -236,13 +261,14 @@ def _encode_block(data: np.ndarray, offsets: np.ndarray, pieces: Pieces) -> tupl
     text = np.zeros(bounds[-1], np.uint8)
     place = np.repeat(bounds[:-1] - (np.cumsum(length) - length), length) + np.arange(length.sum())
     text[place] = data[np.repeat(s - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+    del place, h, us, ue, space, begins, data
     keys, piece = edges(text, pieces)
     start = relax(text, bounds, keys, piece, pieces.rank)
     unit = np.searchsorted(bounds, start, side="right") - 1
     end = np.append(start[1:], 0)
     last = np.append(unit[1:] != unit[:-1], True)
     end = np.where(last, bounds[unit + 1] - 1, end)
-    found = _find(keys, piece, start, end - start, -1)
+    found = np.where(end - start == 1, pieces.single[text[start]], _find(keys, piece, start, end - start, -1))
     lost = found < 0
     many = np.where(lost, end - start, 1)
     symbol = np.repeat(np.arange(len(start)), many)
