@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,14 @@ def test_light_and_heavy_plans_agree(docs, texts, monkeypatch, light):
     assert found == groups(texts)
 
 
+def test_near_groups_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(90)]
+    a, b, c = " ".join(words[:40]), " ".join(words[40:]), " ".join([*words[40:], "more"])
+    rows = [(1, a), (5, a), (5, b), (9, c), (9, c), (12, "else " * 3), (None, a)]
+    found = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (1, 1), (5, 1), (5, 1), (9, 1), (9, 1), (12, 12)]
+
+
 def test_keep_one_keeps_columns_and_null_keys(docs, spark):
     both = docs.unionByName(spark.createDataFrame([(None, "x y z", None, None, None)], SCHEMA), allowMissingColumns=True)
     kept = near.keep_one(both)
@@ -138,12 +147,49 @@ def test_mixing_keeps_deadlines_and_rows(docs, nothing):
     assert mixing.schedule(nothing).count() == 0
 
 
-def test_mixing_deviates_by_less_than_a_block():
-    plan = mixing.phases({"a": 500, "b": 500, "c": 500}, {"a": 0.5, "b": 0.3, "c": 0.2})
-    first = {s: [start + i // share * period + slots[i % share] for i in range(blocks)] for s, f, blocks, start, period, share, slots in plan if start == 0}
-    for t in range(1, 900):
-        for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
-            assert abs(sum(x < t for x in first[s]) - w * t) < 1
+@pytest.mark.parametrize("weights", [
+    {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 2}, {"a": 0.6, "b": 0.39995, "c": 0.00005}, {s: math.sqrt(i + 2) for i, s in enumerate("abcdefg")},
+    {f"s{i:02}": 1 / (i + 1) ** 2 for i in range(60)},
+])
+def test_mixing_deviates_by_less_than_a_block(weights):
+    """Over the whole first phase, against the weights as given, in exact arithmetic."""
+    whole = sum(Fraction(w) for w in weights.values())
+    rows = mixing.plan(dict.fromkeys(weights, 2500), weights).to_pylist()
+    assert [r["slot"] for r in rows] == list(range(2500 * len(weights)))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    sent = dict.fromkeys(weights, 0)
+    for t, r in enumerate(rows, 1):
+        assert r["number"] == sent[r["of"]]
+        sent[r["of"]] += 1
+        if t % 7 == 0 or t < 500:
+            assert all(abs(sent[s] - Fraction(w) * t / whole) < 1 for s, w in weights.items())
+        if sent[r["of"]] == 2500:
+            break
+
+
+def test_mixing_takes_the_earliest_deadline(docs):
+    """A plain simulation of the same rule, slot by slot, over all phases."""
+    blocks, weights = {"a": 7, "b": 40, "c": 23, "d": 1}, {"a": 0.3, "b": 0.31, "c": 0.19, "d": 0.2}
+    found = [(r["of"], r["number"]) for r in mixing.plan(blocks, weights).to_pylist()]
+    due, sent, start, first = [], dict.fromkeys(blocks, 0), 0, dict.fromkeys(blocks, 0)
+    while len(due) < sum(blocks.values()):
+        live = [s for s in blocks if sent[s] < blocks[s]]
+        whole = sum(Fraction(weights[s]) for s in live)
+        share = {s: Fraction(weights[s]) / whole for s in live}
+        ready = [(math.ceil((sent[s] - first[s] + 1) / share[s]), s) for s in live if math.floor((sent[s] - first[s]) / share[s]) <= len(due) - start]
+        s = min(ready)[1]
+        due.append((s, sent[s]))
+        sent[s] += 1
+        if sent[s] == blocks[s]:
+            start, first = len(due), dict(sent)
+    assert found == due
+
+
+def test_mixing_bounds_its_plan(docs):
+    rows = mixing.schedule(docs, block_chars=10, max_blocks=20).collect()
+    assert len(rows) == docs.count() and max(r["slot"] for r in rows) < 20 + 4
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, weights={"s0": 0.0})
 
 
 def test_secrets(spark, nothing):
