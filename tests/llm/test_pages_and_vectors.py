@@ -42,8 +42,52 @@ def test_join_instead_of_broadcast(pages, monkeypatch):
 def test_wrapper_has_repeats_options_and_slots(pages):
     found = {r["host"]: r["expression"] for r in wrappers.wrapper_expressions(pages).collect()}
     assert "(<li><a>#</a></li>)+" in found["h0.example.org"] and "<article><h1>#</h1>" in found["h0.example.org"]
-    a, b = wrappers.fold([("p", []), ("p", ["#"])]), wrappers.fold([("p", ["#"]), ("div", [])])
-    assert wrappers.expression(wrappers.align(a, b)) == "(<p>(#)?</p>)+(<div></div>)?"
+    a, b = (wrappers._unplaced(wrappers.read(x)[0]) for x in ("<p></p><p>one</p>", "<p>two</p><div></div>"))
+    assert wrappers.expression(wrappers.align(a, b)) == "(<p></p>)?<p>#</p>(<div></div>)?"
+    c = wrappers._unplaced(wrappers.read("<p>a</p><p>b</p><p>c</p><div></div>")[0])
+    assert wrappers.expression(wrappers.align(wrappers.align(a, b), c)) == "(<p>(#)?</p>)+(<div></div>)?"
+
+
+def plain_page(i):
+    """No tag or class tells what is what; menus are words or links, one in three pages has a notice."""
+    menu = "".join(f"<div>{x}</div>" for x in ("Front", "World", "Sports"))
+    links = "".join(f"<div><a href='/{i}/{j}'>story {i} {j}</a></div>" for j in range(2 + i % 3))
+    body = "".join(f"<p>Sentence {j} of {i}.</p>" for j in range(1 + i % 4))
+    notice = "<div><p>We moved house.</p><p>Write to us.</p></div>" if i % 3 else ""
+    text = "\n".join([f"Title {i}", *(f"Sentence {j} of {i}." for j in range(1 + i % 4))])
+    return f"<html><body><div>{menu}</div><div>{links}</div>{notice}<div><h1>Title {i}</h1>{body}</div><div>All rights, some wrongs</div></body></html>", text
+
+
+def test_wrapper_alone_drops_unmarked_menus(spark):
+    made = [plain_page(i) for i in range(12)]
+    rows = [(i, "http://bare.example.org/x", html) for i, (html, _) in enumerate(made)]
+    rows += [(100 + i, "http://same.example.org/x", "<body><div>Menu</div><p>Every page is this one.</p></body>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    assert [found[i] for i in range(12)] == [text for _, text in made]
+    assert {found[100 + i] for i in range(5)} == {"Menu\nEvery page is this one."}
+
+
+def test_extraction_needs_the_alignment(monkeypatch):
+    def texts():
+        whole = wrappers.Wrapper()
+        read = [wrappers.read(plain_page(i)[0]) for i in range(12)]
+        for x in read:
+            whole.add(*x)
+        whole = wrappers.Wrapper.load(whole.dump())
+        return ["\n".join(blocks[j] for j in whole.main_blocks(tree)) for tree, blocks, _ in read]
+
+    assert texts() == [plain_page(i)[1] for i in range(12)]
+    monkeypatch.setattr(wrappers, "align", lambda a, b: [])
+    assert texts() == [""] * 12
+
+
+def test_long_page_and_odd_markup(spark):
+    body = "".join(f"<p>Part {i} <b>bold &lt;tag&gt;</b></p>" for i in range(20_000))
+    rows = [(1, "http://x.org", f"<main>{body}"), (2, "http://x.org", "<main><p>un<i>closed</p></div></span><p>next<table><tr><td>cell</table>"), (2, None, "<<<>>> & text"), (None, "http://x.org", "<main><p>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "wrapper": F.lit("w"), "share": F.lit(2)})
+    found = {(r["page_id"], r["url"]): r["text"] for r in wrappers.extract(df).collect()}
+    assert found[1, "http://x.org"].count("\n") == 19_999 and found[2, "http://x.org"] == "unclosed\nnext\ncell" and found[None, "http://x.org"] == "x" and "text" in found[2, None]
 
 
 @pytest.fixture(scope="module")

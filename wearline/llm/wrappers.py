@@ -1,23 +1,29 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
-A page is read as a balanced stream of tags and texts.  Neighbouring repeats of the same tags are
-folded into repeated groups, and the streams of a host's pages are aligned one after another:
-what both have is matched, what only one has becomes an optional group, a group that repeats in
-one repeats in both, differing texts become text slots.  The result is the host's wrapper, with
-figures for each slot: pages, characters, linked characters, and its text if that never changes.
+A page is read as a balanced stream of tags and blocks of text; a block that is mostly links stands
+in an ``a`` of its own.  The streams of a host's pages are aligned one after another.  Elements of
+the same kind (label and kinds of children) are matched; where the streams differ, repeats are
+folded into repeated groups, the longest heaviest alignment is taken, and what only one side has
+becomes an optional group, or one more repeat if its neighbour is of its kind.  A text that all
+pages share stays a constant, texts that differ become a text slot.  The result is the host's
+wrapper.
 
 Wrappers are inferred in three steps (per task and host, per host and share of the tasks, per
 host), so no task holds more than one wrapper per other task, whatever share of pages a host has.
 They go to the pages by broadcast if their measured size allows it, else by a join.
 
-A slot is main text if no element around it says otherwise (``OUTSIDE`` tags, ``OUTSIDE_WORDS``
-in class, id or role), if less than half of its characters are links, and, when the wrapper has
-an article or main element with text, if it is inside one.  Without such an element, slots whose
-short text never changes over the host's pages are left out too.
+Then each page is aligned with its host's wrapper, and its text is what lands in main slots of it.
+A slot is main if it is no constant of the host (the same text three times or more and on half of
+the distinct pages; pages of a host without any varying slot have no such constants), if it is not
+a slot of links, if no element around it says otherwise (``OUTSIDE`` tags, ``OUTSIDE_WORDS`` in
+class, id or role), and, when the wrapper has an article or main element with text, if it is inside
+one; constants there stay.  Text outside of every slot is none.
 
 Defined cases: null and empty pages give the empty text; a null or odd URL counts as one host; a
 page cut off in the middle is closed at its end; unknown, unclosed and wrongly nested tags are
-taken as browsers mostly do; an empty table gives an empty result; pages are read whole.
+taken as browsers mostly do; equal pages count once for the wrapper and give a row each; only the
+three named columns are read, so others may have any names; an empty table gives an empty result;
+pages are read whole.
 """
 
 from __future__ import annotations
@@ -62,43 +68,60 @@ NAME = re.compile(r"[a-zA-Z][a-z]+|[A-Z]{2,}|[a-zA-Z]+")
 BROADCAST_BYTES = 64 << 20
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """A tag with its class, id and role words without digits, and whether it is outside of main text."""
+def _label(tag: str, attributes: str) -> str:
+    """A tag with its class, id and role words without digits."""
     if not attributes or "=" not in attributes:
-        return tag, tag in OUTSIDE
+        return tag
     words = sorted({w.lower() for m in ATTRIBUTE.finditer(attributes) for w in NAME.findall(m[2] or m[3] or m[4] or "")})
-    return ".".join([tag, *words]) if words else tag, tag in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(words) and tag not in ("html", "body", "article", "main")
+    return ".".join([tag, *words]) if words else tag
 
 
-def read(page: str) -> tuple[list, list[tuple[str, str, bool, int]]]:
-    """The page's tree (label, children; texts are "#") and its blocks of text: path, text, outside, linked characters."""
+def _outside(label: str) -> bool:
+    """Whether an element's tag, or the words of its class, id and role, say that it is outside of main text."""
+    tag, *words = label.split(".")
+    return tag in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(words) and tag not in ("html", "body", "article", "main")
+
+
+def read(page: str) -> tuple[list, list[str], str]:
+    """The page's tree, its blocks of text and its shape (the tree without texts).
+
+    Items are (label, children) and texts ("#", hash, how many, characters, numbers of the blocks).
+    Inline elements are no items, but a block that is mostly links stands in an item "a".
+    """
     root: list = []
-    stack: list[tuple[str, str, list, bool]] = [("", "", root, False)]
-    blocks: list[tuple[str, str, bool, int]] = []
+    stack: list[tuple[str, list]] = [("", root)]
+    blocks: list[str] = []
+    shape: list[str] = []
     parts: list[str] = []
     linked = in_link = 0
-    block_path, block_out = "", False
+    home: list = root
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append((block_path, text, block_out, linked))
+                leaf = ("#", crc32(text.encode()) + (len(text) << 32), 1, len(text), (len(blocks),))
+                blocks.append(text)
+                mostly = 2 * linked >= len(text)
+                home.append(("a", [leaf]) if mostly else leaf)
+                shape.append("a#" if mostly else "#")
         parts.clear()
         linked = 0
 
     def leave(depth: int) -> None:
         nonlocal in_link
         while len(stack) > depth:
-            tag = stack.pop()[0]
+            tag = stack[-1][0]
             if tag == "a":
                 in_link -= 1
             elif tag not in INLINE:
                 flush()
+                shape.append(")")
+            stack.pop()
 
     def put(text: str) -> None:
-        nonlocal linked, block_path, block_out
+        nonlocal linked, home
         if not text:
             return
         if "&" in text:
@@ -107,14 +130,10 @@ def read(page: str) -> tuple[list, list[tuple[str, str, bool, int]]]:
             k = len(stack) - 1
             while k and stack[k][0] in INLINE:
                 k -= 1
-            block_path, block_out = stack[k][1], stack[-1][3]
+            home = stack[k][1]
         parts.append(text)
-        if text.strip():
-            if in_link:
-                linked += len(text.strip())
-            children = stack[-1][2]
-            if not children or children[-1] != "#":
-                children.append("#")
+        if in_link and text.strip():
+            linked += len(text.strip())
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -155,45 +174,59 @@ def read(page: str) -> tuple[list, list[tuple[str, str, bool, int]]]:
                     break
                 if stack[depth][0] in ("ul", "ol", "dl", "table", "select") or (stack[depth][0] == "tr" and tag in ("td", "th")):
                     break
-        if tag not in INLINE:
-            flush()
-        label, out = _label(tag, m[4] or m[7] or "")
-        children: list = []
-        stack[-1][2].append((label, children))
-        stack.append((tag, f"{stack[-1][1]}/{label}", children, stack[-1][3] or out))
-        if tag == "a":
-            in_link += 1
+        if tag in INLINE:
+            stack.append((tag, stack[-1][1]))
+            in_link += tag == "a"
+            continue
+        flush()
+        label, children = _label(tag, m[4] or m[7] or ""), []
+        stack[-1][1].append((label, children))
+        shape.append(f"({label}")
+        stack.append((tag, children))
     put(page[at:])
     leave(1)
     flush()
-    return root, blocks
+    return root, blocks, "".join(shape)
 
 
-def _key(item) -> str:
-    kind = item[0]
-    if kind == "#":
+def _kind(item) -> str:
+    """An item's label and its children's; groups are of their items' kinds."""
+    if item[0] == "#":
         return "#"
-    if kind in ("+", "?"):
-        return " ".join(_key(x) for x in item[1])
-    return kind
+    if item[0] in ("+", "?"):
+        return " ".join(map(_kind, item[1]))
+    inside = {x[0] for child in item[1] for x in (child[1] if child[0] in ("+", "?") else (child,))}
+    return f"{item[0]}({' '.join(sorted(inside))})"
 
 
-def fold(children: list) -> list:
-    """The children with repeats folded: items are "#", (label, items), ("+", items) for repeats and ("?", items) for options."""
-    items = ["#" if c == "#" else (c[0], fold(c[1])) for c in children]
+def _merge(a, b):
+    """One item for two that are matched."""
+    if a[0] == "#" and b[0] == "#":
+        return ("#", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4])
+    marks = {a[0], b[0]} & {"+", "?"}
+    if marks:
+        inner = align(*(x[1] if x[0] in ("+", "?") else [x] for x in (a, b)))
+        return ("+" if "+" in marks else "?", inner)
+    words = [x[0].split(".") for x in (a, b)]
+    return (a[0] if a[0] == b[0] else ".".join(w for w in words[0] if w in words[1]), align(a[1], b[1]))
+
+
+def fold(items: list) -> list:
+    """The items with neighbouring repeats of a kind, or of up to four kinds in turn, as repeated groups."""
     for period in (1, 2, 3, 4):
+        kinds = [_kind(x) for x in items]
         out: list = []
         i = 0
         while i < len(items):
-            unit = [_key(x) for x in items[i : i + period]]
-            times, group = 1, items[i : i + period]
-            while len(unit) == period and unit != ["#"] and [_key(x) for x in items[i + times * period : i + (times + 1) * period]] == unit:
-                group = align(group, items[i + times * period : i + (times + 1) * period])
-                times += 1
-            if times > 1:
-                inner = group[0][1] if len(group) == 1 and group[0][0] == "+" else group
-                out.append(("+", inner))
-                i += times * period
+            end = i + period
+            while kinds[end : end + period] == kinds[i : i + period] and end + period <= len(items) and (period > 1 or kinds[i] != "#"):
+                end += period
+            if end > i + period:
+                group = items[i : i + period]
+                for j in range(i + period, end, period):
+                    group = [_merge(x, y) for x, y in zip(group, items[j : j + period], strict=True)]
+                out.append(("+", group[0][1] if period == 1 and group[0][0] in ("+", "?") else group))
+                i = end
             else:
                 out.append(items[i])
                 i += 1
@@ -201,51 +234,88 @@ def fold(children: list) -> list:
     return items
 
 
-def _merge(a, b):
-    if a == b:
-        return a
-    kinds = {x[0] for x in (a, b)}
-    strip = [x[1] if x[0] in ("+", "?") else [x] for x in (a, b)]
-    if kinds & {"+", "?"}:
-        inner = align(*strip)
-        plain = ("+", inner) if "+" in kinds else ("?", inner)
-        return ("?", [plain]) if plain[0] == "+" and "?" in kinds else plain
-    return (a[0], align(a[1], b[1]))
+def _weight(a, b, ka: str, kb: str) -> float:
+    """How well two items match; 0 if they can't."""
+    if ka == kb:
+        return 4.0
+    x, y = (x[1][0] if x[0] in ("+", "?") and len(x[1]) == 1 else x for x in (a, b))
+    if x[0] in ("+", "?") or y[0] in ("+", "?") or x[0] == "#" or y[0] == "#":
+        return 0.0
+    if x[0] == y[0]:
+        return 2.0
+    # Class names made up for each page: equal tags with equal children may match by what their labels share.
+    same = x[0].split(".")[0] == y[0].split(".")[0] and _outside(x[0]) == _outside(y[0])
+    return 1.0 if same and ka[ka.find("(") :] == kb[kb.find("(") :] else 0.0
 
 
 def align(a: list, b: list) -> list:
-    """One expression for both: matched items merged, others optional."""
-    if a == b:
-        return a
-    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
+    """One expression for both: matched items merged, others optional or repeats of their neighbours."""
+    ka, kb = [_kind(x) for x in a], [_kind(x) for x in b]
     if ka == kb:
         return [_merge(x, y) for x, y in zip(a, b, strict=True)]
-    # Longest common subsequence of the items' keys.
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    head, most = 0, min(len(a), len(b))
+    while head < most and ka[head] == kb[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and ka[-1 - tail] == kb[-1 - tail]:
+        tail += 1
+    front = [_merge(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
+    back = [_merge(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+    return _absorb([*front, *_between(fold(a[head : len(a) - tail]), fold(b[head : len(b) - tail])), *back])
+
+
+def _between(a: list, b: list) -> list:
+    """The heaviest alignment of two lists in order."""
+    if not a or not b:
+        return [_optional(x) for x in a or b]
+    ka, kb = [_kind(x) for x in a], [_kind(x) for x in b]
+    weight = [[_weight(x, y, i, j) for y, j in zip(b, kb, strict=True)] for x, i in zip(a, ka, strict=True)]
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + weight[i][j] if weight[i][j] else 0.0)
     out: list = []
     i = j = 0
     while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and ka[i] == kb[j]:
+        if i < len(a) and j < len(b) and weight[i][j] and best[i][j] == best[i + 1][j + 1] + weight[i][j]:
             out.append(_merge(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(a[i] if a[i][0] == "?" else ("?", [a[i]]))
+        elif j == len(b) or (i < len(a) and best[i][j] == best[i + 1][j]):
+            out.append(_optional(a[i]))
             i += 1
         else:
-            out.append(b[j] if b[j][0] == "?" else ("?", [b[j]]))
+            out.append(_optional(b[j]))
             j += 1
     return out
 
 
+def _optional(item):
+    return item if item[0] == "?" else ("?", [item])
+
+
+def _absorb(items: list) -> list:
+    """Groups take in what stands next to them and is of their kind."""
+    out: list = []
+    for x in items:
+        if out and (x[0] in ("+", "?") or out[-1][0] in ("+", "?")) and _kind(x) == _kind(out[-1]) != "#":
+            inner = _merge(*(y[1][0] if y[0] == "?" and y[1][0][0] == "+" and len(y[1]) == 1 else y for y in (out[-1], x)))
+            out[-1] = ("+", inner[1] if inner[0] in ("+", "?") else [inner])
+        else:
+            out.append(x)
+    return out
+
+
+def overlay(a: list, b: list) -> list:
+    """One expression for two trees of the same shape."""
+    return [_merge(x, y) if x[0] == "#" else (x[0], overlay(x[1], y[1])) for x, y in zip(a, b, strict=True)]
+
+
 def expression(items: list) -> str:
-    """The wrapper as a regular expression over tags and text slots."""
+    """The wrapper as a regular expression over tags, constants (=) and text slots (#)."""
     out = []
     for x in items:
         if x[0] == "#":
-            out.append("#")
+            out.append("#" if x[1] is None or x[2] < 2 else "=")
         elif x[0] in ("+", "?"):
             out.append(f"({expression(x[1])}){x[0]}")
         else:
@@ -253,66 +323,83 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
+def _unplaced(items: list) -> list:
+    return [(*x[:4], ()) if x[0] == "#" else (x[0], _unplaced(x[1])) for x in items]
+
+
 class Wrapper:
-    """A host's expression and its slots: path -> [pages, characters, linked characters, text hash or None, longest, outside]."""
+    """A host's expression and the number of its distinct pages.
+
+    Trees of one shape are laid over each other first; ``SHAPES`` of them at most wait to be aligned.
+    """
+
+    SHAPES = 200
 
-    def __init__(self, pages: int = 0, items: list | None = None, slots: dict | None = None) -> None:
-        self.pages, self.items, self.slots, self.seen = pages, items, slots or {}, set()
+    def __init__(self, pages: int = 0, items: list | None = None) -> None:
+        self.pages, self.items, self.seen, self.waiting = pages, items, set(), {}
 
-    def add(self, tree: list, blocks: list) -> None:
+    def add(self, tree: list, blocks: list, shape: str) -> None:
+        mark = hash((shape, tuple(blocks)))
+        if mark in self.seen:
+            return
+        if len(self.seen) < 10_000:
+            self.seen.add(mark)
         self.pages += 1
-        shape = repr(tree)
-        if shape not in self.seen:
-            if len(self.seen) < 10_000:
-                self.seen.add(shape)
-            items = fold(tree)
-            self.items = items if self.items is None else align(self.items, items)
-        own: dict[str, list] = {}
-        for path, text, out, linked in blocks:
-            x = own.setdefault(path, [1, 0, 0, 0, 0, out])
-            x[1] += len(text)
-            x[2] += linked
-            x[3] = crc32(text.encode(), x[3])
-            x[4] = max(x[4], len(text))
-        self._gather(own)
-
-    def _gather(self, slots: dict) -> None:
-        for path, x in slots.items():
-            y = self.slots.get(path)
-            if y is None:
-                self.slots[path] = list(x)
-            else:
-                self.slots[path] = [y[0] + x[0], y[1] + x[1], y[2] + x[2], y[3] if y[3] == x[3] else None, max(y[4], x[4]), y[5] and x[5]]
+        tree = _unplaced(tree)
+        self.waiting[shape] = overlay(self.waiting[shape], tree) if shape in self.waiting else tree
+        if len(self.waiting) >= self.SHAPES:
+            self.settle()
+
+    def settle(self) -> None:
+        for shape in sorted(self.waiting):
+            tree = self.waiting[shape]
+            self.items = tree if self.items is None else align(self.items, tree)
+        self.waiting = {}
 
     def join(self, other: Wrapper) -> None:
         self.pages += other.pages
         self.items = other.items if self.items is None else align(self.items, other.items)
-        self._gather(other.slots)
 
     def dump(self) -> str:
-        return json.dumps([self.pages, self.items, self.slots])
+        self.settle()
+        return json.dumps([self.pages, self.items])
 
     @staticmethod
     def load(text: str) -> Wrapper:
-        pages, items, slots = json.loads(text)
-        return Wrapper(pages, _tuples(items), slots)
+        pages, items = json.loads(text)
+        return Wrapper(pages, _tuples(items))
+
+    def main_blocks(self, tree: list) -> list[int]:
+        """The numbers of the page's blocks that land in main slots of the expression."""
+        slots: list[tuple[tuple, bool, bool, bool]] = []
+
+        def walk(items: list, out: bool, inside: bool, linked: bool) -> None:
+            plain = sum(x[3] for child in items for x in (child[1] if child[0] in ("+", "?") else (child,)) if x[0] == "#")
+            for x in items:
+                if x[0] == "#":
+                    slots.append((x, out, inside, linked))
+                elif x[0] in ("+", "?"):
+                    walk(x[1], out, inside, linked)
+                elif x[0] == "a":
+                    # A link where else plain text stands is text; a slot of links is none.
+                    walk(x[1], out, inside, x[1][0][3] >= plain)
+                else:
+                    walk(x[1], out or _outside(x[0]), inside or x[0].split(".")[0] in MAIN, linked)
+
+        walk(align(self.items, tree), False, False, False)
+        # Only this page's own texts were counted twice.
+        able = [(x, inside) for x, out, inside, linked in slots if not out and not linked]
+        main = any(inside for _, inside in able)
+        varied = any(x[1] is None for x, _ in able)
+
+        def constant(x: tuple) -> bool:
+            return varied and x[1] is not None and x[2] - len(x[4]) >= max(3, self.pages / 2)
 
-    def main_paths(self) -> set[str]:
-        open_ = {p: x for p, x in self.slots.items() if not x[5] and 2 * x[2] < x[1]}
-        inside = {p for p in open_ if any(step.split(".")[0] in MAIN for step in p.split("/"))}
-        if inside:
-            return inside
-        longest = max(open_, key=lambda p: (open_[p][1], p), default=None)
-        fixed = {p for p, x in open_.items() if p != longest and x[3] is not None and x[0] >= 3 and x[4] < 300}
-        return set(open_) - fixed
+        return sorted(i for x, inside in able if inside or not main and not constant(x) for i in x[4])
 
 
-def _tuples(x):
-    if isinstance(x, list):
-        if len(x) == 2 and isinstance(x[0], str) and isinstance(x[1], list):
-            return (x[0], [_tuples(y) for y in x[1]])
-        return [_tuples(y) for y in x]
-    return x
+def _tuples(x: list) -> list:
+    return [("#", *y[1:4], ()) if y[0] == "#" else (y[0], _tuples(y[1])) for y in x]
 
 
 def host_of(url: str | None) -> str:
@@ -390,7 +477,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
         source = slim.join(found.withColumnRenamed("host", "_host"), host == F.col("_host"), "left").select(key, url, page, "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str] | None] = {}
+        known: dict[str, Wrapper] = {}
         for batch in batches:
             texts, counts = [], []
             for at in range(len(batch)):
@@ -399,13 +486,11 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
                 if text:
                     host = host_of(batch.column(1)[at].as_py())
                     if host not in known:
-                        if len(known) > 5000:
+                        if len(known) > 500:
                             known.clear()
-                        raw = sent.value.get(host) if sent else batch.column(3)[at].as_py()
-                        known[host] = Wrapper.load(raw).main_paths() if raw else None
-                    paths = known[host]
-                    _, blocks = read(text)
-                    chosen = [t for p, t, out, _ in blocks if not out and (paths is None or p in paths)]
+                        known[host] = Wrapper.load(sent.value[host] if sent else batch.column(3)[at].as_py())
+                    tree, blocks, _ = read(text)
+                    chosen = [blocks[i] for i in known[host].main_blocks(tree)]
                 texts.append("\n".join(chosen))
                 counts.append(len(chosen))
             yield pa.RecordBatch.from_arrays(
