@@ -336,6 +336,19 @@ def test_toxicity(spark, nothing):
     assert toxicity.score_toxicity(df, marks.limit(0)).where("score <> 0").count() == 0
 
 
+def test_toxicity_keeps_examples_of_a_common_vocabulary(spark):
+    """Long texts that share their rarest words are no copies; only equal texts are one example."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words, *(rng.choice(words) for _ in range(100))]) for _ in range(30)]
+    rows = [(i, t + (" vile" if i % 2 else " mild")) for i, t in enumerate(texts)] + [(100 + i, texts[1] + " vile") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("x"), "toxic": F.lit(None).cast("int"), "terms": F.lit(1), "copy": F.lit(2)})
+    marks = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.score_toxicity(df, marks, least_ratio=5, k=5).collect()}
+    assert all(r["predicted"] == int("vile" in t) for i, t in rows for r in [found[i]])
+    assert len(found) == len(rows)
+
+
 def test_block_max_search_is_exact():
     import numpy as np
 

@@ -1,11 +1,14 @@
 """Toxicity scores by votes of the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words (A-Z lowered; runs of letters, digits and non-ASCII bytes) and the first 4, 5 and
-6 bytes of longer words, so inflected forms meet.  The vocabulary is what the labelled examples
-support: terms more frequent in toxic ones by a log-likelihood ratio of ``least_ratio``.  Document
-frequencies come from all documents.  The examples are at most ``max_examples`` labelled rows,
-taken by a hash of their id, near copies (equal three smallest word hashes) counting once; so
-vocabulary and index have a fixed bound and are broadcast, and scoring is one narrow pass.
+6 bytes of longer words, so inflected forms meet.  The examples are at most ``max_examples``
+labelled rows, taken by a hash of their id; rows of equal text and label are one example.  The
+vocabulary is what the examples support: terms that are more frequent in toxic or in other ones
+than chance allows, by a log-likelihood ratio of ``least_ratio``; for these counts alone near copies
+(equal ``SKETCH`` smallest hashes of five words) count once, lest the words of one text that was
+copied often look telling.  The cosine is that of the texts' TF-IDF vectors over this vocabulary.
+Document frequencies come from all documents.  So vocabulary and index have a fixed bound and are
+broadcast, and scoring is one narrow pass.
 
 The index is inverted, in blocks of ``BLOCK`` examples with each term's largest weight per block.
 A query's bounds per block are the sums of those; blocks are scored from the largest bound on
@@ -16,8 +19,9 @@ share calibrate few or distant neighbours.  ``evidence`` lists the ids of the ne
 Defined cases: a document without a term of the vocabulary (an empty or null text too) gets the
 calibrated toxic share of such examples; null labels and labels without a document are ignored,
 of several labels for an id the largest counts; without examples every score is 0; rows with
-equal ids are scored each for itself, a null id is not held out; an empty table gives an empty
-result; texts are scored whole.
+equal ids are scored each for itself, a null id is not held out; ties of the last neighbour all
+vote; other columns may have any names; an empty table gives an empty result; texts are scored
+whole.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from wearline.llm.session import cut
 
 BLOCK = 64
 PREFIXES = (4, 5, 6)
+SKETCH = 3
 _TERM = np.zeros(256, bool)
 _TERM[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
 
@@ -56,7 +61,7 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def _copy_keys(df: DataFrame) -> DataFrame:
-    """id, toxic and a key that near copies share."""
+    """id, toxic and a key that near copies mostly share: the smallest hashes of five words in a row (of all, if fewer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +70,8 @@ def _copy_keys(df: DataFrame) -> DataFrame:
                 ws, we, wb = tb.spans(piece, own, _TERM[piece])
                 h = tb.hashes(piece, ws, we)
                 for i in range(high - low):
-                    keys.append(",".join(map(str, np.unique(h[wb[i] : wb[i + 1]])[:3])))
+                    words = h[wb[i] : wb[i + 1]]
+                    keys.append(",".join(map(str, np.unique(tb.windows(words, min(5, max(1, len(words)))))[:SKETCH])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string())], ["id", "toxic", "copy"])
 
     return df.select("id", "toxic", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, toxic int, copy string")
@@ -243,11 +249,12 @@ def score_toxicity(
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
     marks = marks.join(slim.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_examples)
     marks = cut(marks)
-    examples = slim.join(F.broadcast(marks), "id")
-    chosen = _copy_keys(examples).groupBy("copy", "toxic").agg(F.min("id").alias("id"))
-    chosen = cut(chosen.select("id", "toxic").dropDuplicates(["id"]))
-    examples = slim.join(F.broadcast(chosen), "id")
-    n, t = chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    # Bounded from here on: max_examples ids, and the rows that have them (each text once).
+    examples = slim.join(F.broadcast(marks), "id").groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("same"), "toxic").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
+    examples = cut(examples.select("id", "toxic", "text"))
+    single = cut(_copy_keys(examples).groupBy("copy", "toxic").agg(F.min("id").alias("id")).select("id"))
+    counted_once = examples.join(F.broadcast(single), "id", "left_semi")
+    n, t = counted_once.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = t / n if n else 0.0
 
     def part(count, expected):
@@ -256,7 +263,7 @@ def score_toxicity(
     vocabulary = np.zeros(0, np.uint64)
     if 0 < t < n:
         ratio = 2 * (part(F.col("t"), F.col("n") * share) + part(F.col("n") - F.col("t"), F.col("n") * (1 - share)))
-        strong = _supports(examples).where((F.col("t") > 2 * share * F.col("n")) & (ratio >= least_ratio)).select("term").toArrow()
+        strong = _supports(counted_once).where(ratio >= least_ratio).select("term").toArrow()
         vocabulary = np.sort(strong.column(0).to_numpy().astype(np.int64).view(np.uint64))
     counted = _frequencies(slim, vocabulary).collect() if len(vocabulary) else []
     df_of = np.zeros(len(vocabulary))
@@ -265,8 +272,7 @@ def score_toxicity(
     documents = slim.count()
     idf = np.log((documents + 1) / (df_of + 1)) + 1
     rows = _vectors(examples, vocabulary).collect()
-    unique = list({r["id"]: r for r in rows}.values())
-    sent = df.sparkSession.sparkContext.broadcast(build(unique, vocabulary, idf, k, prior_weight))
+    sent = df.sparkSession.sparkContext.broadcast(build(rows, vocabulary, idf, k, prior_weight))
     kind = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
