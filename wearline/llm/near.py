@@ -20,7 +20,7 @@ common order of shingles the first ``n - ceil(0.8 n) + c`` of both hold at least
 
 Defined cases: lower case means A-Z only; fewer words than a shingle give one shingle of all the
 words; null, empty and blank texts have no shingle, size 0 and link with nothing; equal texts
-always share a group; rows with equal ids are one node, rows with a null id are left alone with a
+always share a group; rows with equal ids are one node, which links by any of its texts, rows with a null id are left alone with a
 null group; an empty table gives an empty result.
 """
 
@@ -72,6 +72,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit digest of each set, its members' sum."""
+    return np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64)
+
+
 def _facts(df: DataFrame, k: int, frequent: float) -> DataFrame:
     """A row per document (kind 0) and a row per shingle that is frequent within a part of the input (kind 1)."""
 
@@ -80,7 +85,7 @@ def _facts(df: DataFrame, k: int, frequent: float) -> DataFrame:
             every = []
             for low, sets in shingle_sets(batch.column(1), k):
                 n = np.array([len(s) for s in sets], np.int64)
-                d1 = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64)
+                d1 = digests(sets)
                 d2 = np.array([int(tb.mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
                 maps = []
                 for s in sets:
@@ -124,6 +129,7 @@ def boundary(sizes: list[tuple[int, int]], scan: float, percent: int) -> int:
 
 
 def _postings(df: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.ndarray], light: int) -> DataFrame:
+    """(token, doc, digest) of every set; of equal sets that meet in a block only the smallest id's."""
     sent = df.sparkSession.sparkContext.broadcast(order)
     near_light = light * percent / 100
 
@@ -131,11 +137,14 @@ def _postings(df: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.n
         keys, ranks = sent.value
         for batch in batches:
             for low, sets in shingle_sets(batch.column(1), k):
-                tokens, rows, sizes = [], [], []
-                for i, s in enumerate(sets):
+                tokens, rows, taken = [], [], set()
+                ids, digest = batch.column(0).slice(low, len(sets)), digests(sets)
+                for i in sorted(range(len(sets)), key=ids.to_pylist().__getitem__):
+                    s = sets[i]
                     n = len(s)
-                    if n < 2:
+                    if n < 2 or (n, digest[i]) in taken:
                         continue
+                    taken.add((n, digest[i]))
                     p = n - needed(n, percent) + 1
                     if len(keys):
                         at = np.searchsorted(keys, s)
@@ -158,15 +167,14 @@ def _postings(df: DataFrame, k: int, percent: int, order: tuple[np.ndarray, np.n
                         own = tb.mix(early[:p])
                     tokens.append(own)
                     rows.append(np.full(len(own), i))
-                    sizes.append(np.full(len(own), n))
                 if tokens:
-                    take = pa.array(np.concatenate(rows) + low)
+                    take = np.concatenate(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(np.concatenate(tokens))), batch.column(0).take(take), pa.array(np.concatenate(sizes).astype(np.int32))],
-                        ["token", "doc", "n"],
+                        [pa.array(_signed(np.concatenate(tokens))), ids.take(pa.array(take)), pa.array(_signed(digest[take]))],
+                        ["token", "doc", "digest"],
                     )
 
-    return df.mapInArrow(run, f"token long, doc {df.schema[0].dataType.simpleString()}, n int")
+    return df.mapInArrow(run, f"token long, doc {df.schema[0].dataType.simpleString()}, digest long")
 
 
 def _by_bitmap(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -192,11 +200,9 @@ def _across(percent: int):
             left, right = [], []
             for i in range(len(batch)):
                 sides = []
-                for column in (batch.column(0), batch.column(1)):
-                    block = column[i].values
-                    if block is not None:
-                        bits = np.frombuffer(b"".join(block.field("bits").to_pylist()), np.uint64).reshape(len(block), -1)
-                        sides.append((block.field("doc").to_numpy(zero_copy_only=False), block.field("component").to_numpy(zero_copy_only=False), block.field("n").to_numpy().astype(np.int64), bits))
+                for block in (c[i].values for c in batch.columns if c[i].is_valid):
+                    bits = np.frombuffer(b"".join(block.field("bits").to_pylist()), np.uint64).reshape(len(block), -1)
+                    sides.append((*(block.field(name).to_numpy(zero_copy_only=False) for name in ("doc", "component")), block.field("n").to_numpy().astype(np.int64), bits))
                 (d1, c1, n1, b1), (d2, c2, n2, b2) = sides[0], sides[-1]
                 small, large = np.minimum(n1[:, None], n2[None, :]), np.maximum(n1[:, None], n2[None, :])
                 p, q = np.nonzero((c1[:, None] != c2[None, :]) & (100 * small >= percent * large))
@@ -206,7 +212,8 @@ def _across(percent: int):
                 good = differ * (100 + percent) <= (n1[p] + n2[q]) * (100 - percent)
                 left.append(np.minimum(d1[p[good]], d2[q[good]]))
                 right.append(np.maximum(d1[p[good]], d2[q[good]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), kind), pa.array(np.concatenate(right), kind)], ["a", "b"])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), kind), pa.array(np.concatenate(right), kind)], ["a", "b"])
 
     return run
 
@@ -276,11 +283,12 @@ def near_groups(
     facts = cut(_facts(source, k, frequent))
     docs = facts.where("kind = 0").select("doc_id", "n", "d1", "d2", "bits")
     known = docs.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    # Ids of which one row may have another set than the next: each row links to its class.
-    member = cut(known.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep", "n", "bits"))
+    # Written first, so that the join below is one of two plain exchanges and a hot class is split.
+    classes = cut(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")).where("times > 1").drop("times"))
+    member = cut(known.join(classes, ["n", "d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n", "bits"))
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = member.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "bits")
+    # An id may have several rows and sets: it is one node, which stands for each class that has it as smallest id.
+    reps = member.where("doc_id = rep").select("doc_id", "n", "bits").distinct()
 
     often = facts.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("count"))
     rows, shingles = docs.agg(F.count("*"), F.sum("n")).first()
@@ -298,11 +306,11 @@ def near_groups(
 
     postings = _postings(source.where("doc_id is not null"), k, percent, (keys[by], rank[by]), light)
     token = Window.partitionBy("token")
-    spread = postings.withColumn("low", F.min("doc").over(token)).withColumn("high", F.max("doc").over(token)).where("low < high")
+    # One exchange by token: lists of one class go, then a class's copies other than its smallest id.
+    spread = postings.withColumn("low", F.min("digest").over(token)).withColumn("high", F.max("digest").over(token)).where("low < high")
+    head = F.min("doc").over(Window.partitionBy("token", "digest"))
     shared = cut(
-        spread.join(same.select(F.col("a").alias("doc")).distinct(), "doc", "left_anti")
-        .withColumn("pivot", F.min("doc").over(token)).withColumn("high", F.max("doc").over(token))
-        .where("pivot < high").select("token", "doc", "n", "pivot")
+        spread.withColumn("head", head).where("doc = head").withColumn("pivot", F.min("doc").over(token)).select("token", "doc", "pivot").distinct()
     )
     best = (
         shared.where("doc <> pivot").groupBy("doc", "pivot").count()
@@ -311,17 +319,25 @@ def near_groups(
     first = cut(_by_bitmap(best.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), reps, percent))
     links = cut(_verify(first, source, k, percent))
     groups = components(links)
-    labelled = shared.join(groups.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    nodes = reps.select(F.col("doc_id").alias("doc")).distinct().join(groups.withColumnRenamed("id", "doc"), "doc", "left")
+    labelled = shared.join(nodes.withColumn("component", F.coalesce("component", "doc")), "doc")
     mixed = (
-        labelled.withColumn("lowest", F.min("component").over(token)).withColumn("highest", F.max("component").over(token))
-        .where("lowest < highest").select("token", "doc", "component")
-        .join(reps.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
+        labelled.withColumn("lowest", F.min("component").over(token)).withColumn("highest", F.max("component").over(token)).withColumn("entries", F.count("*").over(token))
+        .where("lowest < highest").select("token", "component", "doc", "entries")
+    )
+    # Documents that share one token share many: equal lists are compared once.  Longer ones go in blocks.
+    short = cut(mixed.where(F.col("entries") <= CHUNK).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("component", "doc"))).alias("x")).select("x").distinct())
+    bitmaps = reps.select(F.col("doc_id").alias("doc"), "n", "bits")
+    entry = F.struct("doc", "component", "n", "bits")
+    once = (
+        short.select(F.monotonically_increasing_id().alias("list"), F.explode("x").alias("e")).select("list", "e.*").join(bitmaps, "doc")
+        .groupBy("list").agg(F.collect_list(entry).alias("x"))
     )
     chunk = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("component", "doc")) - 1) / CHUNK)
-    blocks = mixed.withColumn("chunk", chunk).groupBy("token", "chunk").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("x"))
+    blocks = mixed.where(F.col("entries") > CHUNK).join(bitmaps, "doc").withColumn("chunk", chunk).groupBy("token", "chunk").agg(F.collect_list(entry).alias("x"))
     others = blocks.select("token", F.col("chunk").alias("chunk2"), F.col("x").alias("y"))
     facing = blocks.join(others, "token").where("chunk <= chunk2").select("x", F.when(F.col("chunk") < F.col("chunk2"), F.col("y")).alias("y"))
-    across = facing.mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct()
+    across = once.select("x", F.lit(None).cast(facing.schema["y"].dataType).alias("y")).union(facing).mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct()
     second = _verify(cut(across), source, k, percent)
     every = links.union(second).union(same)
     labels = components(every)
