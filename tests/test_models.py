@@ -39,10 +39,19 @@ def test_ridge_is_the_closed_form(spark):
     x = rng.normal(size=(50, 2))
     y = x @ [1.0, -2.0] + rng.normal(size=50)
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "URA double, IRI double, y double")
-    fitted = models.fit(df, ["URA", "IRI"], "y", models.ridge(df, "y", 1.0))
-    xc, yc = x - x.mean(0), y - y.mean()
-    want = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ yc)
-    assert fitted.model.stages[-1].coefficients.toArray() == pytest.approx(want, abs=1e-6)
+    df = df.unionByName(spark.createDataFrame([(1.0, 2.0, None)] * 20, df.schema))  # rows without a label count for nothing
+    for alpha in (1.0, 5.0):
+        for kind, label in (("direct", y), ("delta", y - x[:, 0])):
+            fitted = models.fit(df, ["URA", "IRI"], "y", models.Ridge(alpha), target_type=kind)
+            xc, yc = x - x.mean(0), label - label.mean()
+            want = np.linalg.solve(xc.T @ xc + alpha * np.eye(2), xc.T @ yc)
+            assert fitted.model.stages[-1].coefficients.toArray() == pytest.approx(want, abs=1e-6)
+
+
+def test_stated_grids():
+    assert (len(models.BOOSTED_GRID), len(models.FOREST_GRID), len(set(models.FOCUSED_GRID))) == (6, 3, 20)
+    assert all(not set(v) & set(models.FORBIDDEN) for v in models.FEATURE_MIXTURES.values())
+    assert models.forest(*models.FOREST_GRID[0]).getMaxDepth() == 30 and models.boosted(*models.BOOSTED_GRID[0]).getMaxIter() == 650
 
 
 def test_leaks_are_refused(table):

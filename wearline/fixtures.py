@@ -12,7 +12,8 @@ from wearline.operators.temporal import fixed_horizons
 #: Valid in Spark SQL and in DuckDB: returned lines are treatments, other lines measurements.
 EVENTS_SQL = """
 SELECT CAST(l.l_partkey AS STRING) AS Segment_ID, p.p_type AS ELY, p.p_brand AS Toim_lk,
-       CAST(p.p_size AS DOUBLE) AS KVL, CAST(p.p_size % 7 AS DOUBLE) AS KVL_raskas, l.l_shipdate AS event_date,
+       CAST(p.p_size AS DOUBLE) AS KVL, CAST(p.p_size % 7 AS DOUBLE) AS KVL_raskas, CAST(p.p_size % 5 AS DOUBLE) AS KVL_kaista,
+       CAST(40 + 20 * (p.p_size % 4) AS DOUBLE) AS Nopeus, l.l_shipdate AS event_date,
        CASE WHEN l.l_returnflag = 'R' THEN 'TP' ELSE 'PTM' END AS event_type,
        CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE 1 END AS event_order,
        row_number() OVER (PARTITION BY l.l_partkey, CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE 1 END
@@ -63,16 +64,20 @@ def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_horizons(training(spark, sf_dir))
 
 
-def wide(spark: SparkSession, sf_dir: str, slots: int = 40) -> DataFrame:
-    """One row per part with indexed slot columns as text: dates, decimal commas, placeholders of 1900."""
-    raw = raw_events(spark, sf_dir).where(F.col("slot_idx") <= slots)
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part with as many indexed slot columns as the data need, as text: dates, decimal commas, placeholders of 1900."""
+    raw = raw_events(spark, sf_dir)
+    slots = raw.agg(F.max("slot_idx")).first()[0] or 1
     date = F.when(F.col("slot_idx") % 11 == 0, "1900-01-01").when(F.col("slot_idx") % 13 == 0, "none").otherwise(F.date_format("event_date", "yyyy-MM-dd"))
     number = lambda c: F.when(F.col("slot_idx") % 5 == 0, F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))).otherwise(F.col(c).cast("string"))
     picked = raw.select("Segment_ID", "ELY", "KVL", "event_type", "slot_idx", date.alias("date"), number("URA").alias("ura"), number("IRI").alias("iri"), "Tp_pinta", "Tp_tyomen")
+    entry = F.struct("date", "iri", "ura", "Tp_pinta", "Tp_tyomen")
+    # A map of slots for each kind of event, then one column for each slot.
+    slot = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("event_type") == kind, F.struct("slot_idx", entry.alias("v")))))
+    maps = picked.groupBy("Segment_ID", "ELY", "KVL").agg(slot("PTM").alias("m"), slot("TP").alias("t"))
     out = []
     for i in range(1, slots + 1):
-        m, t = F.expr(f"event_type = 'PTM' AND slot_idx = {i}"), F.expr(f"event_type = 'TP' AND slot_idx = {i}")
-        out += [F.max(F.when(m, F.col(c))).alias(f"{n}_{i}") for n, c in (("PTM_pvm", "date"), ("Iri", "iri"), ("Ura_max", "ura"))]
-        out += [F.max(F.when(t, F.col(c))).alias(f"{n}_{i}") for n, c in (("Tp_pvm", "date"), ("Tp_pinta", "Tp_pinta"), ("Tp_tyomen", "Tp_tyomen"))]
-    length = F.when(F.first("Segment_ID").cast("long") % 10 == 0, 90.0).otherwise(100.0).alias("Pituus")
-    return picked.groupBy("Segment_ID", "ELY", "KVL").agg(length, *out)
+        out += [F.try_element_at("m", F.lit(i))[c].alias(f"{n}_{i}") for n, c in (("PTM_pvm", "date"), ("Iri", "iri"), ("Ura_max", "ura"))]
+        out += [F.try_element_at("t", F.lit(i))[c].alias(f"{n}_{i}") for n, c in (("Tp_pvm", "date"), ("Tp_pinta", "Tp_pinta"), ("Tp_tyomen", "Tp_tyomen"))]
+    length = F.when(F.col("KVL") % 10 == 0, 90.0).otherwise(100.0).alias("Pituus")
+    return maps.select("Segment_ID", "ELY", "KVL", length, *out)

@@ -153,6 +153,11 @@ def trend(current: Column, rate: Column, horizon: Column) -> Column:
     return current + horizon * rate
 
 
+def parameter_key(params: Column, names: Sequence[str]) -> Column:
+    """A struct's fields as JSON in one fixed order, so that equal parameters have equal keys."""
+    return F.to_json(F.struct(*(params[n].alias(n) for n in sorted(names))))
+
+
 def ordered(df: DataFrame, preferred: Sequence[str]) -> DataFrame:
     """Preferred columns first (absent ones skipped), the others after them."""
     head = [c for c in preferred if c in df.columns]

@@ -210,6 +210,12 @@ def coverage_by(table: DataFrame, *by: str) -> DataFrame:
     return table.groupBy(*by).agg(F.count("*").alias("rows"), share(F.col("surface_known")).alias("surface_known_share"), share(F.col("material_known")).alias("material_known_share"), share(F.col("both_known")).alias("both_known_share"))
 
 
+def edge_rows(table: DataFrame) -> DataFrame:
+    """Rows with a treatment in their interval whose class is none or other."""
+    odd = F.col("tp_surface_type").isin("none", "other") | F.col("tp_material_type").isin("none", "other")
+    return table.where(F.coalesce(F.col("has_TP_interval"), F.lit(False)) & odd)
+
+
 def edge_counters(table: DataFrame) -> DataFrame:
     has = F.coalesce(F.col("has_TP_interval"), F.lit(False))
     counts = {

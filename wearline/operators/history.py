@@ -23,6 +23,11 @@ def chronology() -> Window:
     return Window.partitionBy(ASSET).orderBy(*CHRONOLOGY)
 
 
+def backwards() -> Window:
+    """The chronology from its end.  What lies ahead is a running frame here; one that ends at the end would be evaluated anew for each row."""
+    return Window.partitionBy(ASSET).orderBy(*(F.desc(c) for c in CHRONOLOGY))
+
+
 def is_measurement() -> Column:
     return F.col("event_type") == "PTM"
 
@@ -59,7 +64,7 @@ def neighbours(events: DataFrame) -> DataFrame:
     w = chronology()
     own = F.struct("event_date", "URA", "IRI")
     before = F.last(F.when(is_measurement(), own), ignorenulls=True).over(w.rowsBetween(FIRST, -1))
-    after = F.first(F.when(is_measurement(), F.col("event_date")), ignorenulls=True).over(w.rowsBetween(1, LAST))
+    after = F.last(F.when(is_measurement(), F.col("event_date")), ignorenulls=True).over(backwards().rowsBetween(FIRST, -1))
     found = events.withColumn("_b", F.when(is_measurement(), before)).withColumn("next_meas_date", F.when(is_measurement(), after))
     found = found.withColumns({"prev_meas_date": F.col("_b.event_date"), "prev_URA": F.col("_b.URA"), "prev_IRI": F.col("_b.IRI")}).drop("_b")
     days = elapsed_days(F.col("event_date"), F.col("prev_meas_date"))
@@ -108,10 +113,11 @@ def treatment_context(events: DataFrame) -> DataFrame:
     A measurement of the same day is both.  Frames are by date alone, so it is in both of them.
     """
     day = Window.partitionBy(ASSET).orderBy("event_date")
+    from_end = Window.partitionBy(ASSET).orderBy(F.desc("event_date"))
     m = is_measurement()
     own = F.struct("event_date", "slot_idx", "cycle_num", "Initial_URA", "_start")
     before = F.max(F.when(m, own)).over(day.rangeBetween(FIRST, NOW))
-    after = F.min(F.when(m, F.struct("event_date", "slot_idx"))).over(day.rangeBetween(NOW, LAST))
+    after = F.min(F.when(m, F.struct("event_date", "slot_idx"))).over(from_end.rangeBetween(FIRST, NOW))
     found = events.withColumns({"_b": before, "_a": after})
     date = F.col("event_date")
 

@@ -101,7 +101,10 @@ def with_gain(results: DataFrame, baseline: DataFrame, on: Sequence[str], measur
 
 def best_per_group(results: DataFrame, group: Sequence[str], measure: str, ties: Sequence[str]) -> DataFrame:
     """The whole row of the smallest figure per group."""
-    w = Window.partitionBy(*group).orderBy(F.col(measure).asc_nulls_last(), *ties) if group else Window.partitionBy(F.lit(1)).orderBy(measure, *ties)
+    order = [F.col(measure).asc_nulls_last(), *ties]
+    if not group:
+        return results.orderBy(*order).limit(1)
+    w = Window.partitionBy(*group).orderBy(*order)
     return results.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 

@@ -135,21 +135,43 @@ def _(s, d):
 _PARAMS = "'{\"learning_rate\": ' || CAST(o_custkey % 5 AS VARCHAR) || ', \"leaf\": ' || CAST(o_custkey % 3 AS VARCHAR) || '}'"
 
 
-@query("prj_27_json_parameters", "SELECT o_orderkey, CAST(o_custkey % 5 AS DOUBLE) AS learning_rate, CAST(o_custkey % 3 AS BIGINT) AS leaf FROM orders")
-def _(s, d):
+_KEY = "'{\"leaf\":' || CAST(o_custkey % 3 AS VARCHAR) || ',\"learning_rate\":' || CAST(CAST(o_custkey % 5 AS DOUBLE) AS VARCHAR) || '}'"
+
+
+def _candidates(s, d):
     x = fx.view(s, d, "orders").select("o_orderkey", F.from_json(F.expr(_PARAMS.replace("VARCHAR", "STRING")), "learning_rate double, leaf long").alias("p"))
-    return x.select("o_orderkey", "p.*")
+    return x.select("o_orderkey", "p.*", col.parameter_key(F.col("p"), ["leaf", "learning_rate"]).alias("params_key"))
+
+
+@query("ddp_03_distinct_candidates", f"SELECT DISTINCT CAST(o_custkey % 5 AS DOUBLE) AS learning_rate, CAST(o_custkey % 3 AS BIGINT) AS leaf, {_KEY} AS params_key FROM orders")
+def _(s, d):
+    """Candidates once by their canonical parameters."""
+    return _candidates(s, d).drop("o_orderkey").dropDuplicates(["params_key"])
+
+
+@query("prj_27_json_parameters", f"SELECT o_orderkey, CAST(o_custkey % 5 AS DOUBLE) AS learning_rate, CAST(o_custkey % 3 AS BIGINT) AS leaf, {_KEY} AS params_key FROM orders")
+def _(s, d):
+    return _candidates(s, d)
+
+
+@query("prj_15_column_order", f"WITH {SUP} SELECT Segment_ID, slot_idx, event_date, {r('URA', 'IRI')} FROM sup")
+def _(s, d):
+    """Preferred columns first, absent ones skipped, extras behind them."""
+    return col.ordered(fx.training(s, d).select("IRI", "URA", "Segment_ID", "event_date", "slot_idx"), ["Segment_ID", "event_date", "no_such_column", "URA"])
 
 
 # Reshaping ----------------------------------------------------------------------------------------------------------
 
 _DATE = "CASE WHEN slot_idx % 11 = 0 OR slot_idx % 13 = 0 THEN NULL ELSE date_trunc('day', event_date)::TIMESTAMP END"
-_WIDE = f"WITH {RAW}, w AS (SELECT *, {_DATE} AS dt FROM raw WHERE slot_idx <= 40 AND CAST(Segment_ID AS BIGINT) % 10 <> 0)"
+_WIDE = f"WITH {RAW}, w AS (SELECT *, {_DATE} AS dt FROM raw WHERE KVL % 10 <> 0)"
 
 
 @query("src_01_rsh_01_wide_measurements", f"{_WIDE} SELECT Segment_ID, slot_idx, dt AS event_date, round(IRI, 6) AS IRI, round(URA, 6) AS URA, 'PTM' AS event_type, 1 AS event_order FROM w WHERE event_type = 'PTM' AND year(dt) >= 1996 AND IRI BETWEEN 0 AND 10 AND URA BETWEEN 0 AND 40")
 def _(s, d):
-    return reshape.measurements_long(fx.wide(s, d), ["Segment_ID"], first_year=1996)
+    """The wide table written and scanned again: key, length and the slots of three bases, found by their names."""
+    path = tables.work_dir(s, "wide")
+    tables.write_parquet(fx.wide(s, d), path)
+    return reshape.measurements_long(tables.scan_wide(s, path, ["Segment_ID"], ["Pituus", "absent"], ["PTM_pvm", "Iri", "Ura_max"]), ["Segment_ID"], first_year=1996)
 
 
 @query("prj_14_rsh_02_wide_treatments", f"{_WIDE} SELECT Segment_ID, slot_idx, dt AS event_date, Tp_pinta, Tp_tyomen, 'TP' AS event_type, 0 AS event_order FROM w WHERE event_type = 'TP' AND year(dt) >= 1996")
@@ -157,11 +179,11 @@ def _(s, d):
     return reshape.treatments_long(fx.wide(s, d), ["Segment_ID"], first_year=1996)
 
 
-@query("flt_01_03_rsh_03_union", f"{_WIDE} SELECT event_type, count(*) AS n, count(URA) AS with_value, count(Tp_pinta) AS with_surface FROM w WHERE year(dt) >= 1996 AND (event_type = 'TP' OR (IRI BETWEEN 0 AND 10 AND URA BETWEEN 0 AND 40)) GROUP BY event_type")
+@query("flt_01_03_rsh_03_union", f"{_WIDE} SELECT Segment_ID, slot_idx, dt AS event_date, event_type, round(IRI, 6) AS IRI, round(URA, 6) AS URA, Tp_pinta, Tp_tyomen FROM w WHERE year(dt) >= 1996 AND (event_type = 'TP' OR (IRI BETWEEN 0 AND 10 AND URA BETWEEN 0 AND 40))")
 def _(s, d):
     wide = fx.wide(s, d)
     both = reshape.union_events(reshape.measurements_long(wide, ["Segment_ID"], first_year=1996), reshape.treatments_long(wide, ["Segment_ID"], first_year=1996))
-    return both.groupBy("event_type").agg(F.count("*").alias("n"), F.count("URA").alias("with_value"), F.count("Tp_pinta").alias("with_surface"))
+    return both.select("Segment_ID", "slot_idx", "event_date", "event_type", "IRI", "URA", "Tp_pinta", "Tp_tyomen")
 
 
 @query("ddp_01_first_measurements", "SELECT user_id, event_type, min(value) AS v, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day, round(min(value) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)), 6) AS value FROM events) GROUP BY ALL")
@@ -170,10 +192,10 @@ def _(s, d):
     return reshape.first_measurements(x, ["user_id"]).groupBy("user_id", "event_type").agg(F.min("IRI").alias("v"), F.count("*").alias("n"))
 
 
-@query("ddp_02_first_treatments", f"WITH {RAW} SELECT count(*) AS n FROM (SELECT DISTINCT Segment_ID, event_date, event_type, Tp_pinta, Tp_tyomen FROM raw WHERE event_type = 'TP')")
+@query("ddp_02_first_treatments", f"WITH {RAW} SELECT DISTINCT Segment_ID, event_date, event_type, Tp_pinta, Tp_tyomen FROM raw WHERE event_type = 'TP'")
 def _(s, d):
     x = fx.raw_events(s, d).where("event_type = 'TP'").withColumn("slot_idx", F.lit(1))
-    return reshape.first_treatments(x, ["Segment_ID"]).agg(F.count("*").alias("n"))
+    return reshape.first_treatments(x, ["Segment_ID"]).select("Segment_ID", "event_date", "event_type", "Tp_pinta", "Tp_tyomen")
 
 
 @query("ddp_04_duplicate_audit", "SELECT coalesce(sum(c), 0)::BIGINT AS duplicate_rows, count(*) AS duplicate_keys FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
@@ -210,9 +232,9 @@ def _(s, d):
 # Joins in time and windows ------------------------------------------------------------------------------------------
 
 
-@query("joi_01_flt_07_semi_reduction", f"WITH {SEG} SELECT event_type, count(*) AS n, count(DISTINCT Segment_ID) AS assets FROM seg GROUP BY event_type")
+@query("joi_01_flt_07_semi_reduction", f"WITH {SEG} SELECT Segment_ID, slot_idx, event_type, event_date FROM seg")
 def _(s, d):
-    return history.semi_reduced(fx.events(s, d)).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("Segment_ID").alias("assets"))
+    return history.semi_reduced(fx.events(s, d)).select("Segment_ID", "slot_idx", "event_type", "event_date")
 
 
 @query("joi_02_interval_counts", f"WITH {P1} SELECT Segment_ID, slot_idx, tp_count_interval FROM p1")
@@ -372,7 +394,13 @@ def _(s, d):
     return audit.split_diagnostics(splits.with_split(x, splits.stratified_assets(x, "Segment_ID", "ELY"), "Segment_ID"))
 
 
-@query("agg_37_split_leaks", "SELECT 'x' AS Segment_ID, 0::BIGINT AS splits WHERE false")
+@query("agg_37_split_leaks", f"WITH {SUP}, q AS (SELECT Segment_ID, CASE WHEN year < 1996 THEN 'train' WHEN year = 1996 THEN 'validation' ELSE 'test' END AS split FROM sup WHERE year <= 1998) SELECT Segment_ID, count(DISTINCT split) AS splits FROM q GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def _(s, d):
+    """Assets that a split by year shares among its parts."""
+    return splits.leaks(splits.by_year(fx.training(s, d), "year", 1996, 1996, (1997, 1998)), "Segment_ID")
+
+
+@query("agg_37_asset_split_has_no_leaks", "SELECT 'x' AS Segment_ID, 0::BIGINT AS splits WHERE false")
 def _(s, d):
     x = fx.training(s, d)
     return splits.leaks(splits.with_split(x, splits.stratified_assets(x, "Segment_ID", "ELY"), "Segment_ID"), "Segment_ID")
@@ -577,6 +605,11 @@ def _(s, d):
     return audit.edge_counters(fx.training(s, d))
 
 
+@query("flt_12_edge_rows", f"WITH {SUP} SELECT Segment_ID, slot_idx, tp_count_interval, tp_surface_type, tp_material_type FROM sup WHERE has_TP_interval AND (tp_surface_type IN ('none', 'other') OR tp_material_type IN ('none', 'other'))")
+def _(s, d):
+    return audit.edge_rows(fx.training(s, d)).select("Segment_ID", "slot_idx", "tp_count_interval", "tp_surface_type", "tp_material_type")
+
+
 @query("agg_34_tp_count_distribution", f"WITH {SUP} SELECT tp_count_interval, count(*) AS n FROM sup GROUP BY 1")
 def _(s, d):
     return fx.training(s, d).groupBy("tp_count_interval").agg(F.count("*").alias("n"))

@@ -1,137 +1,307 @@
-"""Queries that fit models on the training table; their values are checked by properties, not by SQL."""
+"""Queries that fit models on the training table; fitted values are checked by properties, the tables around them by SQL."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline import fixtures as fx
-from wearline.operators import audit, reshape, splits, temporal
+from wearline.functions import columns as col
+from wearline.operators import audit, metrics, reshape, splits, temporal
 from wearline.operators.metrics import metrics_by_sets
 from wearline.operators.supervised import supervised
 from wearline.plans import models
-from wearline.plans.catalog import query
-from wearline.plans.oracle_views import HIST
+from wearline.plans.catalog import _RES, _SPLIT, _WIN, _results, query, r, rx
+from wearline.plans.oracle_views import HIST, MATERIAL, SUP, SURFACE
 from wearline.sources import tables
 
+FULL = models.FEATURE_MIXTURES["current_static_lag_lifecycle_material"]
+CURRENT = models.FEATURE_MIXTURES["current"]
+#: The queries' share of the stated trees and iterations is 1 / SCALE; ``models.estimators()`` has them whole.
+SCALE = 20
+TUNING_SCALE = 100
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supervised(temporal.current_material(fx.history(spark, sf_dir))).withColumn("observed_lifecycle_age_years", F.col("Pavement_Age_years"))
+
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    table = supervised(temporal.current_material(fx.history(spark, sf_dir))).withColumn("observed_lifecycle_age_years", F.col("Pavement_Age_years"))
-    split = splits.with_split(table, splits.stratified_assets(table, "Segment_ID", "ELY"), "Segment_ID").persist()  # each fit reads it several times
+    """Train, validation and test rows of the training table, written once since each fit reads them several times."""
+    table = _table(spark, sf_dir)
+    path = tables.work_dir(spark, "training")
+    tables.write_parquet(splits.with_split(table, splits.stratified_assets(table, "Segment_ID", "ELY"), "Segment_ID"), path)
+    split = spark.read.parquet(path)
     return tuple(split.where(F.col("split") == n) for n in ("train", "validation", "test"))
 
 
-FULL = models.FEATURE_MIXTURES["current_static_lag_lifecycle_material"]
+#: The training table with split, current material and alias, in SQL.
+_FULL = f"""WITH {SUP}, {_SPLIT}, lp AS (
+  SELECT sup.*, sp.split, Pavement_Age_years AS observed_lifecycle_age_years, lx.d AS latest_material_event_date,
+    {SURFACE.format(c='lx.s', n='unknown')} AS surface_type_current, {MATERIAL.format(c='lx.w', n='unknown')} AS material_type_current,
+    CASE WHEN lx.d IS NOT NULL THEN 1.0 END AS years_since_material_update
+  FROM sup JOIN sp USING (Segment_ID) LEFT JOIN lx USING (Segment_ID, slot_idx))"""
+
+
+def _mixture_rows() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{k}' AS feature_mixture, {len(v)} AS n_features, '{', '.join(v)}' AS features, count(*) FILTER ({' AND '.join(f'{f} IS NOT NULL' for f in v)}) AS complete_rows FROM lp WHERE split = 'train'"
+        for k, v in models.FEATURE_MIXTURES.items()
+    )
 
 
-@query("ml_01_rsh_09_feature_mixtures")
+@query("ml_01_rsh_09_feature_mixtures", f"{_FULL} {_mixture_rows()}")
 def _(s, d):
     """Each mixture's features and the training rows that have all of them."""
     train, _, _ = _split(s, d)
-    own = {k: [f for f in v if f in train.columns] for k, v in models.FEATURE_MIXTURES.items()}
-    full = train.agg(*(F.count_if(reduce(lambda x, y: x & y, (F.col(f).isNotNull() for f in v))).alias(k) for k, v in own.items()))
-    return reshape.feature_lists(s, own).join(F.broadcast(audit.tall(full, list(own), "feature_mixture", "complete_rows")), "feature_mixture")
+    full = train.agg(*(F.count_if(reduce(lambda x, y: x & y, (F.col(f).isNotNull() for f in v))).alias(k) for k, v in models.FEATURE_MIXTURES.items()))
+    return reshape.feature_lists(s, models.FEATURE_MIXTURES).join(F.broadcast(audit.tall(full, list(models.FEATURE_MIXTURES), "feature_mixture", "complete_rows")), "feature_mixture")
 
 
-@query("flt_11_feature_guard")
+_ASKED = [*CURRENT, "target_next_URA", "ELY", "year", "baseline_persist_IRI", "tp_surface_type", "Tie", "no_such_column"]
+_ABSENT = ("Tie", "no_such_column")
+_BAD = [(f, "leaks the target") for f in _ASKED if f in models.FORBIDDEN] + [(f, "missing") for f in _ABSENT]
+
+
+@query("flt_11_feature_guard", f"WITH {SUP} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, '{fault}' AS fault, {'0 * count(*)' if f in _ABSENT else f'count({f})'} AS rows FROM sup" for f, fault in _BAD))
 def _(s, d):
     """Faulty features of a list, with the rows in which they have a value."""
     table = fx.training(s, d)
-    bad = models.violations(table.columns, [*models.FEATURE_MIXTURES["current"], "target_next_URA", "Nopeus"])
-    present = [f for f, _ in bad if f in table.columns]
+    bad = models.violations(table.columns, _ASKED)
+    present = [f for f in dict.fromkeys(f for f, _ in bad) if f in table.columns]
     counts = audit.tall(table.agg(*(F.count(f).alias(f) for f in present)), present, "feature", "rows")
-    return s.createDataFrame(bad, "feature string, fault string").join(F.broadcast(counts), "feature", "left")
+    return s.createDataFrame(bad, "feature string, fault string").join(F.broadcast(counts), "feature", "left").na.fill(0, ["rows"])
+
+
+_NUMERIC = ("URA", "IRI", "KVL", "KVL_kaista", "prev_URA", "Delta_t_years", "target_horizon_years")
 
 
-@query("ml_13_14_16_23_tuning")
+@query("ml_02_medians", f"{_FULL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median FROM lp WHERE split = 'train'" for c in _NUMERIC))
 def _(s, d):
-    """Two stages of ridge penalties on delta targets, the best of each, and its refit's errors on the test rows."""
-    train, valid, test = _split(s, d)
-    mixtures = {"current_static_lag_lifecycle_material": FULL}
-    stages, best = {}, 1.0
-    for name, factors in (("coarse", (0.01, 1.0, 100.0)), ("focused", (0.5, 1.0, 2.0))):
-        grids = {f"ridge_{best * f:g}": models.ridge(train, "target_next_URA", best * f) for f in factors}
-        stages[name] = models.grid(train, valid, mixtures, "target_next_URA", grids, ("delta",)).drop("fit_seconds")
-        best = float(models.chosen(stages[name]).first()["model"].split("_")[1])
-    fitted = models.fit(train.unionByName(valid), FULL, "target_next_URA", models.ridge(train, "target_next_URA", best), target_type="delta")
-    tested = models.evaluated(fitted, test).select(F.col("rmse").alias("test_rmse"), F.col("r2").alias("test_r2"))
-    return models.progression(stages).select("stage", "stage_no", "model", "rmse", "r2").join(F.broadcast(tested))
+    """Fills of numeric features, from the training rows alone."""
+    train, _, _ = _split(s, d)
+    return s.createDataFrame(list(models.medians(train, _NUMERIC).items()), "feature string, median double")
+
 
+_NAMED = ("Toim_lk", "ELY", "surface_type_current", "material_type_current")
 
-@query("ml_02_04_flt_10_fitted_fills")
+
+@query("ml_04_modes", f"{_FULL} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS feature, {c} AS mode FROM lp WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" for c in _NAMED))
 def _(s, d):
+    """Most frequent values of category features in the training rows (ties: the smallest)."""
     train, _, _ = _split(s, d)
-    rows = [(k, str(round(v, 6))) for k, v in models.medians(train, ["URA", "prev_URA", "Delta_t_years"]).items()] + list(models.modes(train, ["Toim_lk"]).items())
-    return s.createDataFrame([*rows, *((c, "empty") for c in models.empty_columns(train, ["URA", "IRI"]))], "feature string, fill string")
+    return s.createDataFrame(list(models.modes(train, _NAMED).items()), "feature string, mode string")
+
+
+_PROBED = ("URA", "prev_URA", "prev_IRI", "Delta_t_years", "KVL")
+
+
+@query("flt_10_empty_columns", f"WITH {SUP} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS rows, count({c}) = 0 AS dropped FROM sup WHERE prev_meas_date IS NULL" for c in _PROBED))
+def _(s, d):
+    """Features without a value, which a fit drops: first measurements have no previous one."""
+    first = fx.training(s, d).where("prev_meas_date is null")
+    gone = models.empty_columns(first, _PROBED)
+    counts = audit.tall(first.agg(*(F.count(c).alias(c) for c in _PROBED)), list(_PROBED), "feature", "rows")
+    return counts.withColumn("dropped", F.col("feature").isin(gone))
+
 
+@query("flt_08_horizon_bands", f"WITH {SUP} " + " UNION ALL ".join(f"SELECT '{n}' AS band, Segment_ID, slot_idx, round(target_horizon_days, 6) AS target_horizon_days FROM sup WHERE target_horizon_days BETWEEN {a} AND {b}" for n, a, b in (*col.HORIZON_WINDOWS, *fx.WINDOWS)))
+def _(s, d):
+    """The rows of each horizon band, of the fixed ones and of the shorter ones that these data have more of."""
+    table = fx.training(s, d)
+    bands = [models.band(table, w).select(F.lit(w[0]).alias("band"), "Segment_ID", "slot_idx", "target_horizon_days") for w in (*col.HORIZON_WINDOWS, *fx.WINDOWS)]
+    return reduce(DataFrame.unionByName, bands)
 
-@query("ml_06_12_15_24_validation_grid")
+
+@query("prj_18_lifecycle_age", f"WITH {SUP} SELECT Segment_ID, slot_idx, {rx(observed_lifecycle_age_years='Pavement_Age_years')} FROM sup")
 def _(s, d):
+    return _table(s, d).select("Segment_ID", "slot_idx", "observed_lifecycle_age_years")
+
+
+@query("ml_06_12_15_validation_grid")
+def _(s, d):
+    """Linear models of all mixtures, both targets, direct and as differences, with persistence beside them."""
     train, valid, _ = _split(s, d)
+    linear = {k: v for k, v in models.estimators(SCALE).items() if k in ("linear", "ridge")}
+    grids = [models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", linear, ("direct", "delta"), c) for c in ("URA", "IRI")]
+    return grids[0].unionByName(grids[1]).drop("fit_seconds")
+
+
+@query("ml_12_tree_grid")
+def _(s, d):
+    """Forests and boosted trees of all mixtures and both targets."""
+    train, valid, _ = _split(s, d)
+    trees = {k: v for k, v in models.estimators(SCALE).items() if k in ("random_forest", "boosted_trees")}
+    grids = [models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", trees, ("direct",), c) for c in ("URA", "IRI")]
+    return grids[0].unionByName(grids[1]).drop("fit_seconds")
+
+
+@query("ml_13_23_tuning")
+def _(s, d):
+    """All candidates of the tuning stages on the actual scale, and the best of each stage."""
+    train, valid, _ = _split(s, d)
+    mixture = {"current_static_lag_lifecycle_material": FULL}
+    boosted = lambda grid: {f"boosted_{i}": models.boosted(*c, scale=TUNING_SCALE) for i, c in enumerate(grid, 1)}
+    forests = {f"forest_{i}": models.forest(*c, scale=TUNING_SCALE) for i, c in enumerate(models.FOREST_GRID, 1)}
+    stages = {
+        "coarse": models.grid(train, valid, mixture, "target_next_URA", {**boosted(models.BOOSTED_GRID), **forests}),
+        "focused": models.grid(train, valid, mixture, "target_next_URA", boosted(models.FOCUSED_GRID), ("delta",)),
+    }
+    best = models.progression(stages).select("stage", F.col("model").alias("best_model"))
+    tagged = [rows.withColumn("stage", F.lit(n)) for n, rows in stages.items()]
+    return tagged[0].unionByName(tagged[1]).join(F.broadcast(best), "stage").withColumn("is_best", F.col("model") == F.col("best_model")).drop("fit_seconds", "best_model")
+
+
+@query("ml_14_16_17_src_04_snk_03_04_final_model")
+def _(s, d):
+    """Tuning tables are written and read again (one is missing), the best distinct candidate is refitted on train and validation and
+    scored once on test, for both targets; then it is fitted on all rows.  The manifest is written and read again."""
+    train, valid, test = _split(s, d)
+    grid = {f"ridge_{a:g}": models.Ridge(a) for a in (0.01, 1.0, 100.0)}
     mixtures = {k: models.FEATURE_MIXTURES[k] for k in ("current", "current_static_lag_lifecycle_material")}
-    chosen = {k: v for k, v in models.estimators(train, "target_next_URA").items() if k in ("linear", "ridge")}
-    return models.grid(train, valid, mixtures, "target_next_URA", chosen, ("direct", "delta")).drop("fit_seconds")
+    paths = {"tuning": tables.work_dir(s, "tuning"), "repeat": tables.work_dir(s, "tuning"), "missing": tables.work_dir(s, "missing")}
+    found = models.grid(train, valid, mixtures, "target_next_URA", grid, ("direct", "delta"))
+    tables.write_csv(found, paths["tuning"])
+    tables.write_csv(found, paths["repeat"])
+    candidates = models.distinct_candidates(tables.read_results(s, paths, models.RESULTS))
+    best = models.chosen(candidates).first()
+    make, features = models.Ridge(json.loads(best["params"])["alpha"]), mixtures[best["feature_mixture"]]
+    both, everything, rows = train.unionByName(valid), train.unionByName(valid).unionByName(test), []
+    for c in ("URA", "IRI"):
+        final = models.fit(both, features, f"target_next_{c}", make, current=c, target_type=best["target_type"])
+        production = models.fit(everything, features, f"target_next_{c}", make, current=c, target_type=best["target_type"])
+        n, mae, rmse, r2 = models.evaluated(final, test).first()
+        still = metrics.metrics(test, f"target_next_{c}", c).first()["rmse"]
+        rows.append((f"target_next_{c}", best["model"], best["target_type"], best["feature_mixture"], n, mae, rmse, r2, still, everything.count(), float(production.model.stages[-1].intercept)))
+    manifest = tables.work_dir(s, "manifest")
+    tables.write_manifest(s, {"seed": 42, "best_model": best["model"], "candidates": candidates.count()}, manifest)
+    told = tables.read_manifest(s, manifest).select("seed", "candidates")
+    schema = "target string, model string, target_type string, feature_mixture string, test_rows long, mae double, rmse double, r2 double, persistence_rmse double, production_rows long, production_intercept double"
+    return s.createDataFrame(rows, schema).join(F.broadcast(told))
+
+
+@query("ml_24_flt_08_band_ablation")
+def _(s, d):
+    """Mixture, target and model within each horizon band, errors by band in columns, persistence beside them."""
+    train, valid, _ = _split(s, d)
+    linear, found = {"linear": models.estimators()["linear"], "ridge": models.Ridge()}, []
+    for w in fx.WINDOWS:
+        own, check = models.band(train, w), models.band(valid, w)
+        for c in ("URA", "IRI"):
+            found.append(models.grid(own, check, models.FEATURE_MIXTURES, f"target_next_{c}", linear, ("direct",), c).withColumn("band", F.lit(w[0])))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.groupBy("model", "target", "feature_mixture").pivot("band", [w[0] for w in fx.WINDOWS]).agg(F.first("rmse").alias("rmse"), F.first("persistence_rmse").alias("persistence_rmse"))
+
+
+_STAGES = f"""WITH {SUP}, c AS (SELECT *, {_WIN.format(c='target_horizon_days')} AS stage FROM sup),
+p AS (SELECT stage, 'persistence' AS model, target_next_URA AS y, URA AS x FROM c UNION ALL SELECT stage, 'previous', target_next_URA, prev_URA FROM c UNION ALL SELECT stage, 'mean_of_both', target_next_URA, (URA + prev_URA) / 2 FROM c),
+g AS (SELECT stage, model, count(x) AS n, sqrt(avg((y - x) ** 2)) AS rmse FROM p WHERE x IS NOT NULL GROUP BY stage, model)"""
+
+
+@query("ml_23_stage_progression", f"{_STAGES} SELECT stage, model, n, round(rmse, 6) AS rmse FROM g QUALIFY row_number() OVER (PARTITION BY stage ORDER BY round(rmse, 9), model) = 1")
+def _(s, d):
+    """The best predictor of each stage, a stage being a horizon window."""
+    x = fx.training(s, d).withColumn("stage", col.horizon_window(F.col("target_horizon_days"), fx.WINDOWS)).withColumn("both", (F.col("URA") + F.col("prev_URA")) / 2)
+    kinds = {m: ("URA", "target_next_URA", c) for m, c in (("persistence", "URA"), ("previous", "prev_URA"), ("mean_of_both", "both"))}
+    long = metrics.unpivot_predictors(x, ["stage"], kinds).where("prediction is not null")
+    found = long.groupBy("stage", "model").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("actual") - F.col("prediction")) ** 2)), 9).alias("rmse"))
+    return metrics.best_per_group(found, ["stage"], "rmse", ["model"])
 
 
 @query("ml_10_random_forest_breakdown")
 def _(s, d):
     train, valid, test = _split(s, d)
-    both = train.unionByName(valid)
-    fitted = models.fit(both, FULL, "target_next_URA", models.estimators(train, "target_next_URA")["random_forest"], target_type="delta")
+    fitted = models.fit(train.unionByName(valid), FULL, "target_next_URA", models.estimators(SCALE)["random_forest"], target_type="delta")
     return metrics_by_sets(fitted.predict(test), [], ["ELY", "Toim_lk"], "target_next_URA", "prediction")
 
 
 @query("ml_11_boosted_trees")
 def _(s, d):
+    """With early stopping on a tenth of the assets: errors, persistence and the trees that were kept."""
     train, valid, _ = _split(s, d)
-    fitted = models.fit(train, FULL, "target_next_URA", models.estimators(train, "target_next_URA")["boosted_trees"], target_type="delta")
-    return models.evaluated(fitted, valid)
+    fitted = models.fit(train, FULL, "target_next_URA", models.boosted(0.3, 400, 31, 50, scale=SCALE), target_type="delta")
+    still = metrics.metrics(valid, "target_next_URA", "URA").first()["rmse"]
+    return models.evaluated(fitted, valid).withColumns({"persistence_rmse": F.lit(still), "trees": F.lit(fitted.model.stages[-1].getNumTrees)})
 
 
 @query("ml_18_19_weights")
 def _(s, d):
+    """Coefficients of a linear model and importances of a forest by encoded feature."""
     train, _, _ = _split(s, d)
-    return models.weights(models.fit(train, FULL, "target_next_URA", models.estimators(train, "target_next_URA")["linear"], scale=True), train)
+    known, out = models.estimators(SCALE), []
+    for name in ("linear", "random_forest"):
+        out.append(models.weights(models.fit(train, FULL, "target_next_URA", known[name], scale=name == "linear"), train).withColumn("model", F.lit(name)))
+    return out[0].unionByName(out[1])
 
 
 @query("ml_20_permutation_importance")
 def _(s, d):
     train, valid, _ = _split(s, d)
-    fitted = models.fit(train, models.FEATURE_MIXTURES["current"], "target_next_URA", models.estimators(train, "target_next_URA")["linear"])
-    return models.permutation_importance(fitted, valid, ["URA", "IRI"], ["Segment_ID", "slot_idx"], repeats=2)
+    fitted = models.fit(train, CURRENT, "target_next_URA", models.estimators()["linear"])
+    return models.permutation_importance(fitted, valid, CURRENT, ["Segment_ID", "slot_idx"])
 
 
 @query("ml_21_joi_10_agg_40_response")
 def _(s, d):
     train, valid, _ = _split(s, d)
-    fitted = models.fit(train, models.FEATURE_MIXTURES["current_static"], "target_next_URA", models.estimators(train, "target_next_URA")["linear"])
+    fitted = models.fit(train, models.FEATURE_MIXTURES["current_static"], "target_next_URA", models.estimators()["linear"])
     return models.response(fitted, valid, "KVL", audit.quantile_grid(valid, "KVL"), 500, ["Segment_ID", "slot_idx"])
 
 
 @query("ml_22_encoding")
 def _(s, d):
     train, valid, _ = _split(s, d)
-    return models.encoding(models.fit(train, FULL, "target_next_URA", models.estimators(train, "target_next_URA")["linear"]), valid)
+    return models.encoding(models.fit(train, FULL, "target_next_URA", models.estimators()["linear"]), valid)
+
+
+# Sinks and sources ----------------------------------------------------------------------------------------------------
 
 
-@query("snk_01_02_layout_by_asset", f"WITH {HIST} SELECT event_type, count(*) AS n, count(DISTINCT Segment_ID) AS assets FROM hist GROUP BY event_type")
+@query("snk_01_02_layout_by_asset", f"WITH {HIST} SELECT Segment_ID, slot_idx, event_type, event_date, {r('URA')}, Event_Idx FROM hist")
 def _(s, d):
     """The history written by asset and read again."""
-    folder = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-layout-')}/layout-{uuid.uuid4().hex}"
+    folder = tables.work_dir(s, "layout")
     tables.write_by_asset(fx.history(s, d), folder, buckets=16)
-    return s.read.parquet(folder).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("Segment_ID").alias("assets"))
+    return s.read.parquet(folder).select("Segment_ID", "slot_idx", "event_type", "event_date", "URA", "Event_Idx")
+
+
+@query("snk_02_bucketed_table", f"WITH {HIST} SELECT Segment_ID, count(*) AS n, max(Event_Idx) AS last FROM hist GROUP BY Segment_ID")
+def _(s, d):
+    """The history as a bucketed table; grouping by asset needs no exchange."""
+    name = tables.work_dir(s, "history").rsplit("/", 1)[1].replace("-", "_")
+    tables.save_bucketed(fx.history(s, d), name, buckets=8)
+    return s.table(name).groupBy("Segment_ID").agg(F.count("*").alias("n"), F.max("Event_Idx").alias("last"))
+
+
+@query("src_04_snk_03_result_tables", f"{_RES} SELECT ELY, Toim_lk, round(rmse, 6) AS rmse, n, 'first' AS source FROM res UNION ALL SELECT ELY, Toim_lk, round(rmse, 6), n, 'second' FROM res WHERE n > 5")
+def _(s, d):
+    """Result tables written as CSV and read again, tagged by their file; one that is missing is skipped."""
+    paths = {n: tables.work_dir(s, "results") for n in ("first", "second", "missing")}
+    found = _results(s, d)
+    tables.write_csv(found, paths["first"])
+    tables.write_csv(found.where("n > 5"), paths["second"])
+    return tables.read_results(s, paths, "ELY string, Toim_lk string, rmse double, n long")
+
+
+@query("snk_04_manifest", f"WITH {SUP} SELECT 42 AS seed, count(*) AS rows, count(DISTINCT Segment_ID) AS segments FROM sup")
+def _(s, d):
+    """Facts of the training table written as one JSON document and read again."""
+    n, segments = fx.training(s, d).agg(F.count("*"), F.countDistinct("Segment_ID")).first()
+    path = tables.work_dir(s, "manifest")
+    tables.write_manifest(s, {"seed": 42, "rows": n, "segments": segments}, path)
+    return tables.read_manifest(s, path).select(F.col("seed").cast("int").alias("seed"), "rows", "segments")
 
 
 @query("snk_05_06_saved_model_scores")
 def _(s, d):
-    """A model saved, loaded and applied to the test rows at one horizon."""
+    """A model saved and loaded, its scores of the test rows at a horizon of one year written and read again."""
     train, _, test = _split(s, d)
-    fitted = models.fit(train, models.FEATURE_MIXTURES["current"], "target_next_URA", models.estimators(train, "target_next_URA")["linear"])
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-model-')}/model-{uuid.uuid4().hex}"
+    fitted = models.fit(train, CURRENT, "target_next_URA", models.estimators()["linear"])
+    path, scores = tables.work_dir(s, "model"), tables.work_dir(s, "scores")
     tables.save_model(fitted.model, path)
     rows = models.prepared(test.withColumn("target_horizon_years", F.lit(1.0)), fitted.numeric, fitted.categories, fitted.fill)
-    return tables.score(tables.load_model(path), rows, 1).select("Segment_ID", "slot_idx", "forecast_horizon_years", "prediction")
+    tables.score(tables.load_model(path), rows, 1, scores)
+    return s.read.parquet(scores).select("Segment_ID", "event_date", "forecast_horizon_years", "prediction")

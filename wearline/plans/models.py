@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from collections.abc import Sequence
 
@@ -14,23 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wearline.operators.history import ASSET
 from wearline.operators.metrics import best_per_group, metrics
 from wearline.operators.splits import exact_sample, rank_key
 
 # Cumulative feature mixtures.
 FEATURE_MIXTURES = {
     "current": ["URA", "IRI", "target_horizon_years"],
-    "current_static": ["URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "Toim_lk"],
-    "current_static_lag": ["URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "Toim_lk", "prev_URA", "prev_IRI", "Delta_t_years"],
-    "current_static_lag_lifecycle": ["URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "Toim_lk", "prev_URA", "prev_IRI", "Delta_t_years", "observed_lifecycle_age_years", "Minor_TP_Count"],
+    "current_static": ["URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "KVL_kaista", "Nopeus", "Toim_lk"],
+    "current_static_lag": ["URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "KVL_kaista", "Nopeus", "Toim_lk", "prev_URA", "prev_IRI", "Delta_t_years"],
+    "current_static_lag_lifecycle": [
+        "URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "KVL_kaista", "Nopeus", "Toim_lk", "prev_URA", "prev_IRI", "Delta_t_years",
+        "observed_lifecycle_age_years", "Minor_TP_Count",
+    ],
     "current_static_lag_lifecycle_material": [
-        "URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "Toim_lk", "prev_URA", "prev_IRI", "Delta_t_years", "observed_lifecycle_age_years", "Minor_TP_Count",
-        "tp_count_interval", "surface_type_current", "material_type_current", "years_since_material_update",
+        "URA", "IRI", "target_horizon_years", "KVL", "KVL_raskas", "KVL_kaista", "Nopeus", "Toim_lk", "prev_URA", "prev_IRI", "Delta_t_years",
+        "observed_lifecycle_age_years", "Minor_TP_Count", "tp_count_interval", "surface_type_current", "material_type_current", "years_since_material_update",
     ],
 }
 CATEGORIES = ("Toim_lk", "surface_type_current", "material_type_current", "ELY")
-#: Columns that tell the target.
-FORBIDDEN = ("target_next_URA", "target_next_IRI", "target_next_event_date", "target_next_measurement_idx", "measurements_remaining_in_lifecycle", "has_next_measurement_in_lifecycle", "next_meas_date", "days_until_next_meas")
+# Columns that tell the target or the asset.
+FORBIDDEN = (
+    "target_next_URA", "target_next_IRI", "target_next_event_date", "target_next_measurement_idx", "baseline_persist_URA", "baseline_persist_IRI",
+    "measurements_remaining_in_lifecycle", "has_next_measurement_in_lifecycle", "year", "Initial_URA", "Measurement_Idx", "has_TP_interval",
+    "is_major_reset", "is_phantom_reset", "Tie", "Aosa", "Aet", "Losa", "Let", "ELY", "tp_surface_type", "tp_material_type",
+)
+# Candidates of the tuning stages as (learning rate, iterations, leaves, rows in a leaf, L2) and (trees, share of features, rows in a leaf).
+BOOSTED_GRID = (
+    (0.03, 650, 31, 50, 0.0), (0.05, 500, 31, 50, 0.0), (0.05, 500, 63, 50, 0.0), (0.05, 500, 63, 100, 0.01), (0.08, 350, 31, 50, 0.01), (0.08, 350, 63, 100, 0.05),
+)
+FOREST_GRID = ((250, "0.5", 5), (300, "0.7", 8), (350, "sqrt", 5))
+FOCUSED_GRID = (
+    (0.06, 500, 63, 100, 0.05), (0.08, 400, 63, 100, 0.05), (0.08, 500, 63, 100, 0.05), (0.10, 300, 63, 100, 0.05), (0.10, 400, 63, 100, 0.05),
+    (0.12, 300, 63, 100, 0.05), (0.08, 350, 95, 100, 0.05), (0.08, 350, 127, 100, 0.05), (0.10, 350, 95, 100, 0.05), (0.10, 350, 127, 100, 0.05),
+    (0.08, 350, 63, 75, 0.05), (0.08, 350, 63, 150, 0.05), (0.08, 350, 63, 200, 0.05), (0.08, 350, 63, 100, 0.03), (0.08, 350, 63, 100, 0.10),
+    (0.08, 350, 63, 100, 0.20), (0.10, 400, 95, 150, 0.10), (0.10, 400, 127, 150, 0.10), (0.06, 650, 95, 150, 0.10), (0.12, 300, 95, 150, 0.10),
+)
+#: A boosted model stops when its own tenth of the assets gains less than this.
+STOP_GAIN = 0.001
+
+
+def band(df: DataFrame, window: tuple[str, float, float], days: str = "target_horizon_days") -> DataFrame:
+    """The rows whose horizon lies in the band (name, first day, last day)."""
+    return df.where(F.col(days).between(window[1], window[2]))
 
 
 def violations(columns: Sequence[str], features: Sequence[str]) -> list[tuple[str, str]]:
@@ -77,18 +104,36 @@ def pipeline(numeric: Sequence[str], categories: Sequence[str], estimator, scale
     return Pipeline(stages=[*stages, estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "label"})])
 
 
-def ridge(train: DataFrame, target: str, alpha: float = 1.0) -> LinearRegression:
-    """Ridge with penalty ``alpha * |w|^2`` on the sum of squares, in Spark ML's units."""
-    n, sd = train.agg(F.count("*"), F.stddev_pop(target)).first()
-    return LinearRegression(solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha * (sd or 1.0) / max(n, 1))
+class Ridge:
+    """Ridge with penalty ``alpha * |w|^2`` on the sum of squares; Spark ML's units need the label that is fitted, so ``fit`` asks for them."""
+
+    def __init__(self, alpha: float = 1.0) -> None:
+        self.alpha = alpha
+
+    def on(self, labelled: DataFrame) -> LinearRegression:
+        n, sd = labelled.agg(F.count("label"), F.stddev_pop("label")).first()
+        return LinearRegression(solver="normal", elasticNetParam=0.0, standardization=False, regParam=self.alpha * (sd or 1.0) / max(n, 1))
+
+    def params(self) -> dict:
+        return {"alpha": self.alpha}
+
 
+def boosted(rate: float, iterations: int, leaves: int, leaf_rows: int, l2: float = 0.0, scale: int = 1) -> GBTRegressor:
+    """Boosted trees of about as many leaves, with early stopping; trees grow by level and have no L2.  ``scale`` divides the iterations."""
+    return GBTRegressor(
+        maxIter=max(1, iterations // scale), stepSize=rate, maxDepth=math.ceil(math.log2(leaves)), minInstancesPerNode=leaf_rows, seed=42,
+        validationIndicatorCol="stop", validationTol=STOP_GAIN,
+    )
 
-def estimators(train: DataFrame, target: str) -> dict:
-    return {
-        "linear": LinearRegression(regParam=0.0), "ridge": ridge(train, target),
-        "random_forest": RandomForestRegressor(numTrees=20, maxDepth=8, minInstancesPerNode=8, featureSubsetStrategy="0.5", seed=42),
-        "boosted_trees": GBTRegressor(maxIter=20, stepSize=0.1, maxDepth=5, minInstancesPerNode=20, seed=42),
-    }
+
+def forest(trees: int, share: str, leaf_rows: int, scale: int = 1) -> RandomForestRegressor:
+    """A forest as deep as Spark allows; ``scale`` divides the trees and a third of the depth."""
+    return RandomForestRegressor(numTrees=max(2, trees // scale), maxDepth=30 if scale == 1 else 10, minInstancesPerNode=leaf_rows, featureSubsetStrategy=share, seed=42)
+
+
+def estimators(scale: int = 1) -> dict:
+    """The four models of the grid; ``scale`` divides trees and iterations."""
+    return {"linear": LinearRegression(regParam=0.0), "ridge": Ridge(1.0), "random_forest": forest(100, "0.5", 8, scale), "boosted_trees": boosted(0.08, 200, 31, 50, 0.0, scale)}
 
 
 class Fitted:
@@ -106,16 +151,32 @@ class Fitted:
         return out.withColumn("level", level).select(*df.columns, F.col("level").alias("prediction"))
 
 
-def fit(train: DataFrame, features: Sequence[str], target: str, estimator, *, current: str = "URA", target_type: str = "direct", scale: bool = False) -> Fitted:
+def fills(train: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
+    """Numeric features' medians and, for each feature without any value, null, by two passes over the training rows."""
+    gone = set(empty_columns(train, features))
+    numeric = [f for f in features if f not in CATEGORIES and f not in gone]
+    return {**medians(train, numeric), **dict.fromkeys(gone)}
+
+
+def fit(
+    train: DataFrame, features: Sequence[str], target: str, estimator, *, current: str = "URA", target_type: str = "direct", scale: bool = False,
+    known: dict[str, float | None] | None = None,
+) -> Fitted:
+    """``known`` are fills of these features, and maybe of others, if they were made before from the same rows."""
     bad = violations(train.columns, features)
     if bad:
         raise ValueError(f"features can't be used: {bad}")
-    gone = set(empty_columns(train, features))
+    known = fills(train, features) if known is None else known
+    gone = {f for f in features if f in known and known[f] is None}
     numeric = [f for f in features if f not in CATEGORIES and f not in gone]
     categories = [f for f in features if f in CATEGORIES and f not in gone]
-    fill = medians(train, numeric)
+    fill = {f: known[f] for f in numeric}
     label = F.col(target) - F.col(current) if target_type == "delta" else F.col(target)
     x = prepared(train, numeric, categories, fill).withColumn("label", label.cast("double")).where("label is not null")
+    if isinstance(estimator, Ridge):
+        estimator = estimator.on(x)
+    elif estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol"):
+        x = x.withColumn("stop", F.substring(F.md5(F.concat_ws("|", F.lit("stop"), F.col(ASSET))), 1, 1).isin("0", "1"))
     return Fitted(pipeline(numeric, categories, estimator, scale).fit(x), numeric, categories, fill, target, current, target_type)
 
 
@@ -123,22 +184,42 @@ def evaluated(fitted: Fitted, df: DataFrame) -> DataFrame:
     return metrics(fitted.predict(df), fitted.target, "prediction")
 
 
+def parameters(estimator) -> dict:
+    if isinstance(estimator, Ridge):
+        return estimator.params()
+    return {p.name: v for p, v in estimator.extractParamMap().items() if isinstance(v, (int, float, str))}
+
+
+RESULTS = (
+    "model string, target string, target_type string, feature_mixture string, split string, evaluation_rows long, mae double, rmse double, r2 double, "
+    "persistence_rmse double, fit_seconds double, params string"
+)
+
+
 def grid(train: DataFrame, valid: DataFrame, mixtures: dict[str, Sequence[str]], target: str, models: dict, target_types: Sequence[str] = ("direct",), current: str = "URA") -> DataFrame:
-    """A result row per model, mixture and target type, equal parameters once."""
+    """A result row per model, mixture and target type, equal parameters once, with the persistence of the same rows beside it."""
     spark, rows, seen = train.sparkSession, [], set()
+    still = metrics(valid, target, current).first()["rmse"]
+    known = fills(train, list(dict.fromkeys(f for features in mixtures.values() for f in features)))
     for name, estimator in models.items():
-        params = json.dumps({p.name: v for p, v in sorted(estimator.extractParamMap().items(), key=lambda x: x[0].name) if isinstance(v, (int, float, str))}, sort_keys=True)
+        params = json.dumps(parameters(estimator), sort_keys=True)
         for mixture, features in mixtures.items():
             for kind in target_types:
                 if (name, params, mixture, kind) in seen:
                     continue
                 seen.add((name, params, mixture, kind))
                 began = time.time()
-                fitted = fit(train, features, target, estimator, current=current, target_type=kind, scale=name in ("linear", "ridge"))
+                fitted = fit(train, features, target, estimator, current=current, target_type=kind, scale=name in ("linear", "ridge"), known=known)
                 took = time.time() - began
                 n, mae, rmse, r2 = evaluated(fitted, valid).first()
-                rows.append((name, target, kind, mixture, "validation", n, mae, rmse, r2, took, params))
-    return spark.createDataFrame(rows, "model string, target string, target_type string, feature_mixture string, split string, evaluation_rows long, mae double, rmse double, r2 double, fit_seconds double, params string")
+                rows.append((name, target, kind, mixture, "validation", n, mae, rmse, r2, still, took, params))
+    return spark.createDataFrame(rows, RESULTS)
+
+
+def distinct_candidates(results: DataFrame) -> DataFrame:
+    """One row per candidate: model, target, target type, mixture and canonical parameters; of repeats the best."""
+    w = Window.partitionBy("model", "target", "target_type", "feature_mixture", "params").orderBy("rmse")
+    return results.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
 def chosen(results: DataFrame) -> DataFrame:

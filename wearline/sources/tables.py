@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -12,6 +14,24 @@ from wearline.functions.columns import to_date
 from wearline.operators.reshape import indexed
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or the folder set for checkpoints.
+
+    A temporary folder of this machine will do for a local session only.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-work-")
+    return base
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_wide(spark: SparkSession, path: str, keys: Sequence[str], statics: Sequence[str], bases: Sequence[str]) -> DataFrame:
     """Keys, those statics that exist and all indexed slots; nothing else is read."""
     table = spark.read.parquet(path)
