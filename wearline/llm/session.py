@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from wearline.sources.tables import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from files in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local
-    session, as in tests) is a temporary one used.
+    The folder is the session's ``spark.checkpoint.dir``, or the one set for checkpoints; only where
+    neither is set (a local session, as in tests) is a temporary one used, and a cluster's session
+    without one is refused.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -20,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-")
+    return shared_dir(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
