@@ -310,6 +310,36 @@ def test_repeated_passages_with_changed_words(spark):
     assert not missed, (len(missed), len(due))
 
 
+def test_repeated_passage_whose_parts_begin_elsewhere(spark):
+    """Each run of eight words of the passage occurs first in a short text of its own."""
+    rng = random.Random(12)
+    make = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage = make(60)
+    rows = [(i, " ".join(passage[i : i + 8])) for i in range(53)]
+    rows += [(i, " ".join(make(40) + passage + make(40))) for i in (100, 101, 102)] + [(101, "the same id again " * 3)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found} == {(101, 40, 100), (102, 40, 100)}
+
+
+def test_lone_seeds_grow_as_chains_do():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    xs, ys, pos, ref, due = [], [], [], [], []
+    for _ in range(300):
+        x, y = rng.integers(0, 50, rng.integers(8, 150)), rng.integers(0, 50, rng.integers(8, 150))
+        p, q = int(rng.integers(0, len(x) - 7)), int(rng.integers(0, len(y) - 7))
+        n = min(p, q, int(rng.integers(0, 70)))
+        m = min(len(x) - p - 8, len(y) - q - 8, int(rng.integers(0, 70)))
+        y[q - n : q + 8 + m] = np.where(rng.random(n + 8 + m) < 0.1, 99, x[p - n : p + 8 + m])
+        y[q : q + 8] = x[p : p + 8]
+        xs, ys, pos, ref = [*xs, x], [*ys, y], [*pos, p], [*ref, q]
+        due.append(passages.align(x, y, np.array([[p, q, 8]]), 24, 0.0))
+    offsets = lambda v: np.cumsum([0, *map(len, v)])
+    back, n, equal = passages.grow_lone((offsets(xs), np.concatenate(xs)), (offsets(ys), np.concatenate(ys)), np.arange(300), np.array(pos), np.array(ref), 8)
+    assert [[(p - b, p - b + m, q - b, q - b + m, e)] for p, q, b, m, e in zip(pos, ref, back, n, equal, strict=True)] == due
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(2)
     plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300)]
