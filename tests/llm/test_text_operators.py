@@ -229,6 +229,38 @@ def test_secrets_learn_from_distinct_findings(spark):
     assert all(score[900 + i] > 0 for i in range(20))
 
 
+def test_secret_forest_removes_false_positives(spark):
+    """All are assigned to a secret name; findings of made-up placeholders teach the forest which are none."""
+    rng = random.Random(14)
+    words = ["example", "sample", "change", "password", "please", "insert", "value", "here", "token", "local"]
+    real = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    fake = lambda: "-".join(rng.sample(words, 3)) + f"-{rng.randrange(10, 99)}"
+    findings = [(make(), 'the token = "', '" and', "src", y) for y, make in ((1.0, real), (0.0, fake)) for _ in range(60)]
+    labelled = spark.createDataFrame(findings, "value string, before string, after string, path string, label double")
+    new = [(i, f'the token = "{(real if i % 2 else fake)()}" and', "en", "src", 1) for i in range(60)]
+    found = secrets.scan(spark.createDataFrame(new, SCHEMA), findings=labelled, words=words).collect()
+    assert len(found) == 60
+    hits = {r["doc_id"] for r in found if r["is_secret"]}
+    assert len(hits & set(range(1, 60, 2))) >= 27 and len(hits & set(range(0, 60, 2))) <= 3
+
+
+def test_secret_candidates_and_redaction(spark):
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow/abc+\nxyz==\n-----END RSA PRIVATE KEY-----"
+    texts = {
+        1: 'x password = "correct-horse-battery" y', 2: f"key:\n{block}\nend", 3: "SG." + "a1B2" * 5 + "." + "c3D4" * 10 + " sent", 4: "pwd: P@ss.w0rd! ok",
+        5: "nothing to see here", 6: "long " * 40_000 + f"AKIA{'Z9' * 8} tail", 7: None, 8: "",
+    }
+    rows = [(i, t, "en", "src", None) for i, t in texts.items()] + [(None, f"one AKIA{'A1' * 8}", "en", None, None), (None, "two nothing", "en", None, None), (6, f"again AKIA{'B2' * 8}", "en", "s", None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit(1), "number": F.lit(2), "places": F.lit("p"), "start": F.lit(0), "value": F.lit("v"), "key": F.lit("k")})
+    found = {(r["doc_id"], r["value"]) for r in secrets.candidates(df).withColumnRenamed("key", "doc_id").collect()}
+    assert {(1, "correct-horse-battery"), (2, block), (3, texts[3].split(" ")[0]), (4, "P@ss.w0rd!")} <= found
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    out = sorted((r["doc_id"] or 0, r["text"] or "") for r in clean.collect())
+    assert [t for i, t in out if i == 0] == ["one [SECRET]", "two nothing"] and (5, texts[5]) in out and (2, "key:\n[SECRET]\nend") in out
+    assert (6, "again [SECRET]") in out and (6, "long " * 40_000 + "[SECRET] tail") in out and (7, "") in out and (8, "") in out and len(out) == len(rows)
+
+
 def test_suffix_tree_scores(docs, texts, nothing):
     rows = suffix_tree.score_texts(docs).collect()
     tokens = {i: WORD.findall(lower(t)) + [0] for i, t in texts.items()}

@@ -145,6 +145,7 @@ def with_slots(
     df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", *, weights: Mapping[str, float] | None = None,
     temperature: float = 0.5, block_chars: int = 100_000, rows_per_cell: int = 2_000, max_blocks: int = 1_000_000,
 ) -> DataFrame:
-    """All rows and columns of ``df`` with slot and offset_in_block, in any order; their order is the mix."""
+    """All rows and columns of ``df`` with slot and offset_in_block (columns of these names are replaced), in any order; their order is the mix."""
     placed = _placed(df, key, source, text, None, weights, temperature, block_chars, rows_per_cell, max_blocks)
-    return placed.select("row.*", "slot", F.col("offset").alias("offset_in_block"))
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in ("slot", "offset_in_block")]
+    return placed.select(*kept, "slot", F.col("offset").alias("offset_in_block"))
