@@ -275,6 +275,45 @@ def test_suffix_tree_scores(docs, texts, nothing):
     assert suffix_tree.score_texts(nothing).count() == 0
 
 
+def test_suffix_tree_scores_as_plain_counting(docs, texts):
+    depth, least, divergence, discount = 2, 0.002, 1.0, suffix_tree.DISCOUNT
+    stream = {i: " ".join(WORD.findall(lower(t))).encode() + b"\r" for i, t in texts.items()}
+    count = [Counter() for _ in range(depth + 1)]
+    for i, s in stream.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            padded = b"\n" * depth + s
+            for at in range(len(s)):
+                for k in range(depth + 1):
+                    count[k][padded[at + depth - k : at + depth], s[at]] += 1
+    total, states = sum(count[0].values()), {}
+
+    def probability(context, symbol, upto):
+        p = 1 / 256
+        for k in range(upto + 1):
+            own = states.get(context[len(context) - k :])
+            if own is not None:
+                p = own[symbol] if symbol in own else own["back"] * p
+        return p
+
+    for k in range(depth + 1):
+        made = {}
+        for context in {c for c, _ in count[k]}:
+            follow = {s: n for (c, s), n in count[k].items() if c == context}
+            n = sum(follow.values())
+            parent = {s: probability(context, s, k - 1) for s in follow}
+            told = sum(c * math.log(c / n / parent[s]) for s, c in follow.items())
+            if n >= least * total and (not k or context[1:] in states and told >= divergence * len(follow)):
+                back = discount * len(follow) / n
+                made[context] = {"back": back, **{s: max(c - discount, 0) / n + back * parent[s] for s, c in follow.items()}}
+        states.update(made)
+    assert len(states) > 50
+    for r in suffix_tree.score_texts(docs, depth=depth, least=least, divergence=divergence).collect():
+        s = stream[r["doc_id"]]
+        padded = b"\n" * depth + s
+        due = sum(math.log10(probability(padded[at : at + depth], s[at], depth)) for at in range(len(s)))
+        assert r["score"] == pytest.approx(due, rel=1e-9)
+
+
 def test_suffix_tree_probabilities_sum_to_one():
     import numpy as np
 

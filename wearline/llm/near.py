@@ -20,8 +20,9 @@ common order of shingles the first ``n - ceil(0.8 n) + c`` of both hold at least
 
 Defined cases: lower case means A-Z only; fewer words than a shingle give one shingle of all the
 words; null, empty and blank texts have no shingle, size 0 and link with nothing; equal texts
-always share a group; rows with equal ids are one node, which links by any of its texts, rows with a null id are left alone with a
-null group; an empty table gives an empty result.
+always share a group; rows with equal ids are one node, which links by any of its texts, rows with
+a null id are left alone with a null group; other columns may have any names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

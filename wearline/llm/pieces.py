@@ -4,8 +4,8 @@ A batch's texts are cut into units that no merge can cross (a run of spaces with
 to the next space; line breaks and tabs alone, as long as no piece holds them), and each distinct
 unit is kept once.  Then
 
-1. all suffixes of the concatenated units are sorted (by their first eight bytes; the rest of longer
-   pieces is compared after that),
+1. all suffixes of the concatenated units are sorted (by their first eight bytes, so this is a suffix
+   array to that depth; the rest of longer pieces is compared after the search),
 2. each piece's occurrences are a range of the suffix array, found by binary search for all pieces
    at once,
 3. the occurrences become edges (position, length, piece), sorted by position,

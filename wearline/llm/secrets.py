@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from wearline.llm.session import cut
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|credentials?|bearer)"
-#: A secret name, and the assignment, in front of a value.
-NAMED = rf"(?i:\b[\w-]{{0,20}}?{NAMES}[\w-]{{0,20}}[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}[\"']?)"
+#: A secret name (its last part is enough), and the assignment, in front of a value.
+NAMED = rf"(?i:{NAMES}[\w-]{{0,20}}[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}[\"']?)"
 # The frame of a key block, and the shapes of dotted tokens.
 BLOCKS = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 DOTTED = r"\bSG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"

@@ -10,7 +10,8 @@ sum to 1 in every state.  A symbol is scored in the longest suffix of its histor
 
 Counts cover all training texts: each task counts its distinct runs of depth + 1 symbols, Spark
 sums them.  Contexts below ``least`` can't be states, so what is collected and broadcast is at
-most ``depth / least`` contexts however large the corpus.
+most ``depth / least`` contexts with up to 256 next symbols each, however large the corpus: the
+word counts of the base grow with the corpus, the tree's size stops at that bound.
 
 The base score is a word unigram model with one added to each count.  Words that make up
 ``head`` or more of the training tokens (at most 1 / head of them) are broadcast; the others'
@@ -18,8 +19,8 @@ counts are joined to the texts by a shuffle, and sums per text come back.
 
 Defined cases: null, empty and blank texts have one token, the end; rows with equal or null ids
 are scored each for itself, a null id being neither held out nor different otherwise; without any
-training text all counts are 0 and the tree is the uniform distribution; an empty table gives an
-empty result; texts are scored whole.
+training text all counts are 0 and the tree is the uniform distribution; other columns may have
+any names; an empty table gives an empty result; texts are scored whole.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ forests.
 Defined cases: null labels, null vectors, null ids, zero vectors and vectors with null, infinite
 or NaN components link with nothing and are kept as their own component (null for a null id);
 vectors of other length than most of their label are compared with those of their length only;
-rows with equal ids are one node of the graph; an empty table gives an empty result.
+rows with equal ids are one node of the graph; ids are whole numbers; other columns may have any
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
