@@ -110,3 +110,17 @@ def test_empty_tables(spark):
     found = history.event_history(empty)
     assert found.count() == 0 and supervised.supervised(found).count() == 0
     assert audit.integrity(found).where("metric = 'rows'").first()["value"] == 0
+
+
+def test_frames_run_forward(spark):
+    """No frame from the current row to the end, which would be evaluated anew for each row of an asset."""
+    import io
+    from contextlib import redirect_stdout
+
+    from wearline import fixtures as fx
+
+    out = io.StringIO()
+    with redirect_stdout(out):
+        fx.history(spark, "/root/testdata/sf0.001").explain("extended")
+    frames = [x for x in out.getvalue().split("specifiedwindowframe(")[1:]]
+    assert frames and not any("unboundedfollowing" in f.split("))")[0] and "unboundedpreceding" not in f.split("))")[0] for f in frames)
