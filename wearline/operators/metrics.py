@@ -73,11 +73,12 @@ def driver_profile(df: DataFrame, driver: str, actual: str, predicted: str, bins
 def error_concentration(df: DataFrame, error: str, key: Sequence[str], buckets: int = 64) -> DataFrame:
     """Share of rows and of absolute error among the largest errors, per distinct error, without a global sort in one task.
 
-    Rows are counted per distinct absolute error, those are dealt into ranges, ranges get offsets.
+    Rows are counted per distinct absolute error, those are dealt into ranges of about as many by
+    approximate quantiles (which move bounds of ranges only, not the result), ranges get offsets.
     """
     per = df.select(F.abs(error).alias("e")).where("e is not null").groupBy("e").agg(F.count("*").alias("n"))
-    top = per.agg(F.max("e").alias("top"))
-    ranged = per.join(F.broadcast(top)).withColumn("range", F.when(F.col("top") > 0, F.floor((1 - F.col("e") / F.col("top")) * buckets)).otherwise(0))
+    edges = per.agg(F.percentile_approx("e", [i / buckets for i in range(1, buckets)], 10_000).alias("edges"))
+    ranged = per.join(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda x: x > F.col("e")))).drop("edges")
     sums = ranged.groupBy("range").agg(F.sum("n").alias("rn"), F.sum(F.col("n") * F.col("e")).alias("re"))
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     all_of = Window.partitionBy()
