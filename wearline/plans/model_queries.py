@@ -276,14 +276,14 @@ def _(s, d):
     return s.table(name).groupBy("Segment_ID").agg(F.count("*").alias("n"), F.max("Event_Idx").alias("last"))
 
 
-@query("src_04_snk_03_result_tables", f"{_RES} SELECT ELY, Toim_lk, round(rmse, 6) AS rmse, n, 'first' AS source FROM res UNION ALL SELECT ELY, Toim_lk, round(rmse, 6), n, 'second' FROM res WHERE n > 5")
+@query("src_04_snk_03_result_tables", f"{_RES} SELECT ELY, Toim_lk, round(rmse, 4) AS rmse, n, 'first' AS source FROM res UNION ALL SELECT ELY, Toim_lk, round(rmse, 4), n, 'second' FROM res WHERE n > 5")
 def _(s, d):
     """Result tables written as CSV and read again, tagged by their file; one that is missing is skipped."""
     paths = {n: tables.work_dir(s, "results") for n in ("first", "second", "missing")}
     found = _results(s, d)
     tables.write_csv(found, paths["first"])
     tables.write_csv(found.where("n > 5"), paths["second"])
-    return tables.read_results(s, paths, "ELY string, Toim_lk string, rmse double, n long")
+    return tables.read_results(s, paths, "ELY string, Toim_lk string, rmse double, n long").withColumn("rmse", F.round("rmse", 4))
 
 
 @query("snk_04_manifest", f"WITH {SUP} SELECT 42 AS seed, count(*) AS rows, count(DISTINCT Segment_ID) AS segments FROM sup")
