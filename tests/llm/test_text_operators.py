@@ -392,6 +392,18 @@ def test_repeated_passage_whose_parts_begin_elsewhere(spark):
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found} == {(101, 40, 100), (102, 40, 100)}
 
 
+def test_hot_seeds_give_the_same_passages(spark, monkeypatch):
+    rng = random.Random(15)
+    make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    common = make(55)
+    df = spark.createDataFrame([(i, f"{make(30)} {common} {make(30)}") for i in range(120)], "doc_id long, text string").withColumns({"seed": F.lit(1), "salt": F.lit(2), "first": F.lit(3)})
+    spans = lambda: sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in passages.repeated_passages(df).collect())
+    whole = spans()
+    assert whole == [(i, 30, 85) for i in range(1, 120)]
+    monkeypatch.setattr(passages, "LEAST_HOT", 5)
+    assert passages._hot(df.select(F.col("doc_id").alias("doc"), "text"), 8, 16).count() > 2 and spans() == whole
+
+
 def test_lone_seeds_grow_as_chains_do():
     import numpy as np
 
