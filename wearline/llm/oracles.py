@@ -54,4 +54,44 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM embeddings JOIN low ON id = vec_id LEFT JOIN n ON a = vec_id
 """
 
-ORACLES = {"op5_line_quality": OP5, "op7_pca_tiled_cosine": OP7, "op10_ngram_jaccard_groups": OP10}
+
+def _field(c: str) -> str:
+    v = f"CAST({c} AS VARCHAR)"
+    return f"coalesce(strlen({v}) || ':' || {v}, '-')"
+
+
+#: The crc32 of decimal ids is computed bit by bit, as there is no such function.
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text,
+    list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda a, step: xor(a >> 1, 3988292384 * (a & 1)))) AS inverse
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(concat({_field('doc_id')}, {_field('source')}, {_field('lang')}, {_field('n_chars')}, {_field('text')})) AS leaf,
+    CASE WHEN xor(inverse, 4294967295) % 7 = 0 THEN sha256(concat({_field('doc_id')}, {_field('source')}, {_field('lang')}, {_field('n_chars + 1')}, {_field('text')})) END AS told
+  FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t(lvl, lang, i, n, h) AS (
+  SELECT 0, lang, i, n, leaf FROM p
+  UNION ALL SELECT lvl + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lvl, lang, i // 2, (n + 1) // 2),
+s AS (SELECT lang, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM s
+  UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, (n + 1) // 2),
+root AS (SELECT lvl AS upper, h AS root FROM u WHERE n = 1),
+a AS (SELECT row_number() OVER () AS k, p.doc_id, p.leaf, p.told, p.lang, p.i, s.subroot, s.depth, s.i AS j, root.root, root.upper FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root),
+step AS (
+  SELECT k, x.lvl, (x.i >> x.lvl) & 1 AS side, sib.h FROM (SELECT k, i, lang, unnest(range(depth)) AS lvl FROM a) x
+    LEFT JOIN t sib ON sib.lvl = x.lvl AND sib.lang IS NOT DISTINCT FROM x.lang AND sib.i = xor(x.i >> x.lvl, 1)
+  UNION ALL SELECT k, depth + x.lv, (j >> x.lv) & 1, sib.h FROM (SELECT k, j, depth, unnest(range(upper)) AS lv FROM a) x
+    LEFT JOIN u sib ON sib.lvl = x.lv AND sib.i = xor(x.j >> x.lv, 1)),
+proof AS (SELECT k, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256 FROM a LEFT JOIN step USING (k) GROUP BY k),
+f(k, lvl, h) AS (
+  SELECT k, 0, coalesce(told, leaf) FROM a
+  UNION ALL SELECT f.k, f.lvl + 1, sha256(CASE WHEN side = 1 THEN concat(step.h, f.h) ELSE concat(f.h, step.h) END) FROM f JOIN step ON step.k = f.k AND step.lvl = f.lvl)
+SELECT doc_id, leaf, subroot, root, proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM a JOIN proof USING (k) JOIN f ON f.k = a.k AND f.lvl = a.depth + a.upper
+"""
+
+ORACLES = {"op5_line_quality": OP5, "op7_pca_tiled_cosine": OP7, "op10_ngram_jaccard_groups": OP10, "op11_merkle_manifest": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import mixing, near, passages, pieces, quality, secrets, suffix_tree, toxicity, vectors, wrappers
+from wearline.llm import merkle, mixing, near, passages, pieces, quality, secrets, suffix_tree, toxicity, vectors, wrappers
 from wearline.llm.session import table
 
 
@@ -58,6 +58,10 @@ def op10_ngram_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, sf_dir, "documents")).drop("lang", "path")
+
+
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_page_wrappers": op2_page_wrappers,
@@ -69,4 +73,5 @@ QUERIES = {
     "op8_suffix_tree_scores": op8_suffix_tree_scores,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard_groups": op10_ngram_jaccard_groups,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
