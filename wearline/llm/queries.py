@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import merkle, mixing, near, passages, pieces, quality, secrets, suffix_tree, toxicity, vectors, wrappers
+from wearline.llm import merkle, mixing, near, passages, pieces, quality, secrets, suffix_tree, toxicity, vectors, whitening, wrappers
 from wearline.llm.session import table
 
 
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents")).drop("lang", "path")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_page_wrappers": op2_page_wrappers,
@@ -74,4 +78,5 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard_groups": op10_ngram_jaccard_groups,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
