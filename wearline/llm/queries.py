@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearline.llm import merkle, mixing, near, passages, pieces, quality, secrets, suffix_tree, toxicity, vectors, whitening, wrappers
+from wearline.llm import merkle, mixing, near, passages, pieces, quality, secrets, suffix_tree, toxicity, transducer, vectors, whitening, wrappers
 from wearline.llm.session import table
 
 
@@ -62,6 +62,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents")).drop("lang", "path")
 
 
+def word_tokenizer() -> str:
+    """The public word BPE tokenizer's file; another path may be given to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = transducer.count_tokens(docs, word_tokenizer())
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -78,5 +92,6 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard_groups": op10_ngram_jaccard_groups,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
