@@ -262,7 +262,8 @@ _FHC = [f"{n}_{k}y" for k in (1, 2, 3) for n in ("IRI_hist", "URA_hist", "histor
 
 @query("joi_07_nearest_within_tolerance", f"WITH {FH} SELECT Segment_ID, slot_idx, {r(*_FHC)} FROM fh")
 def _(s, d):
-    return fx.horizons(s, d).select("Segment_ID", "slot_idx", *_FHC)
+    slim = fx.training(s, d).select("Segment_ID", "slot_idx", "Lifecycle_ID", "event_date", "Measurement_Idx", "IRI", "URA")
+    return temporal.fixed_horizons(slim).select("Segment_ID", "slot_idx", *_FHC)
 
 
 @query("joi_11_agg_20_one_asset", f"WITH {HIST} SELECT Event_Idx, event_type, event_date, round(URA, 6) AS URA, cycle_num FROM hist WHERE Segment_ID = '7'")
