@@ -91,12 +91,6 @@ def cut_bins(c: Column, edges: Sequence[float], labels: Sequence[str], include_l
     return out
 
 
-def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """One row with the distinct quantile edges of ``column``."""
-    steps = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(column, steps))).alias("edges"))
-
-
 def quantile_bin(c: Column, edges: Column) -> Column:
     """Number (from 0) of the right-closed bin, the lowest edge included; null for null."""
     n = F.size(F.filter(edges, lambda e: e < c))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wearline.functions.columns import cut_bins
+from wearline.operators.prefix import running_sums
+from wearline.operators.quantiles import quantiles
+from wearline.sources.tables import stored
 
 INF = float("inf")
 # Bins of gaps (years) and of previous levels.
@@ -47,22 +50,25 @@ def missing(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     return per.select(*by, "_rows", F.inline(rows)).select(*by, "column_name", "missing", F.when(F.col("_rows") > 0, F.col("missing") / F.col("_rows") * 100).alias("missing_pct"))
 
 
-def describe(df: DataFrame, columns: Sequence[str], percents: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), approximate: bool = False) -> DataFrame:
-    """count, mean, std, min, percentiles and max per column; ``approximate`` for very large tables."""
-    parts = []
-    for c in columns:
-        q = F.percentile_approx(c, [*percents], 10_000) if approximate else F.percentile(c, F.array(*map(F.lit, percents)))
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q.alias("q"), F.max(c).cast("double").alias("max")))
-    found = df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
-    return found.select("column_name", "count", "mean", "std", "min", *(F.col("q")[i].cast("double").alias(f"p{round(p * 100):02d}") for i, p in enumerate(percents)), "max")
+def describe(df: DataFrame, columns: Sequence[str], percents: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
+    """count, mean, std, min, exact percentiles and max per column."""
+    df = stored(df.select(*columns))
+    facts = [
+        F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+        for c in columns
+    ]
+    found = df.agg(F.array(*facts).alias("a")).select(F.inline("a")).join(quantiles(df, columns, percents, written=True), "column_name", "left")
+    return found.select("column_name", "count", "mean", "std", "min", *(F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(percents)), "max")
 
 
 def extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    parts = [
-        F.struct(F.lit(c).alias("column_name"), F.count(c).alias("non_null"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.count_if(F.col(c) < 0).alias("negative"), F.count_if(F.col(c) == 0).alias("zero"))
+    df = stored(df.select(*columns))
+    facts = [
+        F.struct(F.lit(c).alias("column_name"), F.count(c).alias("non_null"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.count_if(F.col(c) < 0).alias("negative"), F.count_if(F.col(c) == 0).alias("zero"))
         for c in columns
     ]
-    return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+    medians = quantiles(df, columns, [0.5], written=True).select("column_name", F.col("q")[0].alias("median"))
+    return df.agg(F.array(*facts).alias("a")).select(F.inline("a")).join(medians, "column_name", "left")
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -84,19 +90,18 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) ->
 
 def winsorised(df: DataFrame, column: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Adds ``column_w``: values beyond the quantile limits moved to them (min and max where those coincide)."""
-    q = F.percentile(column, F.array(F.lit(low), F.lit(high)))
-    limits = df.agg(q.alias("_q"), F.min(column).alias("_lo"), F.max(column).alias("_hi")).select(
-        F.when(F.col("_q")[0] < F.col("_q")[1], F.col("_q")[0]).otherwise(F.col("_lo")).alias("_lo"), F.when(F.col("_q")[0] < F.col("_q")[1], F.col("_q")[1]).otherwise(F.col("_hi")).alias("_hi")
-    )
-    x = df.join(F.broadcast(limits))
+    q = quantiles(df, [column], [0.0, low, high, 1.0]).select("q")
+    at = lambda i: F.col("q")[i]
+    limits = q.select(F.when(at(1) < at(2), at(1)).otherwise(at(0)).alias("_lo"), F.when(at(1) < at(2), at(2)).otherwise(at(3)).alias("_hi"))
+    x = df.join(F.broadcast(limits), how="left")
     return x.withColumn(f"{column}_w", F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), F.col("_lo")), F.col("_hi")))).drop("_lo", "_hi")
 
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Share of the group's rows at or below each distinct value; windows run over distinct values only."""
-    per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    return per.select(*by, value, (F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w)).alias("cdf"))
+    """Share of the group's rows at or below each distinct value."""
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    found = running_sums(per, by, [value], {"n": F.col("_n")})
+    return found.select(*by, value, (F.col("n") / F.col("total_n")).alias("cdf"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -145,10 +150,12 @@ def untreated(measurements: DataFrame) -> DataFrame:
 
 def bin_profile(x: DataFrame, column: str) -> DataFrame:
     d = F.col("delta_URA")
-    return x.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean_delta_URA"), F.percentile(d, F.lit(0.01)).alias("q01_delta_URA"), F.percentile(d, F.lit(0.05)).alias("q05_delta_URA"),
+    x = stored(x.where(F.col(column).isNotNull()).select(column, "delta_URA", "delta_IRI"))
+    low = quantiles(x, ["delta_URA"], [0.01, 0.05], [column], written=True).select(column, F.col("q")[0].alias("q01_delta_URA"), F.col("q")[1].alias("q05_delta_URA"))
+    return x.groupBy(column).agg(
+        F.count("*").alias("n"), F.avg(d).alias("mean_delta_URA"),
         share(d <= -3).alias("share_delta_URA_le_minus_3"), share(d <= -5).alias("share_delta_URA_le_minus_5"), F.avg("delta_IRI").alias("mean_delta_IRI"), share(F.col("delta_IRI") < 0).alias("share_delta_IRI_negative"),
-    )
+    ).join(low, column, "left")
 
 
 def severe_drops(x: DataFrame, thresholds: Sequence[float] = CORROBORATED) -> DataFrame:
@@ -199,11 +206,13 @@ def knownness(table: DataFrame) -> DataFrame:
 
 def coverage(table: DataFrame) -> DataFrame:
     n = F.coalesce("tp_count_interval", F.lit(0))
+    table = stored(table.select("surface_known", "material_known", "both_known", "has_TP_interval", n.alias("n")))
     shares = {
         "surface_known_share": share(F.col("surface_known")), "material_known_share": share(F.col("material_known")), "both_known_share": share(F.col("both_known")),
-        "has_TP_interval_share": share(F.col("has_TP_interval")), "mean_tp_count_interval": F.avg(n), "median_tp_count_interval": F.percentile(n, F.lit(0.5)),
+        "has_TP_interval_share": share(F.col("has_TP_interval")), "mean_tp_count_interval": F.avg("n"),
     }
-    return tall(table.agg(*(c.alias(k) for k, c in shares.items())), list(shares))
+    median = quantiles(table, ["n"], [0.5], written=True).select(F.lit("median_tp_count_interval").alias("metric"), F.col("q")[0].alias("value"))
+    return tall(table.agg(*(c.alias(k) for k, c in shares.items())), list(shares)).unionByName(median)
 
 
 def coverage_by(table: DataFrame, *by: str) -> DataFrame:
@@ -227,10 +236,12 @@ def edge_counters(table: DataFrame) -> DataFrame:
 
 
 def table_summary(table: DataFrame) -> DataFrame:
+    table = stored(table.select("Segment_ID", "Lifecycle_ID", "event_date", "target_horizon_days", "target_next_URA"))
+    median = quantiles(table, ["target_horizon_days"], [0.5], written=True).select(F.col("q")[0].alias("median_horizon_days"))
     return table.agg(
         F.count("*").alias("rows"), F.countDistinct("Segment_ID").alias("segments"), F.countDistinct("Lifecycle_ID").alias("lifecycles"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"),
-        F.avg("target_horizon_days").alias("mean_horizon_days"), F.percentile("target_horizon_days", F.lit(0.5)).alias("median_horizon_days"), F.count_if(F.col("target_next_URA").isNull()).alias("missing_target"),
-    )
+        F.avg("target_horizon_days").alias("mean_horizon_days"), F.count_if(F.col("target_next_URA").isNull()).alias("missing_target"),
+    ).join(F.broadcast(median), how="left")
 
 
 def horizon_coverage(table: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
@@ -246,4 +257,4 @@ def split_diagnostics(table: DataFrame) -> DataFrame:
 
 
 def quantile_grid(df: DataFrame, column: str, percents: Sequence[float] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    return df.agg(F.array_distinct(F.percentile(column, F.array(*map(F.lit, percents)))).alias("g")).select(F.explode("g").alias("grid_value"))
+    return quantiles(df, [column], percents).select(F.explode(F.array_distinct("q")).alias("grid_value"))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wearline.functions.columns import quantile_bin, quantile_edges
+from wearline.functions.columns import quantile_bin
+from wearline.operators.prefix import running_sums
+from wearline.operators.quantiles import quantile_edges, quantiles
+from wearline.sources.tables import stored
 
 
 def metric_columns(actual: Column, predicted: Column) -> dict[str, Column]:
@@ -54,7 +57,8 @@ def metrics_by_sets(df: DataFrame, always: Sequence[str], groups: Sequence[str],
 
 def calibration(df: DataFrame, actual: str, predicted: str, bins: int = 20) -> DataFrame:
     """Per quantile bin of the prediction: rows and mean of both."""
-    edges = quantile_edges(df, predicted, bins)
+    df = stored(df.select(F.col(actual), F.col(predicted)))
+    edges = quantile_edges(df, predicted, bins, written=True)
     binned = df.join(F.broadcast(edges)).withColumn("bin", quantile_bin(F.col(predicted), F.col("edges")))
     return binned.where("bin is not null").groupBy("bin").agg(
         F.count("*").alias("rows"), F.avg(predicted).alias("mean_predicted"), F.avg(actual).alias("mean_actual"), F.avg(F.abs(F.col(actual) - F.col(predicted))).alias("mae")
@@ -62,34 +66,29 @@ def calibration(df: DataFrame, actual: str, predicted: str, bins: int = 20) -> D
 
 
 def driver_profile(df: DataFrame, driver: str, actual: str, predicted: str, bins: int = 10) -> DataFrame:
-    edges = quantile_edges(df, driver, bins)
-    binned = df.join(F.broadcast(edges)).withColumn("bin", quantile_bin(F.col(driver), F.col("edges")))
-    return binned.where("bin is not null").groupBy("bin").agg(
-        F.count("*").alias("rows"), F.avg(driver).alias("mean_driver"), F.percentile(driver, F.lit(0.5)).alias("median_driver"),
+    df = stored(df.select(*dict.fromkeys((driver, actual, predicted))))
+    edges = quantile_edges(df, driver, bins, written=True)
+    binned = stored(df.join(F.broadcast(edges)).withColumn("bin", quantile_bin(F.col(driver), F.col("edges"))).where("bin is not null"))
+    medians = quantiles(binned, [driver], [0.5], ["bin"], written=True).select("bin", F.col("q")[0].alias("median_driver"))
+    return binned.groupBy("bin").agg(
+        F.count("*").alias("rows"), F.avg(driver).alias("mean_driver"),
         F.avg(actual).alias("mean_actual"), F.avg(predicted).alias("mean_predicted"), F.sqrt(F.avg((F.col(actual) - F.col(predicted)) ** 2)).alias("rmse"),
-    )
+    ).join(medians, "bin")
 
 
-def error_concentration(df: DataFrame, error: str, key: Sequence[str], buckets: int = 64) -> DataFrame:
-    """Share of rows and of absolute error among the largest errors, per distinct error, without a global sort in one task.
+def errors_by_bin(df: DataFrame, bin_name: str, error: str) -> DataFrame:
+    """Per bin: rows, mean and median of the error; rows without a bin are left out."""
+    df = stored(df.select(bin_name, error).where(F.col(bin_name).isNotNull()))
+    medians = quantiles(df, [error], [0.5], [bin_name], written=True).select(bin_name, F.col("q")[0].alias("median_error"))
+    return df.groupBy(bin_name).agg(F.count("*").alias("n"), F.avg(error).alias("mean_error")).join(medians, bin_name, "left")
 
-    Rows are counted per distinct absolute error, those are dealt into ranges of about as many by
-    approximate quantiles (which move bounds of ranges only, not the result), ranges get offsets.
-    """
+
+def error_concentration(df: DataFrame, error: str, key: Sequence[str]) -> DataFrame:
+    """Share of rows and of absolute error among the largest errors, per distinct error."""
     per = df.select(F.abs(error).alias("e")).where("e is not null").groupBy("e").agg(F.count("*").alias("n"))
-    edges = per.agg(F.percentile_approx("e", [i / buckets for i in range(1, buckets)], 10_000).alias("edges"))
-    ranged = per.join(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda x: x > F.col("e")))).drop("edges")
-    sums = ranged.groupBy("range").agg(F.sum("n").alias("rn"), F.sum(F.col("n") * F.col("e")).alias("re"))
-    order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    all_of = Window.partitionBy()
-    offsets = sums.select(
-        "range", F.coalesce(F.sum("rn").over(order), F.lit(0)).alias("n0"), F.coalesce(F.sum("re").over(order), F.lit(0.0)).alias("e0"),
-        F.sum("rn").over(all_of).alias("total_n"), F.sum("re").over(all_of).alias("total_e"),
-    )
-    w = Window.partitionBy("range").orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(offsets), "range").select(
-        F.col("e").alias("abs_error"), ((F.col("n0") + F.sum("n").over(w)) / F.col("total_n")).alias("row_share"),
-        F.when(F.col("total_e") > 0, (F.col("e0") + F.sum(F.col("n") * F.col("e")).over(w)) / F.col("total_e")).alias("error_share"),
+    found = running_sums(per, [], [F.desc("e")], {"rows": F.col("n"), "sum": F.col("n") * F.col("e")})
+    return found.select(
+        F.col("e").alias("abs_error"), (F.col("rows") / F.col("total_rows")).alias("row_share"), F.when(F.col("total_sum") > 0, F.col("sum") / F.col("total_sum")).alias("error_share"),
     )
 
 
@@ -97,7 +96,7 @@ def with_gain(results: DataFrame, baseline: DataFrame, on: Sequence[str], measur
     """Adds the baseline's figure and the gain over it, absolute and in percent."""
     base = baseline.select(*on, F.col(measure).alias(f"persistence_{measure}"))
     gain = F.col(f"persistence_{measure}") - F.col(measure)
-    return results.join(F.broadcast(base), list(on)).withColumns({"gain": gain, "gain_pct": F.when(F.col(f"persistence_{measure}") > 0, gain / F.col(f"persistence_{measure}") * 100)})
+    return results.join(base, list(on)).withColumns({"gain": gain, "gain_pct": F.when(F.col(f"persistence_{measure}") > 0, gain / F.col(f"persistence_{measure}") * 100)})
 
 
 def best_per_group(results: DataFrame, group: Sequence[str], measure: str, ties: Sequence[str]) -> DataFrame:

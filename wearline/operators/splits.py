@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wearline.operators.prefix import ranked
+
 
 def rank_key(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
@@ -24,22 +26,17 @@ def assets_of_several(df: DataFrame, asset: str, stratum: str) -> DataFrame:
 def stratified_assets(df: DataFrame, asset: str, stratum: str, train: float = 0.7, validation: float = 0.15, seed: int = 42) -> DataFrame:
     """(asset, split): per stratum, shares of the assets in md5 order; small strata keep one for validation and test where they can.
 
-    Ranks come from ranges of the md5 value (4,096 a stratum), counted first, so no task sorts a stratum.
+    The assets are read once and ranked in ranges of (stratum, md5), so no task sorts a stratum.
     """
-    assets = df.select(asset, stratum).distinct().withColumn("_h", rank_key(seed, asset)).withColumn("_range", F.substring("_h", 1, 3))
-    per = assets.groupBy(stratum, "_range").agg(F.count("*").alias("_own"))
-    whole = Window.partitionBy(stratum)
-    per = per.withColumns({"_n": F.sum("_own").over(whole), "_before": F.sum("_own").over(whole.orderBy("_range")) - F.col("_own")})
-    per = per.select(F.col(stratum).alias("_s"), F.col("_range").alias("_q"), "_n", "_before")
-    rank = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_h", asset))
-    ranked = assets.withColumn("_k", rank).join(per, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_q"))).withColumn("_r", F.col("_k") + F.col("_before"))
+    assets = df.select(asset, stratum).distinct().withColumn("_h", rank_key(seed, asset))
+    placed = ranked(assets, [stratum], ["_h", asset], "_r").withColumnRenamed("total__r", "_n")
     size = F.col("_n")
     n_train = F.when(size >= 3, F.least(F.greatest(F.bround(size * train), F.lit(1)), size - 2)).otherwise(F.greatest(size - 2, F.lit(0))).cast("long")
-    ranked = ranked.withColumn("_t", n_train)
+    placed = placed.withColumn("_t", n_train)
     left = size - F.col("_t")
     n_val = F.when(left >= 2, F.least(F.greatest(F.bround(size * validation), F.lit(1)), left - 1)).otherwise(F.greatest(left - 1, F.lit(0))).cast("long")
     split = F.when(F.col("_r") <= F.col("_t"), "train").when(F.col("_r") <= F.col("_t") + n_val, "validation").otherwise("test")
-    return ranked.select(asset, split.alias("split"))
+    return placed.select(asset, split.alias("split"))
 
 
 def with_split(df: DataFrame, split: DataFrame, asset: str) -> DataFrame:

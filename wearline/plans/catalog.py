@@ -364,7 +364,7 @@ def _(s, d):
 @query("prj_23_agg_10_errors_by_bin", f"WITH {SUP}, x AS (SELECT abs(target_next_URA - URA) AS e, CASE WHEN target_horizon_years >= 0 AND target_horizon_years <= 0.25 THEN 'a' WHEN target_horizon_years <= 0.5 THEN 'b' WHEN target_horizon_years <= 1 THEN 'c' WHEN target_horizon_years <= 10 THEN 'd' END AS bin FROM sup) SELECT bin, count(*) AS n, {rx(mean_error='avg(e)', median_error='quantile_cont(e, 0.5)')} FROM x WHERE bin IS NOT NULL GROUP BY bin")
 def _(s, d):
     x = fx.training(s, d).select(F.abs(F.col("target_next_URA") - F.col("URA")).alias("e"), col.cut_bins(F.col("target_horizon_years"), [0, 0.25, 0.5, 1, 10], ["a", "b", "c", "d"], include_lowest=True).alias("bin"))
-    return x.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.avg("e").alias("mean_error"), F.percentile("e", F.lit(0.5)).alias("median_error"))
+    return metrics.errors_by_bin(x, "bin", "e")
 
 
 @query("joi_09_agg_11_gain", f"WITH {FH}, {_STACK}, {_LONG}, g AS (SELECT model, h, sqrt(avg((y - p) ** 2)) AS rmse FROM lg WHERE target = 'URA' GROUP BY model, h) SELECT a.h AS forecast_horizon_years, {rx(rmse='a.rmse', persistence_rmse='b.rmse', gain='b.rmse - a.rmse', gain_pct='(b.rmse - a.rmse) / b.rmse * 100')} FROM g a JOIN g b ON a.h = b.h WHERE a.model = 'trend' AND b.model = 'persistence'")

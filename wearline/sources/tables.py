@@ -71,6 +71,13 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
     df.write.mode("overwrite").option("compression", compression).parquet(path)
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """The same rows from a table written in the shared folder, so that what follows reads them and does not make them again."""
+    path = work_dir(df.sparkSession, name)
+    write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_by_asset(df: DataFrame, path: str, asset: str = "Segment_ID", buckets: int = 512) -> None:
     """An asset's rows in one bucket folder, sorted: a read of few assets prunes buckets."""
     bucket = F.pmod(F.xxhash64(asset), F.lit(buckets)).cast("int")
