@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from wearline.plans import models
+from wearline.plans import estimators, models
+from wearline.plans.estimators import Boosted, Forest, Linear, Ridge
 from wearline.sources import tables
 from wearline.streaming.ingest import append_by_asset, stream_events
 
@@ -22,7 +22,7 @@ def table(spark):
 
 def test_model_beats_persistence_and_round_trips(table, tmp_path, spark):
     features = ["URA", "IRI", "target_horizon_years", "Toim_lk"]
-    fitted = models.fit(table, features, "target_next_URA", LinearRegression(), scale=True)
+    fitted = models.fit(table, features, "target_next_URA", Linear())
     learned = models.evaluated(fitted, table).first()
     assert learned["r2"] > 0.8
     unseen = table.withColumn("Toim_lk", F.lit("new"))
@@ -42,7 +42,7 @@ def test_ridge_is_the_closed_form(spark):
     df = df.unionByName(spark.createDataFrame([(1.0, 2.0, None)] * 20, df.schema))  # rows without a label count for nothing
     for alpha in (1.0, 5.0):
         for kind, label in (("direct", y), ("delta", y - x[:, 0])):
-            fitted = models.fit(df, ["URA", "IRI"], "y", models.Ridge(alpha), target_type=kind)
+            fitted = models.fit(df, ["URA", "IRI"], "y", Ridge(alpha), target_type=kind, scale=False)
             xc, yc = x - x.mean(0), label - label.mean()
             want = np.linalg.solve(xc.T @ xc + alpha * np.eye(2), xc.T @ yc)
             assert fitted.model.stages[-1].coefficients.toArray() == pytest.approx(want, abs=1e-6)
@@ -51,12 +51,14 @@ def test_ridge_is_the_closed_form(spark):
 def test_stated_grids():
     assert (len(models.BOOSTED_GRID), len(models.FOREST_GRID), len(set(models.FOCUSED_GRID))) == (6, 3, 20)
     assert all(not set(v) & set(models.FORBIDDEN) for v in models.FEATURE_MIXTURES.values())
-    assert models.forest(*models.FOREST_GRID[0]).getMaxDepth() == 30 and models.boosted(*models.BOOSTED_GRID[0]).getMaxIter() == 650
+    stated = [*(Boosted(*c) for c in (*models.BOOSTED_GRID, *models.FOCUSED_GRID)), *(Forest(*c) for c in models.FOREST_GRID), Linear(), Ridge(0.5)]
+    texts = [estimators.to_json(e) for e in stated]
+    assert len(set(texts)) == len(stated) and [estimators.from_json(t) for t in texts] == stated
 
 
 def test_leaks_are_refused(table):
     with pytest.raises(ValueError):
-        models.fit(table, ["target_next_URA"], "target_next_URA", LinearRegression())
+        models.fit(table, ["target_next_URA"], "target_next_URA", Linear())
 
 
 def test_sinks(spark, tmp_path):
@@ -73,3 +75,96 @@ def test_sinks(spark, tmp_path):
     query = append_by_asset(stream_events(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "out"), str(tmp_path / "cp"), 4)
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def step_table(spark):
+    """Rows whose label a few steps tell, with features assembled."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), float(np.sin(a / 9) * 4 + (b > 5) * 3 + rng.normal() / 5), i % 10 == 0) for i, (a, b) in enumerate(rng.uniform(0, 60, (600, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, label double, stop boolean")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+
+
+def grown(x, rounds, rate=0.3):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(maxIter=rounds, stepSize=rate / 2, maxDepth=4, minInstancesPerNode=5, seed=1).fit(x)
+
+
+def test_refit_without_limits_is_the_grown_model(spark):
+    x = step_table(spark)
+    trees = grown(x, 30)  # more than one block
+    again = estimators.refitted(trees, x, 0.3, 16, 0.0)
+    mine = [r["prediction"] for r in again.transform(x).orderBy("a").collect()]
+    assert mine == pytest.approx([r["prediction"] for r in trees.transform(x).orderBy("a").collect()], abs=1e-8) and again.getNumTrees == 30
+
+
+def test_leaf_values_have_a_closed_form(spark):
+    x = step_table(spark)
+    trees = grown(x, 1)
+    rows = estimators.with_leaves(trees, x).select("a", "label", "_leaf").orderBy("a").collect()
+    y, leaf = np.array([r["label"] for r in rows]), np.array([r["_leaf"][0] for r in rows])
+    for l2 in (0.0, 10.0, 1e9):
+        model = estimators.refitted(trees, x, 0.3, 16, l2)
+        indicators = np.eye(leaf.max() + 1)[leaf]
+        ridge = np.linalg.solve(indicators.T @ indicators + l2 * np.eye(indicators.shape[1]), indicators.T @ (y - y.mean()))
+        assert model.values[0] == pytest.approx(ridge.tolist()) and model.base == pytest.approx(y.mean())
+    few = estimators.refitted(trees, x, 0.3, 3, 0.0)
+    assert len(set(few.values[0])) == 3
+    error = [np.mean((y - [r["prediction"] for r in estimators.refitted(trees, x, 0.3, n, 0.0).transform(x).orderBy("a").collect()]) ** 2) for n in (2, 5, 16)]
+    assert error[0] > error[1] > error[2]
+
+
+def test_best_splits_first():
+    node = estimators.Node
+    nodes = {0: node(9, 1, 4), 1: node(1, 2, 3), 2: node(-1, -1, -1), 3: node(-1, -1, -1), 4: node(5, 5, 6), 5: node(-1, -1, -1), 6: node(-1, -1, -1)}
+    assert estimators.kept_leaves(nodes, 1) == [0, 0, 0, 0]
+    assert estimators.kept_leaves(nodes, 3) == [1, 1, 5, 6]
+    assert estimators.kept_leaves(nodes, 99) == [2, 3, 5, 6]
+
+
+def test_grid_tells_candidates_apart(table):
+    train = table.withColumn("target_horizon_days", F.lit(1.0))
+    features = {"all": ["URA", "IRI", "target_horizon_years", "Toim_lk"]}
+    tried = {"a": Boosted(0.3, 5, 7, 10), "b": Boosted(0.3, 5, 7, 10, 50.0), "c": Boosted(0.3, 5, 3, 10), "again": Boosted(0.3, 5, 7, 10), "line": Linear()}
+    found = models.grid(train, table, features, "target_next_URA", tried, ("direct", "delta")).collect()
+    assert len(found) == 8 and {r["model"] for r in found} == {"a", "b", "c", "line"}
+    assert len({(r["target_type"], r["rmse"]) for r in found}) >= 7 and all(r["fit_seconds"] > 0 and r["r2"] > 0.3 for r in found)
+    assert models.distinct_candidates(models.grid(train, table, features, "target_next_URA", tried).unionByName(models.grid(train, table, features, "target_next_URA", {"named_otherwise": Linear()}))).count() == 4
+
+
+def test_permutation_importance_equals_brute_force(table):
+    features = ["URA", "IRI", "target_horizon_years", "Toim_lk"]
+    fitted = models.fit(table, features, "target_next_URA", Linear())
+    got = {r["feature"]: r["rmse_increase"] for r in models.permutation_importance(fitted, table, features, ["Segment_ID"], 2).collect()}
+    import hashlib
+
+    rows = [r.asDict() for r in table.collect()]
+
+    def rmse(changed):
+        out = fitted.predict(table.sparkSession.createDataFrame(changed, table.schema)).collect()
+        return np.sqrt(np.mean([(r["target_next_URA"] - r["prediction"]) ** 2 for r in out]))
+
+    for f in ("IRI", "Toim_lk"):
+        increases = []
+        for k in range(2):
+            order = sorted(rows, key=lambda r: hashlib.md5(f"{1000 + k}|{r['Segment_ID']}".encode()).hexdigest())
+            increases.append(rmse([{**r, f: order[i - 1][f]} for i, r in enumerate(order)]) - rmse(rows))
+        assert got[f] == pytest.approx(np.mean(increases), abs=1e-9) and (f == "IRI" or got[f] > 0.05)
+
+
+def test_response_equals_brute_force(table, spark):
+    features = ["URA", "IRI", "target_horizon_years", "Toim_lk"]
+    train = table.where("URA is not null")
+    fitted = models.fit(train, features, "target_next_URA", Linear(), target_type="delta")
+    values = spark.createDataFrame([(1.0,), (15.0,)], "v double")
+    got = {r["grid_value"]: r for r in models.response(fitted, train, "IRI", values, 10_000, ["Segment_ID"]).collect()}
+    for v in (1.0, 15.0):
+        rows = fitted.predict(train.withColumn("IRI", F.lit(v))).collect()
+        change = [r["prediction"] - r["URA"] for r in rows]
+        r = got[v]
+        assert r["rows"] == len(rows) and r["mean_level"] == pytest.approx(np.mean([x["prediction"] for x in rows])) and r["mean_raw"] == pytest.approx(np.mean(change))
+        assert (r["mean_change"], r["p10_change"], r["p90_change"]) == pytest.approx((np.mean(change), np.quantile(change, 0.1), np.quantile(change, 0.9)))
+    assert models.response(fitted, train, "IRI", values, 50, ["Segment_ID"]).first()["rows"] == 50

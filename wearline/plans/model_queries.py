@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +12,14 @@ from wearline.functions import columns as col
 from wearline.operators import audit, metrics, reshape, splits, temporal
 from wearline.operators.metrics import metrics_by_sets
 from wearline.operators.supervised import supervised
-from wearline.plans import models
-from wearline.plans.catalog import _RES, _SPLIT, _WIN, _results, query, r, rx
+from wearline.plans import estimators, models
+from wearline.plans.catalog import _RES, _SPLIT, _results, query, r, rx
 from wearline.plans.oracle_views import HIST, MATERIAL, SUP, SURFACE
 from wearline.sources import tables
+from wearline.sources.tables import stored
 
 FULL = models.FEATURE_MIXTURES["current_static_lag_lifecycle_material"]
 CURRENT = models.FEATURE_MIXTURES["current"]
-#: The queries' share of the stated trees and iterations is 1 / SCALE; ``models.estimators()`` has them whole.
-SCALE = 20
-TUNING_SCALE = 100
-
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervised(temporal.current_material(fx.history(spark, sf_dir))).withColumn("observed_lifecycle_age_years", F.col("Pavement_Age_years"))
@@ -31,10 +27,8 @@ def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, validation and test rows of the training table, written once since each fit reads them several times."""
-    table = _table(spark, sf_dir)
-    path = tables.work_dir(spark, "training")
-    tables.write_parquet(splits.with_split(table, splits.stratified_assets(table, "Segment_ID", "ELY"), "Segment_ID"), path)
-    split = spark.read.parquet(path)
+    table = stored(_table(spark, sf_dir), "training")
+    split = stored(splits.with_split(table, splits.stratified_assets(table, "Segment_ID", "ELY"), "Segment_ID"), "training")
     return tuple(split.where(F.col("split") == n) for n in ("train", "validation", "test"))
 
 
@@ -121,108 +115,135 @@ def _(s, d):
     return _table(s, d).select("Segment_ID", "slot_idx", "observed_lifecycle_age_years")
 
 
+def _named(candidates, kind: str) -> dict[str, estimators.Estimator]:
+    """Candidates of a stated grid by name and number."""
+    return {f"{kind}_{i}": estimators.KINDS[kind](*c) for i, c in enumerate(candidates, 1)}
+
+
 @query("ml_06_12_15_validation_grid")
 def _(s, d):
     """Linear models of all mixtures, both targets, direct and as differences, with persistence beside them."""
     train, valid, _ = _split(s, d)
-    linear = {k: v for k, v in models.estimators(SCALE).items() if k in ("linear", "ridge")}
+    linear = {k: v for k, v in models.estimators().items() if k in ("linear", "ridge")}
     grids = [models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", linear, ("direct", "delta"), c) for c in ("URA", "IRI")]
-    return grids[0].unionByName(grids[1]).drop("fit_seconds")
+    return grids[0].unionByName(grids[1])
 
 
 @query("ml_12_tree_grid")
 def _(s, d):
     """Forests and boosted trees of all mixtures and both targets."""
     train, valid, _ = _split(s, d)
-    trees = {k: v for k, v in models.estimators(SCALE).items() if k in ("random_forest", "boosted_trees")}
+    trees = {k: v for k, v in models.estimators().items() if k in ("random_forest", "boosted_trees")}
     grids = [models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", trees, ("direct",), c) for c in ("URA", "IRI")]
-    return grids[0].unionByName(grids[1]).drop("fit_seconds")
+    return grids[0].unionByName(grids[1])
+
+
+def _tuning(train: DataFrame, valid: DataFrame) -> dict[str, DataFrame]:
+    """The result table of each tuning stage."""
+    mixture = {"current_static_lag_lifecycle_material": FULL}
+    coarse = {**_named(models.BOOSTED_GRID, "boosted_trees"), **_named(models.FOREST_GRID, "random_forest")}
+    return {
+        "coarse": models.grid(train, valid, mixture, "target_next_URA", coarse),
+        "focused": models.grid(train, valid, mixture, "target_next_URA", _named(models.FOCUSED_GRID, "boosted_trees"), ("delta",)),
+    }
 
 
 @query("ml_13_23_tuning")
 def _(s, d):
     """All candidates of the tuning stages on the actual scale, and the best of each stage."""
     train, valid, _ = _split(s, d)
-    mixture = {"current_static_lag_lifecycle_material": FULL}
-    boosted = lambda grid: {f"boosted_{i}": models.boosted(*c, scale=TUNING_SCALE) for i, c in enumerate(grid, 1)}
-    forests = {f"forest_{i}": models.forest(*c, scale=TUNING_SCALE) for i, c in enumerate(models.FOREST_GRID, 1)}
-    stages = {
-        "coarse": models.grid(train, valid, mixture, "target_next_URA", {**boosted(models.BOOSTED_GRID), **forests}),
-        "focused": models.grid(train, valid, mixture, "target_next_URA", boosted(models.FOCUSED_GRID), ("delta",)),
-    }
+    stages = _tuning(train, valid)
     best = models.progression(stages).select("stage", F.col("model").alias("best_model"))
     tagged = [rows.withColumn("stage", F.lit(n)) for n, rows in stages.items()]
-    return tagged[0].unionByName(tagged[1]).join(F.broadcast(best), "stage").withColumn("is_best", F.col("model") == F.col("best_model")).drop("fit_seconds", "best_model")
+    return tagged[0].unionByName(tagged[1]).join(best, "stage").withColumn("is_best", F.col("model") == F.col("best_model")).drop("best_model")
 
 
 @query("ml_14_16_17_src_04_snk_03_04_final_model")
 def _(s, d):
-    """Tuning tables are written and read again (one is missing), the best distinct candidate is refitted on train and validation and
-    scored once on test, for both targets; then it is fitted on all rows.  The manifest is written and read again."""
+    """Result tables of all families are written and read again (one is missing), the best distinct candidate is built from its
+    parameters, refitted on train and validation and scored once on test, for both targets; then it is fitted on all rows.  The
+    manifest is written and read again."""
     train, valid, test = _split(s, d)
-    grid = {f"ridge_{a:g}": models.Ridge(a) for a in (0.01, 1.0, 100.0)}
     mixtures = {k: models.FEATURE_MIXTURES[k] for k in ("current", "current_static_lag_lifecycle_material")}
-    paths = {"tuning": tables.work_dir(s, "tuning"), "repeat": tables.work_dir(s, "tuning"), "missing": tables.work_dir(s, "missing")}
-    found = models.grid(train, valid, mixtures, "target_next_URA", grid, ("direct", "delta"))
-    tables.write_csv(found, paths["tuning"])
-    tables.write_csv(found, paths["repeat"])
+    families = {"linear": {f"ridge_{a:g}": estimators.Ridge(a) for a in (0.01, 1.0, 100.0)} | {"linear": estimators.Linear()}, "trees": {k: v for k, v in models.estimators().items() if k in ("random_forest", "boosted_trees")}}
+    paths = {n: tables.work_dir(s, "tuning") for n in (*families, "repeat", "missing")}
+    for name, family in families.items():
+        found = models.grid(train, valid, mixtures, "target_next_URA", family, ("direct", "delta"))
+        tables.write_csv(found, paths[name])
+        if name == "linear":
+            tables.write_csv(found, paths["repeat"])
     candidates = models.distinct_candidates(tables.read_results(s, paths, models.RESULTS))
     best = models.chosen(candidates).first()
-    make, features = models.Ridge(json.loads(best["params"])["alpha"]), mixtures[best["feature_mixture"]]
+    make, features = estimators.from_json(best["params"]), mixtures[best["feature_mixture"]]
     both, everything, rows = train.unionByName(valid), train.unionByName(valid).unionByName(test), []
     for c in ("URA", "IRI"):
         final = models.fit(both, features, f"target_next_{c}", make, current=c, target_type=best["target_type"])
         production = models.fit(everything, features, f"target_next_{c}", make, current=c, target_type=best["target_type"])
         n, mae, rmse, r2 = models.evaluated(final, test).first()
         still = metrics.metrics(test, f"target_next_{c}", c).first()["rmse"]
-        rows.append((f"target_next_{c}", best["model"], best["target_type"], best["feature_mixture"], n, mae, rmse, r2, still, everything.count(), float(production.model.stages[-1].intercept)))
+        own = models.evaluated(production, everything).first()
+        rows.append((f"target_next_{c}", best["model"], best["params"], best["target_type"], best["feature_mixture"], n, mae, rmse, r2, still, own["rows"], own["rmse"]))
     manifest = tables.work_dir(s, "manifest")
     tables.write_manifest(s, {"seed": 42, "best_model": best["model"], "candidates": candidates.count()}, manifest)
     told = tables.read_manifest(s, manifest).select("seed", "candidates")
-    schema = "target string, model string, target_type string, feature_mixture string, test_rows long, mae double, rmse double, r2 double, persistence_rmse double, production_rows long, production_intercept double"
+    schema = "target string, model string, params string, target_type string, feature_mixture string, test_rows long, mae double, rmse double, r2 double, persistence_rmse double, production_rows long, production_rmse double"
     return s.createDataFrame(rows, schema).join(F.broadcast(told))
 
 
 @query("ml_24_flt_08_band_ablation")
 def _(s, d):
-    """Mixture, target and model within each horizon band, errors by band in columns, persistence beside them."""
-    train, valid, _ = _split(s, d)
-    linear, found = {"linear": models.estimators()["linear"], "ridge": models.Ridge()}, []
-    for w in fx.WINDOWS:
-        own, check = models.band(train, w), models.band(valid, w)
+    """Mixture, target and model, trees among them, for each horizon of 1 to 4 years: errors in columns, persistence beside them.
+
+    A horizon's rows are those with a measurement within three months of it, which is then their target.
+    """
+    table = temporal.fixed_horizons(_table(s, d))
+    split = stored(splits.with_split(table, splits.stratified_assets(table, "Segment_ID", "ELY"), "Segment_ID"))
+    tried, found = {k: models.estimators()[k] for k in ("linear", "ridge", "boosted_trees")}, []
+    for h in (1, 2, 3, 4):
+        own = split.where(f"target_URA_{h}y is not null and target_IRI_{h}y is not null").withColumns(
+            {"target_next_URA": F.col(f"target_URA_{h}y"), "target_next_IRI": F.col(f"target_IRI_{h}y"), "target_horizon_years": F.col(f"actual_horizon_years_{h}y")}
+        )
+        train, valid = (own.where(F.col("split") == n) for n in ("train", "validation"))
         for c in ("URA", "IRI"):
-            found.append(models.grid(own, check, models.FEATURE_MIXTURES, f"target_next_{c}", linear, ("direct",), c).withColumn("band", F.lit(w[0])))
+            found.append(models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", tried, ("direct",), c).withColumn("band", F.lit(f"h{h}y")))
     rows = reduce(DataFrame.unionByName, found)
-    return rows.groupBy("model", "target", "feature_mixture").pivot("band", [w[0] for w in fx.WINDOWS]).agg(F.first("rmse").alias("rmse"), F.first("persistence_rmse").alias("persistence_rmse"))
+    return rows.groupBy("model", "target", "feature_mixture").pivot("band", [f"h{h}y" for h in (1, 2, 3, 4)]).agg(F.first("rmse").alias("rmse"), F.first("persistence_rmse").alias("persistence_rmse"), F.first("evaluation_rows").alias("rows"))
 
 
-_STAGES = f"""WITH {SUP}, c AS (SELECT *, {_WIN.format(c='target_horizon_days')} AS stage FROM sup),
-p AS (SELECT stage, 'persistence' AS model, target_next_URA AS y, URA AS x FROM c UNION ALL SELECT stage, 'previous', target_next_URA, prev_URA FROM c UNION ALL SELECT stage, 'mean_of_both', target_next_URA, (URA + prev_URA) / 2 FROM c),
-g AS (SELECT stage, model, count(x) AS n, sqrt(avg((y - x) ** 2)) AS rmse FROM p WHERE x IS NOT NULL GROUP BY stage, model)"""
+_MIXES = {"coarse": (0.0, 0.5, 1.0), "focused": (0.6, 0.7, 0.8, 0.9), "repeat": (0.5, 0.7)}
+_STAGES = f"""WITH {SUP}, c AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', CAST({w} AS DOUBLE))" for i, (n, ws) in enumerate(_MIXES.items()) for w in ws)}) t(stage_no, stage, share)),
+g AS (SELECT stage_no, stage, share, count(*) AS rows, round(sqrt(avg((target_next_URA - share * URA - (1 - share) * prev_URA) ** 2)), 6) AS rmse FROM sup, c WHERE prev_URA IS NOT NULL GROUP BY ALL)"""
 
 
-@query("ml_23_stage_progression", f"{_STAGES} SELECT stage, model, n, round(rmse, 6) AS rmse FROM g QUALIFY row_number() OVER (PARTITION BY stage ORDER BY round(rmse, 9), model) = 1")
+@query("ml_23_stage_progression", f"{_STAGES} SELECT stage, stage_no, '{{\"share\":' || share || '}}' AS params, rows, rmse FROM g QUALIFY row_number() OVER (PARTITION BY stage ORDER BY rmse, share) = 1")
 def _(s, d):
-    """The best predictor of each stage, a stage being a horizon window."""
-    x = fx.training(s, d).withColumn("stage", col.horizon_window(F.col("target_horizon_days"), fx.WINDOWS)).withColumn("both", (F.col("URA") + F.col("prev_URA")) / 2)
-    kinds = {m: ("URA", "target_next_URA", c) for m, c in (("persistence", "URA"), ("previous", "prev_URA"), ("mean_of_both", "both"))}
-    long = metrics.unpivot_predictors(x, ["stage"], kinds).where("prediction is not null")
-    found = long.groupBy("stage", "model").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("actual") - F.col("prediction")) ** 2)), 9).alias("rmse"))
-    return metrics.best_per_group(found, ["stage"], "rmse", ["model"])
+    """The best candidate of each stage, from the stages' written result tables: mixtures of the current and the previous level."""
+    x = stored(fx.training(s, d).where("prev_URA is not null").select("URA", "prev_URA", "target_next_URA"))
+    paths = {}
+    for name, shares in _MIXES.items():
+        parts = F.explode(F.array(*map(F.lit, shares))).alias("share")
+        mixed = x.select("*", parts).withColumn("prediction", F.col("share") * F.col("URA") + (1 - F.col("share")) * F.col("prev_URA"))
+        found = mixed.groupBy("share").agg(*(c.alias(n) for n, c in metrics.metric_columns(F.col("target_next_URA"), F.col("prediction")).items() if n in ("rows", "rmse")))
+        found = found.select(F.lit("mixture").alias("model"), F.lit("current").alias("feature_mixture"), F.to_json(F.struct("share")).alias("params"), "rows", F.round("rmse", 6).alias("rmse"))
+        paths[name] = tables.work_dir(s, "stage")
+        tables.write_csv(found, paths[name])
+    read = tables.read_results(s, paths, "model string, feature_mixture string, params string, rows long, rmse double")
+    stages = {n: read.where(F.col("source") == n).withColumn("feature_mixture", F.col("params")) for n in _MIXES}
+    return models.progression(stages).select("stage", "stage_no", "params", "rows", "rmse")
 
 
 @query("ml_10_random_forest_breakdown")
 def _(s, d):
     train, valid, test = _split(s, d)
-    fitted = models.fit(train.unionByName(valid), FULL, "target_next_URA", models.estimators(SCALE)["random_forest"], target_type="delta")
+    fitted = models.fit(train.unionByName(valid), FULL, "target_next_URA", models.estimators()["random_forest"], target_type="delta")
     return metrics_by_sets(fitted.predict(test), [], ["ELY", "Toim_lk"], "target_next_URA", "prediction")
 
 
 @query("ml_11_boosted_trees")
 def _(s, d):
-    """With early stopping on a tenth of the assets: errors, persistence and the trees that were kept."""
+    """The published final candidate, with early stopping on a tenth of the assets: errors, persistence and the trees that were kept."""
     train, valid, _ = _split(s, d)
-    fitted = models.fit(train, FULL, "target_next_URA", models.boosted(0.3, 400, 31, 50, scale=SCALE), target_type="delta")
+    fitted = models.fit(train, FULL, "target_next_URA", estimators.Boosted(0.10, 400, 127, 150, 0.10), target_type="delta")
     still = metrics.metrics(valid, "target_next_URA", "URA").first()["rmse"]
     return models.evaluated(fitted, valid).withColumns({"persistence_rmse": F.lit(still), "trees": F.lit(fitted.model.stages[-1].getNumTrees)})
 
@@ -231,30 +252,32 @@ def _(s, d):
 def _(s, d):
     """Coefficients of a linear model and importances of a forest by encoded feature."""
     train, _, _ = _split(s, d)
-    known, out = models.estimators(SCALE), []
+    known, out = models.estimators(), []
     for name in ("linear", "random_forest"):
-        out.append(models.weights(models.fit(train, FULL, "target_next_URA", known[name], scale=name == "linear"), train).withColumn("model", F.lit(name)))
+        out.append(models.weights(models.fit(train, FULL, "target_next_URA", known[name]), train).withColumn("model", F.lit(name)))
     return out[0].unionByName(out[1])
 
 
 @query("ml_20_permutation_importance")
 def _(s, d):
+    """All features of the full mixture, five repeats, over all validation rows."""
     train, valid, _ = _split(s, d)
-    fitted = models.fit(train, CURRENT, "target_next_URA", models.estimators()["linear"])
-    return models.permutation_importance(fitted, valid, CURRENT, ["Segment_ID", "slot_idx"])
+    fitted = models.fit(train, FULL, "target_next_URA", estimators.Boosted(0.10, 400, 127, 150, 0.10), target_type="delta")
+    return models.permutation_importance(fitted, valid, FULL, ["Segment_ID", "slot_idx"])
 
 
 @query("ml_21_joi_10_agg_40_response")
 def _(s, d):
-    train, valid, _ = _split(s, d)
-    fitted = models.fit(train, models.FEATURE_MIXTURES["current_static"], "target_next_URA", models.estimators()["linear"])
-    return models.response(fitted, valid, "KVL", audit.quantile_grid(valid, "KVL"), 500, ["Segment_ID", "slot_idx"])
+    """Heavy traffic set to each of its quantiles for up to 50,000 rows."""
+    train, _, test = _split(s, d)
+    fitted = models.fit(train, FULL, "target_next_URA", models.estimators()["linear"], target_type="delta")
+    return models.response(fitted, test, "KVL_raskas", audit.quantile_grid(test, "KVL_raskas"), 50_000, ["Segment_ID", "slot_idx"])
 
 
 @query("ml_22_encoding")
 def _(s, d):
     train, valid, _ = _split(s, d)
-    return models.encoding(models.fit(train, FULL, "target_next_URA", models.estimators()["linear"]), valid)
+    return models.encoded_row(models.fit(train, FULL, "target_next_URA", models.estimators()["linear"]), valid)
 
 
 # Sinks and sources ----------------------------------------------------------------------------------------------------
@@ -297,11 +320,13 @@ def _(s, d):
 
 @query("snk_05_06_saved_model_scores")
 def _(s, d):
-    """A model saved and loaded, its scores of the test rows at a horizon of one year written and read again."""
+    """A model saved and loaded, its scores of the test rows at a horizon of one year written and read again, beside those before saving."""
     train, _, test = _split(s, d)
     fitted = models.fit(train, CURRENT, "target_next_URA", models.estimators()["linear"])
     path, scores = tables.work_dir(s, "model"), tables.work_dir(s, "scores")
     tables.save_model(fitted.model, path)
-    rows = models.prepared(test.withColumn("target_horizon_years", F.lit(1.0)), fitted.numeric, fitted.categories, fitted.fill)
-    tables.score(tables.load_model(path), rows, 1, scores)
-    return s.read.parquet(scores).select("Segment_ID", "event_date", "forecast_horizon_years", "prediction")
+    asked = test.withColumn("target_horizon_years", F.lit(1.0))
+    tables.score(tables.load_model(path), models.prepared(asked, fitted.numeric, fitted.categories, fitted.fill), 1, scores)
+    before = fitted.predict(asked).select("Segment_ID", "event_date", F.col("slot_idx"), F.col("prediction").alias("before_saving"))
+    after = s.read.parquet(scores).select("Segment_ID", "event_date", "slot_idx", "forecast_horizon_years", "prediction")
+    return after.join(before, ["Segment_ID", "event_date", "slot_idx"])

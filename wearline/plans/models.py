@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import json
-import math
 import time
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wearline.operators.history import ASSET
-from wearline.operators.metrics import best_per_group, metrics
+from wearline.operators.metrics import best_per_group, metric_columns, metrics
+from wearline.operators.prefix import ranked
+from wearline.operators.quantiles import quantiles
 from wearline.operators.splits import exact_sample, rank_key
+from wearline.plans.estimators import Boosted, Estimator, Forest, Linear, Ridge, to_json
+from wearline.sources.tables import stored
 
 # Cumulative feature mixtures.
 FEATURE_MIXTURES = {
@@ -51,8 +56,8 @@ FOCUSED_GRID = (
     (0.08, 350, 63, 75, 0.05), (0.08, 350, 63, 150, 0.05), (0.08, 350, 63, 200, 0.05), (0.08, 350, 63, 100, 0.03), (0.08, 350, 63, 100, 0.10),
     (0.08, 350, 63, 100, 0.20), (0.10, 400, 95, 150, 0.10), (0.10, 400, 127, 150, 0.10), (0.06, 650, 95, 150, 0.10), (0.12, 300, 95, 150, 0.10),
 )
-#: A boosted model stops when its own tenth of the assets gains less than this.
-STOP_GAIN = 0.001
+#: Fits that run at once; each is a Spark job of its own.
+AT_ONCE = 6
 
 
 def band(df: DataFrame, window: tuple[str, float, float], days: str = "target_horizon_days") -> DataFrame:
@@ -73,8 +78,8 @@ def empty_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 def medians(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
     """Exact medians (mean of the middle two), fitted on the training rows only."""
-    row = train.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in numeric)).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in numeric}
+    found = {r["column_name"]: r["median"] for r in quantiles(train, numeric, [0.5], written=True).select("column_name", F.col("q")[0].alias("median")).collect()} if numeric else {}
+    return {c: found.get(c, 0.0) for c in numeric}
 
 
 def modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -91,49 +96,43 @@ def prepared(df: DataFrame, numeric: Sequence[str], categories: Sequence[str], f
     })
 
 
-def pipeline(numeric: Sequence[str], categories: Sequence[str], estimator, scale: bool = False) -> Pipeline:
-    """Unknown categories become the zero vector."""
-    stages = [StringIndexer(inputCols=[f"c_{c}" for c in categories], outputCols=[f"i_{c}" for c in categories], handleInvalid="keep"),
-              OneHotEncoder(inputCols=[f"i_{c}" for c in categories], outputCols=[f"o_{c}" for c in categories])] if categories else []
-    numbers = "numbers"
-    stages.append(VectorAssembler(inputCols=[f"x_{c}" for c in numeric], outputCol=numbers))
-    if scale:
-        stages.append(StandardScaler(inputCol=numbers, outputCol="scaled", withMean=True))
-        numbers = "scaled"
-    stages.append(VectorAssembler(inputCols=[numbers, *(f"o_{c}" for c in categories)], outputCol="features"))
-    return Pipeline(stages=[*stages, estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "label"})])
-
-
-class Ridge:
-    """Ridge with penalty ``alpha * |w|^2`` on the sum of squares; Spark ML's units need the label that is fitted, so ``fit`` asks for them."""
-
-    def __init__(self, alpha: float = 1.0) -> None:
-        self.alpha = alpha
-
-    def on(self, labelled: DataFrame) -> LinearRegression:
-        n, sd = labelled.agg(F.count("label"), F.stddev_pop("label")).first()
-        return LinearRegression(solver="normal", elasticNetParam=0.0, standardization=False, regParam=self.alpha * (sd or 1.0) / max(n, 1))
+def estimators() -> dict[str, Estimator]:
+    """The four models of the grid."""
+    return {"linear": Linear(), "ridge": Ridge(1.0), "random_forest": Forest(100, "0.5", 8), "boosted_trees": Boosted(0.08, 200, 31, 50)}
 
-    def params(self) -> dict:
-        return {"alpha": self.alpha}
 
+@dataclass
+class Encoding:
+    """Fills and category encoders of a set of features, fitted once on the training rows and shared by all fits on them."""
 
-def boosted(rate: float, iterations: int, leaves: int, leaf_rows: int, l2: float = 0.0, scale: int = 1) -> GBTRegressor:
-    """Boosted trees of about as many leaves, with early stopping; trees grow by level and have no L2.  ``scale`` divides the iterations."""
-    return GBTRegressor(
-        maxIter=max(1, iterations // scale), stepSize=rate, maxDepth=math.ceil(math.log2(leaves)), minInstancesPerNode=leaf_rows, seed=42,
-        validationIndicatorCol="stop", validationTol=STOP_GAIN,
-    )
+    numeric: list[str]
+    categories: list[str]
+    fill: dict[str, float]
+    stages: list
 
+    def rows(self, df: DataFrame) -> DataFrame:
+        """``df`` with numeric features as ``x_`` and categories as ``o_`` columns."""
+        return PipelineModel(self.stages).transform(prepared(df, self.numeric, self.categories, self.fill))
 
-def forest(trees: int, share: str, leaf_rows: int, scale: int = 1) -> RandomForestRegressor:
-    """A forest as deep as Spark allows; ``scale`` divides the trees and a third of the depth."""
-    return RandomForestRegressor(numTrees=max(2, trees // scale), maxDepth=30 if scale == 1 else 10, minInstancesPerNode=leaf_rows, featureSubsetStrategy=share, seed=42)
+    def written(self, df: DataFrame) -> DataFrame:
+        """The same from a written table, which all fits read.  The columns' names of values are metadata, which files lose."""
+        rows = self.rows(df)
+        kept = stored(rows)
+        return kept.select(*(F.col(c).alias(c, metadata=rows.schema[c].metadata) if rows.schema[c].metadata else F.col(c) for c in rows.columns))
 
 
-def estimators(scale: int = 1) -> dict:
-    """The four models of the grid; ``scale`` divides trees and iterations."""
-    return {"linear": LinearRegression(regParam=0.0), "ridge": Ridge(1.0), "random_forest": forest(100, "0.5", 8, scale), "boosted_trees": boosted(0.08, 200, 31, 50, 0.0, scale)}
+def encoding(train: DataFrame, features: Sequence[str]) -> Encoding:
+    """Features without any value are dropped; unknown categories become the zero vector."""
+    known = fills(train, features)
+    numeric = [f for f in features if known.get(f) is not None]
+    categories = [f for f in features if f in CATEGORIES and f not in known]
+    stages = []
+    if categories:
+        x = prepared(train, [], categories, {})
+        indexed = StringIndexer(inputCols=[f"c_{c}" for c in categories], outputCols=[f"i_{c}" for c in categories], handleInvalid="keep").fit(x)
+        hot = OneHotEncoder(inputCols=[f"i_{c}" for c in categories], outputCols=[f"o_{c}" for c in categories]).fit(indexed.transform(x))
+        stages = [indexed, hot]
+    return Encoding(numeric, categories, {f: known[f] for f in numeric}, stages)
 
 
 class Fitted:
@@ -143,12 +142,19 @@ class Fitted:
         self.model, self.numeric, self.categories, self.fill = model, numeric, categories, fill
         self.target, self.current, self.target_type = target, current, target_type
 
+    def level(self) -> Column:
+        """The model's prediction as a level, whatever its target is."""
+        return F.col("prediction") + F.col(self.current) if self.target_type == "delta" else F.col("prediction")
+
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction`` as a level, whatever the model's target is."""
-        x = prepared(df, self.numeric, self.categories, self.fill)
-        out = self.model.transform(x)
-        level = F.col("prediction") + F.col(self.current) if self.target_type == "delta" else F.col("prediction")
-        return out.withColumn("level", level).select(*df.columns, F.col("level").alias("prediction"))
+        """Adds ``prediction`` as a level."""
+        out = self.model.transform(prepared(df, self.numeric, self.categories, self.fill))
+        return out.withColumn("level", self.level()).select(*df.columns, F.col("level").alias("prediction"))
+
+    def encoded_metrics(self, rows: DataFrame) -> DataFrame:
+        """Errors over rows that are encoded already."""
+        tail = [s for s in self.model.stages if not s.uid.startswith(("StringIndexer", "OneHotEncoder"))]
+        return metrics(PipelineModel(tail).transform(rows).withColumn("level", self.level()), self.target, "level")
 
 
 def fills(train: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
@@ -158,67 +164,73 @@ def fills(train: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
     return {**medians(train, numeric), **dict.fromkeys(gone)}
 
 
-def fit(
-    train: DataFrame, features: Sequence[str], target: str, estimator, *, current: str = "URA", target_type: str = "direct", scale: bool = False,
-    known: dict[str, float | None] | None = None,
-) -> Fitted:
-    """``known`` are fills of these features, and maybe of others, if they were made before from the same rows."""
+def fit_encoded(rows: DataFrame, code: Encoding, features: Sequence[str], target: str, estimator: Estimator, *, current: str = "URA", target_type: str = "direct", scale: bool | None = None) -> Fitted:
+    """Fits on rows that ``code`` has encoded, with those of its features that are named; ``scale`` overrides what the estimator asks for."""
+    numeric, categories = ([f for f in of if f in features] for of in (code.numeric, code.categories))
+    label = F.col(target) - F.col(current) if target_type == "delta" else F.col(target)
+    x = rows.withColumn("label", label.cast("double")).where("label is not null")
+    if estimator.stops:
+        x = x.withColumn("stop", F.substring(F.md5(F.concat_ws("|", F.lit("stop"), F.col(ASSET))), 1, 1).isin("0", "1"))
+    numbers = "numbers"
+    stages = [VectorAssembler(inputCols=[f"x_{c}" for c in numeric], outputCol=numbers)]
+    if estimator.scaled if scale is None else scale:
+        stages.append(StandardScaler(inputCol=numbers, outputCol="scaled", withMean=True))
+        numbers = "scaled"
+    stages.append(VectorAssembler(inputCols=[numbers, *(f"o_{c}" for c in categories)], outputCol="features"))
+    vectors = Pipeline(stages=stages).fit(x)
+    model = estimator.train(vectors.transform(x))
+    return Fitted(PipelineModel([*code.stages, *vectors.stages, model]), code.numeric, code.categories, code.fill, target, current, target_type)
+
+
+def fit(train: DataFrame, features: Sequence[str], target: str, estimator: Estimator, *, current: str = "URA", target_type: str = "direct", scale: bool | None = None) -> Fitted:
+    """Encodes the training rows and fits on them; features that leak the target or do not exist are refused."""
     bad = violations(train.columns, features)
     if bad:
         raise ValueError(f"features can't be used: {bad}")
-    known = fills(train, features) if known is None else known
-    gone = {f for f in features if f in known and known[f] is None}
-    numeric = [f for f in features if f not in CATEGORIES and f not in gone]
-    categories = [f for f in features if f in CATEGORIES and f not in gone]
-    fill = {f: known[f] for f in numeric}
-    label = F.col(target) - F.col(current) if target_type == "delta" else F.col(target)
-    x = prepared(train, numeric, categories, fill).withColumn("label", label.cast("double")).where("label is not null")
-    if isinstance(estimator, Ridge):
-        estimator = estimator.on(x)
-    elif estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol"):
-        x = x.withColumn("stop", F.substring(F.md5(F.concat_ws("|", F.lit("stop"), F.col(ASSET))), 1, 1).isin("0", "1"))
-    return Fitted(pipeline(numeric, categories, estimator, scale).fit(x), numeric, categories, fill, target, current, target_type)
+    code = encoding(train, features)
+    return fit_encoded(code.rows(train), code, features, target, estimator, current=current, target_type=target_type, scale=scale)
 
 
 def evaluated(fitted: Fitted, df: DataFrame) -> DataFrame:
     return metrics(fitted.predict(df), fitted.target, "prediction")
 
 
-def parameters(estimator) -> dict:
-    if isinstance(estimator, Ridge):
-        return estimator.params()
-    return {p.name: v for p, v in estimator.extractParamMap().items() if isinstance(v, (int, float, str))}
-
-
 RESULTS = (
     "model string, target string, target_type string, feature_mixture string, split string, evaluation_rows long, mae double, rmse double, r2 double, "
     "persistence_rmse double, fit_seconds double, params string"
 )
 
 
-def grid(train: DataFrame, valid: DataFrame, mixtures: dict[str, Sequence[str]], target: str, models: dict, target_types: Sequence[str] = ("direct",), current: str = "URA") -> DataFrame:
-    """A result row per model, mixture and target type, equal parameters once, with the persistence of the same rows beside it."""
-    spark, rows, seen = train.sparkSession, [], set()
-    still = metrics(valid, target, current).first()["rmse"]
-    known = fills(train, list(dict.fromkeys(f for features in mixtures.values() for f in features)))
-    for name, estimator in models.items():
-        params = json.dumps(parameters(estimator), sort_keys=True)
-        for mixture, features in mixtures.items():
-            for kind in target_types:
-                if (name, params, mixture, kind) in seen:
-                    continue
-                seen.add((name, params, mixture, kind))
-                began = time.time()
-                fitted = fit(train, features, target, estimator, current=current, target_type=kind, scale=name in ("linear", "ridge"), known=known)
-                took = time.time() - began
-                n, mae, rmse, r2 = evaluated(fitted, valid).first()
-                rows.append((name, target, kind, mixture, "validation", n, mae, rmse, r2, still, took, params))
+def grid(train: DataFrame, valid: DataFrame, mixtures: dict[str, Sequence[str]], target: str, models: dict[str, Estimator], target_types: Sequence[str] = ("direct",), current: str = "URA") -> DataFrame:
+    """A result row per model, mixture and target type, equal parameters once, with the persistence of the same rows beside it.
+
+    The rows are encoded and written once; up to ``AT_ONCE`` fits run at the same time on them.
+    """
+    spark = train.sparkSession
+    every = list(dict.fromkeys(f for features in mixtures.values() for f in features))
+    bad = violations(train.columns, every)
+    if bad:
+        raise ValueError(f"features can't be used: {bad}")
+    code = encoding(train, every)
+    own, check = code.written(train), code.written(valid)
+    still = metrics(check, target, current).first()["rmse"]
+    tasks = {(to_json(e), m, k): (name, e) for name, e in reversed(models.items()) for m in mixtures for k in target_types}
+
+    def run(task: tuple) -> tuple:
+        (params, mixture, kind), (name, estimator) = task
+        began = time.time()
+        fitted = fit_encoded(own, code, mixtures[mixture], target, estimator, current=current, target_type=kind)
+        took = time.time() - began
+        return (name, target, kind, mixture, "validation", *fitted.encoded_metrics(check).first(), still, took, params)
+
+    with ThreadPool(min(AT_ONCE, max(1, len(tasks)))) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(run), list(tasks.items()), chunksize=1)
     return spark.createDataFrame(rows, RESULTS)
 
 
 def distinct_candidates(results: DataFrame) -> DataFrame:
-    """One row per candidate: model, target, target type, mixture and canonical parameters; of repeats the best."""
-    w = Window.partitionBy("model", "target", "target_type", "feature_mixture", "params").orderBy("rmse")
+    """One row per candidate: target, target type, mixture and canonical parameters, whatever its name; of repeats the best."""
+    w = Window.partitionBy("target", "target_type", "feature_mixture", "params").orderBy("rmse", "model")
     return results.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
@@ -254,30 +266,44 @@ def weights(fitted: Fitted, df: DataFrame) -> DataFrame:
 
 
 def permutation_importance(fitted: Fitted, df: DataFrame, features: Sequence[str], key: Sequence[str], repeats: int = 5) -> DataFrame:
-    """Increase of RMSE when a feature's values are dealt anew among rows.
+    """Increase of RMSE when a feature's values are dealt anew among all rows: mean and deviation over the repeats.
 
-    Values are moved along a ring of rows in md5 order, in ranges of the hash, so no task sorts all rows.
+    For each repeat the rows are ranked by md5 (in ranges, so no task sorts them all) and each takes the values of the one before,
+    the first those of the last.  Every feature and repeat is scored in one job.
     """
-    base = evaluated(fitted, df).first()["rmse"]
-    out = []
-    for f in features:
-        for k in range(repeats):
-            mark = df.withColumns({"_h": rank_key(1000 + k, *key)}).withColumn("_b", F.substring("_h", 1, 2))
-            w = Window.partitionBy("_b").orderBy("_h")
-            moved = F.coalesce(F.lag(f).over(w), F.last(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-            out.append((f, k, evaluated(fitted, mark.withColumn(f, moved).drop("_h", "_b")).first()["rmse"] - base))
-    return df.sparkSession.createDataFrame(out, "feature string, repeat int, increase double").groupBy("feature").agg(F.avg("increase").alias("rmse_increase"), F.stddev_samp("increase").alias("std"))
+    rows = stored(df)
+    base = evaluated(fitted, rows).first()["rmse"]
+    parts = []
+    for k in range(repeats):
+        placed = stored(ranked(rows, [], [rank_key(1000 + k, *key), *key], "_rank"))
+        given = placed.select((F.col("_rank") % F.col("total__rank") + 1).alias("_rank"), F.struct(*features).alias("_given"))
+        parts.append(placed.join(given, "_rank").drop("_rank", "total__rank").withColumn("_repeat", F.lit(k)))
+    dealt = reduce(DataFrame.unionByName, parts).withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
+    dealt = dealt.withColumns({f: F.when(F.col("_feature") == f, F.col(f"_given.{f}")).otherwise(F.col(f)) for f in features}).drop("_given")
+    scored = fitted.predict(dealt)
+    per = scored.groupBy(F.col("_feature").alias("feature"), "_repeat").agg(metric_columns(F.col(fitted.target), F.col("prediction"))["rmse"].alias("rmse"))
+    return per.groupBy("feature").agg(F.avg(F.col("rmse") - base).alias("rmse_increase"), F.stddev_pop("rmse").alias("std"))
 
 
 def response(fitted: Fitted, df: DataFrame, feature: str, grid_values: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Mean and spread of predictions with ``feature`` set to each grid value, over ``n`` sampled rows (a stated sample)."""
-    rows = exact_sample(df, n, seed, *key)
-    grid_values = grid_values.select(F.col(grid_values.columns[0]).cast("double").alias("grid_value"))
-    x = rows.crossJoin(F.broadcast(grid_values)).withColumn(feature, F.col("grid_value"))
-    return fitted.predict(x).groupBy("grid_value").agg(F.avg("prediction").alias("mean"), F.percentile("prediction", F.lit(0.1)).alias("p10"), F.percentile("prediction", F.lit(0.9)).alias("p90"))
-
+    """What the model says when ``feature`` is set to each grid value, over up to ``n`` rows that have it (a stated sample).
 
-def encoding(fitted: Fitted, df: DataFrame) -> DataFrame:
+    Means of the raw prediction, of the level and of the change from the current level, and the change's 10 and 90 percent
+    quantiles.  Rows are encoded once; only the feature's place in the encoded row is exchanged.
+    """
+    sample = exact_sample(df.where(F.col(feature).isNotNull()), n, seed, *key)
+    heads = [s for s in fitted.model.stages if s.uid.startswith(("StringIndexer", "OneHotEncoder"))]
+    tail = PipelineModel(fitted.model.stages[len(heads) :])
+    encoded = stored(PipelineModel(heads).transform(prepared(sample, fitted.numeric, fitted.categories, fitted.fill)))
+    values = grid_values.select(F.col(grid_values.columns[0]).cast("double").alias("grid_value"))
+    exchanged = encoded.join(F.broadcast(values)).withColumn(f"x_{feature}", F.col("grid_value"))
+    out = tail.transform(exchanged).withColumn("level", fitted.level()).withColumn("change", F.col("level") - F.col(fitted.current))
+    out = stored(out.select("grid_value", "prediction", "level", "change"))
+    ends = quantiles(out, ["change"], [0.1, 0.9], ["grid_value"], written=True).select("grid_value", F.col("q")[0].alias("p10_change"), F.col("q")[1].alias("p90_change"))
+    return out.groupBy("grid_value").agg(F.avg("prediction").alias("mean_raw"), F.avg("level").alias("mean_level"), F.avg("change").alias("mean_change"), F.count("*").alias("rows")).join(ends, "grid_value")
+
+
+def encoded_row(fitted: Fitted, df: DataFrame) -> DataFrame:
     """One row's encoded vector by feature."""
     names = feature_names(fitted, df)
     x = fitted.model.transform(prepared(df, fitted.numeric, fitted.categories, fitted.fill)).limit(1).select(F.posexplode(vector_to_array("features")).alias("i", "encoded"))

@@ -116,5 +116,5 @@ def score(model: PipelineModel, df: DataFrame, horizon: int, path: str | None =
     """Predictions at one chosen horizon, written if a path is given."""
     out = model.transform(df.withColumn("forecast_horizon_years", F.lit(float(horizon))))
     if path:
-        write_parquet(out.select("Segment_ID", "event_date", "forecast_horizon_years", "prediction"), path)
+        write_parquet(out.select("Segment_ID", "event_date", *(["slot_idx"] if "slot_idx" in out.columns else []), "forecast_horizon_years", "prediction"), path)
     return out
