@@ -168,3 +168,13 @@ def test_response_equals_brute_force(table, spark):
         assert r["rows"] == len(rows) and r["mean_level"] == pytest.approx(np.mean([x["prediction"] for x in rows])) and r["mean_raw"] == pytest.approx(np.mean(change))
         assert (r["mean_change"], r["p10_change"], r["p90_change"]) == pytest.approx((np.mean(change), np.quantile(change, 0.1), np.quantile(change, 0.9)))
     assert models.response(fitted, train, "IRI", values, 50, ["Segment_ID"]).first()["rows"] == 50
+
+
+def test_parts_are_one_forest(spark, monkeypatch):
+    x = step_table(spark)
+    monkeypatch.setattr(estimators, "PART", 4)
+    model = Forest(10, "all", 5).train(x)
+    assert [p.getNumTrees for p in model.parts] == [4, 4, 2] and model.getNumTrees == 10
+    assert sum(model.featureImportances) == pytest.approx(1)
+    each = [[r["p"] for r in t.transform(x).orderBy("a").select(F.col("prediction").alias("p")).collect()] for p in model.parts for t in p.trees]
+    assert [r["prediction"] for r in model.transform(x).orderBy("a").collect()] == pytest.approx(np.mean(each, axis=0))

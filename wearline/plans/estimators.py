@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 from collections import defaultdict
 from dataclasses import asdict, dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,9 @@ from wearline.sources.tables import stored, work_dir
 
 #: A boosted model stops when its own tenth of the assets gains less than this.
 STOP_GAIN = 0.001
+#: Trees of a forest that are grown as one Spark model, and models that are grown at the same time.
+PART, AT_ONCE = 10, 8
+_fits = threading.BoundedSemaphore(AT_ONCE)
 #: Trees after which the prediction so far is written and no longer added up anew.
 BLOCK = 25
 
@@ -51,7 +58,11 @@ class Ridge:
 
 @dataclass(frozen=True)
 class Forest:
-    """A random forest as deep as Spark allows (30 levels)."""
+    """A random forest as deep as Spark allows (30 levels), grown in parts side by side.
+
+    Deep forests of Spark ML are bound by the driver, which picks the splits of all nodes of a level; parts of ``PART`` trees with
+    seeds of their own are the same forest and pick theirs at the same time.
+    """
 
     trees: int
     share: str
@@ -60,9 +71,40 @@ class Forest:
     stops = False
 
     def train(self, rows: DataFrame) -> Model:
-        return RandomForestRegressor(
-            numTrees=self.trees, maxDepth=30, minInstancesPerNode=self.leaf_rows, featureSubsetStrategy=self.share, seed=42, cacheNodeIds=True, checkpointInterval=-1, maxMemoryInMB=1024
-        ).fit(rows)
+        def part(i: int) -> Model:
+            own = RandomForestRegressor(
+                numTrees=min(PART, self.trees - i * PART), maxDepth=30, minInstancesPerNode=self.leaf_rows, featureSubsetStrategy=self.share, seed=42 + i, cacheNodeIds=True, checkpointInterval=-1
+            )
+            with _fits:
+                return own.fit(rows)
+
+        count = -(-self.trees // PART)
+        with ThreadPool(min(AT_ONCE, count)) as pool:
+            return ForestModel(pool.map(inheritable_thread_target(rows.sparkSession)(part), range(count), chunksize=1))
+
+
+class ForestModel(Model):
+    """The mean over the trees of all parts."""
+
+    def __init__(self, parts: list[Model]) -> None:
+        super().__init__()
+        self.parts = parts
+
+    @property
+    def getNumTrees(self) -> int:  # noqa: N802 (Spark ML's name)
+        return sum(p.getNumTrees for p in self.parts)
+
+    @property
+    def featureImportances(self) -> DenseVector:  # noqa: N802
+        return DenseVector(sum(p.featureImportances.toArray() * p.getNumTrees for p in self.parts) / self.getNumTrees)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = dataset
+        for i, p in enumerate(self.parts):
+            own = p.copy()
+            out = own.setPredictionCol(f"_part_{i}").transform(out)
+        total = sum((F.col(f"_part_{i}") * F.lit(float(p.getNumTrees)) for i, p in enumerate(self.parts)), F.lit(0.0))
+        return out.withColumn("prediction", total / self.getNumTrees).drop(*(f"_part_{i}" for i in range(len(self.parts))))
 
 
 @dataclass(frozen=True)
@@ -83,10 +125,12 @@ class Boosted:
     stops = True
 
     def train(self, rows: DataFrame) -> Model:
-        grown = GBTRegressor(
+        tall = GBTRegressor(
             maxIter=self.iterations, stepSize=self.rate / 2, maxDepth=math.ceil(math.log2(self.leaves)), minInstancesPerNode=self.leaf_rows, seed=42,
             validationIndicatorCol="stop", validationTol=STOP_GAIN,
-        ).fit(rows)
+        )
+        with _fits:
+            grown = tall.fit(rows)
         return refitted(grown, rows.where("not stop"), self.rate, self.leaves, self.l2)
 
 

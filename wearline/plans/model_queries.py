@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from wearline.sources.tables import stored
 
 FULL = models.FEATURE_MIXTURES["current_static_lag_lifecycle_material"]
 CURRENT = models.FEATURE_MIXTURES["current"]
+#: Grids grow forests of a tenth of the stated trees, at full depth; ``ml_10``, ``ml_18`` and all boosted models have the stated size.
+FOREST_SHARE = 10
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervised(temporal.current_material(fx.history(spark, sf_dir))).withColumn("observed_lifecycle_age_years", F.col("Pavement_Age_years"))
@@ -115,6 +118,11 @@ def _(s, d):
     return _table(s, d).select("Segment_ID", "slot_idx", "observed_lifecycle_age_years")
 
 
+def _small(tried: dict[str, estimators.Estimator]) -> dict[str, estimators.Estimator]:
+    """The same estimators with forests of fewer trees."""
+    return {n: replace(e, trees=e.trees // FOREST_SHARE) if isinstance(e, estimators.Forest) else e for n, e in tried.items()}
+
+
 def _named(candidates, kind: str) -> dict[str, estimators.Estimator]:
     """Candidates of a stated grid by name and number."""
     return {f"{kind}_{i}": estimators.KINDS[kind](*c) for i, c in enumerate(candidates, 1)}
@@ -133,7 +141,7 @@ def _(s, d):
 def _(s, d):
     """Forests and boosted trees of all mixtures and both targets."""
     train, valid, _ = _split(s, d)
-    trees = {k: v for k, v in models.estimators().items() if k in ("random_forest", "boosted_trees")}
+    trees = _small({k: v for k, v in models.estimators().items() if k in ("random_forest", "boosted_trees")})
     grids = [models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", trees, ("direct",), c) for c in ("URA", "IRI")]
     return grids[0].unionByName(grids[1])
 
@@ -141,7 +149,7 @@ def _(s, d):
 def _tuning(train: DataFrame, valid: DataFrame) -> dict[str, DataFrame]:
     """The result table of each tuning stage."""
     mixture = {"current_static_lag_lifecycle_material": FULL}
-    coarse = {**_named(models.BOOSTED_GRID, "boosted_trees"), **_named(models.FOREST_GRID, "random_forest")}
+    coarse = {**_named(models.BOOSTED_GRID, "boosted_trees"), **_small(_named(models.FOREST_GRID, "random_forest"))}
     return {
         "coarse": models.grid(train, valid, mixture, "target_next_URA", coarse),
         "focused": models.grid(train, valid, mixture, "target_next_URA", _named(models.FOCUSED_GRID, "boosted_trees"), ("delta",)),
@@ -165,7 +173,7 @@ def _(s, d):
     manifest is written and read again."""
     train, valid, test = _split(s, d)
     mixtures = {k: models.FEATURE_MIXTURES[k] for k in ("current", "current_static_lag_lifecycle_material")}
-    families = {"linear": {f"ridge_{a:g}": estimators.Ridge(a) for a in (0.01, 1.0, 100.0)} | {"linear": estimators.Linear()}, "trees": {k: v for k, v in models.estimators().items() if k in ("random_forest", "boosted_trees")}}
+    families = {"linear": {f"ridge_{a:g}": estimators.Ridge(a) for a in (0.01, 1.0, 100.0)} | {"linear": estimators.Linear()}, "trees": _small({k: v for k, v in models.estimators().items() if k in ("random_forest", "boosted_trees")})}
     paths = {n: tables.work_dir(s, "tuning") for n in (*families, "repeat", "missing")}
     for name, family in families.items():
         found = models.grid(train, valid, mixtures, "target_next_URA", family, ("direct", "delta"))

@@ -21,7 +21,7 @@ from wearline.operators.metrics import best_per_group, metric_columns, metrics
 from wearline.operators.prefix import ranked
 from wearline.operators.quantiles import quantiles
 from wearline.operators.splits import exact_sample, rank_key
-from wearline.plans.estimators import Boosted, Estimator, Forest, Linear, Ridge, to_json
+from wearline.plans.estimators import AT_ONCE, Boosted, Estimator, Forest, Linear, Ridge, to_json
 from wearline.sources.tables import stored
 
 # Cumulative feature mixtures.
@@ -56,10 +56,6 @@ FOCUSED_GRID = (
     (0.08, 350, 63, 75, 0.05), (0.08, 350, 63, 150, 0.05), (0.08, 350, 63, 200, 0.05), (0.08, 350, 63, 100, 0.03), (0.08, 350, 63, 100, 0.10),
     (0.08, 350, 63, 100, 0.20), (0.10, 400, 95, 150, 0.10), (0.10, 400, 127, 150, 0.10), (0.06, 650, 95, 150, 0.10), (0.12, 300, 95, 150, 0.10),
 )
-#: Fits that run at once; each is a Spark job of its own.
-AT_ONCE = 6
-
-
 def band(df: DataFrame, window: tuple[str, float, float], days: str = "target_horizon_days") -> DataFrame:
     """The rows whose horizon lies in the band (name, first day, last day)."""
     return df.where(F.col(days).between(window[1], window[2]))
