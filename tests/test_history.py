@@ -124,3 +124,26 @@ def test_frames_run_forward(spark):
         fx.history(spark, "/root/testdata/sf0.001").explain("extended")
     frames = [x for x in out.getvalue().split("specifiedwindowframe(")[1:]]
     assert frames and not any("unboundedfollowing" in f.split("))")[0] and "unboundedpreceding" not in f.split("))")[0] for f in frames)
+
+
+def test_history_from_buckets_has_no_exchange(spark):
+    from wearline.plans.model_queries import _bucketed_events
+    from wearline.operators.history import event_history
+
+    events = _bucketed_events(spark, "/root/testdata/sf0.001")
+    whole = event_history(events)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in whole and "Window" in whole
+    one = event_history(events.where("Segment_ID = '7'"))._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in one and "Exchange" not in one
+
+
+def test_column_order():
+    from wearline.functions.columns import ordered
+
+    class Frame:
+        columns = ["b", "a", "c"]
+
+        def select(self, *names):
+            return names
+
+    assert ordered(Frame(), ["c", "none", "a"]) == ("c", "a", "b")

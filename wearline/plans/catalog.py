@@ -154,10 +154,15 @@ def _(s, d):
     return _candidates(s, d)
 
 
-@query("prj_15_column_order", f"WITH {SUP} SELECT Segment_ID, slot_idx, event_date, {r('URA', 'IRI')} FROM sup")
+_ORDER = ("Segment_ID", "event_date", "URA", "IRI", "slot_idx")
+
+
+@query("prj_15_column_order", f"WITH {SUP} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS position, '{c}' AS column_name, count({c}) AS rows FROM sup" for i, c in enumerate(_ORDER)))
 def _(s, d):
-    """Preferred columns first, absent ones skipped, extras behind them."""
-    return col.ordered(fx.training(s, d).select("IRI", "URA", "Segment_ID", "event_date", "slot_idx"), ["Segment_ID", "event_date", "no_such_column", "URA"])
+    """Preferred columns first, absent ones skipped, extras behind them: each column's place and its values."""
+    x = col.ordered(fx.training(s, d).select("IRI", "URA", "Segment_ID", "event_date", "slot_idx"), ["Segment_ID", "event_date", "no_such_column", "URA"])
+    return x.select(F.array(*(F.struct(F.lit(i).cast("long").alias("position"), F.lit(c).alias("column_name"), F.col(c).isNotNull().cast("long").alias("has")) for i, c in enumerate(x.columns))).alias("a")).select(
+        F.inline("a")).groupBy("position", "column_name").agg(F.sum("has").alias("rows"))
 
 
 # Reshaping ----------------------------------------------------------------------------------------------------------
@@ -192,6 +197,13 @@ def _(s, d):
     return reshape.first_measurements(x, ["user_id"]).groupBy("user_id", "event_type").agg(F.min("IRI").alias("v"), F.count("*").alias("n"))
 
 
+@query("ddp_01_first_of_each_slot", "SELECT CAST(l_partkey AS BIGINT) AS part, CAST(l_shipdate AS DATE) AS event_date, l_linenumber AS slot_idx, round(l_tax, 6) AS IRI, round(l_quantity, 6) AS URA FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey % 50, CAST(l_shipdate AS DATE), l_linenumber ORDER BY l_tax, l_quantity, l_partkey) = 1".replace("CAST(l_partkey AS BIGINT)", "CAST(l_partkey % 50 AS BIGINT)"))
+def _(s, d):
+    """One measurement per group of parts, day and slot: lines of equal number on a day are repeats."""
+    x = fx.view(s, d, "lineitem").select((F.col("l_partkey") % 50).cast("long").alias("part"), F.to_date("l_shipdate").alias("event_date"), F.lit("PTM").alias("event_type"), F.col("l_linenumber").alias("slot_idx"), F.col("l_tax").alias("IRI"), F.col("l_quantity").alias("URA"))
+    return reshape.first_measurements(x, ["part"]).drop("event_type")
+
+
 @query("ddp_02_first_treatments", f"WITH {RAW} SELECT DISTINCT Segment_ID, event_date, event_type, Tp_pinta, Tp_tyomen FROM raw WHERE event_type = 'TP'")
 def _(s, d):
     x = fx.raw_events(s, d).where("event_type = 'TP'").withColumn("slot_idx", F.lit(1))
@@ -407,6 +419,19 @@ def _(s, d):
     return splits.leaks(splits.with_split(x, splits.stratified_assets(x, "Segment_ID", "ELY"), "Segment_ID"), "Segment_ID")
 
 
+_KINDS = "k AS (SELECT 'year' AS kind, Segment_ID, CASE WHEN year < 1996 THEN 'train' WHEN year = 1996 THEN 'validation' ELSE 'test' END AS split FROM sup WHERE year <= 1998 UNION ALL SELECT 'asset', Segment_ID, split FROM sup JOIN sp USING (Segment_ID))"
+
+
+@query("agg_37_leaks_by_kind_of_split", f"WITH {SUP}, {_SPLIT}, {_KINDS}, a AS (SELECT kind, Segment_ID, count(*) AS n, count(DISTINCT split) AS splits FROM k GROUP BY ALL) SELECT kind, count(*) AS assets, count(*) FILTER (splits > 1) AS leaking_assets, sum(n)::BIGINT AS rows FROM a GROUP BY kind")
+def _(s, d):
+    """Assets that a split by year shares among its parts, beside the split by assets, which shares none."""
+    x = fx.training(s, d).select("Segment_ID", "ELY", "year")
+    by_asset = splits.with_split(x, splits.stratified_assets(x, "Segment_ID", "ELY"), "Segment_ID").select(F.lit("asset").alias("kind"), "Segment_ID", "split")
+    both = splits.by_year(x, "year", 1996, 1996, (1997, 1998)).select(F.lit("year").alias("kind"), "Segment_ID", "split").unionByName(by_asset)
+    per = both.groupBy("kind", "Segment_ID").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"))
+    return per.groupBy("kind").agg(F.count("*").alias("assets"), F.count_if(F.col("splits") > 1).alias("leaking_assets"), F.sum("n").alias("rows"))
+
+
 @query("agg_38_spl_02_date_cutoff", "WITH o AS (SELECT DISTINCT o_orderdate AS x FROM orders), k AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM o), c AS (SELECT x FROM k WHERE i = least(greatest(floor(n * CAST(0.8 AS DOUBLE)), 1), n - 1)) SELECT CASE WHEN o_orderdate < x THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(o_orderdate) AS first_date FROM orders, c GROUP BY 1")
 def _(s, d):
     x = fx.view(s, d, "orders")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wearline import fixtures as fx
 from wearline.functions import columns as col
-from wearline.operators import audit, metrics, reshape, splits, temporal
+from wearline.operators import audit, history, metrics, reshape, splits, temporal
 from wearline.operators.metrics import metrics_by_sets
 from wearline.operators.supervised import supervised
 from wearline.plans import estimators, models
@@ -307,6 +307,26 @@ def _(s, d):
     return s.table(name).groupBy("Segment_ID").agg(F.count("*").alias("n"), F.max("Event_Idx").alias("last"))
 
 
+def _bucketed_events(s: SparkSession, d: str) -> DataFrame:
+    name = tables.work_dir(s, "events").rsplit("/", 1)[1].replace("-", "_")
+    tables.save_bucketed(fx.events(s, d), name, buckets=8)
+    return s.table(name)
+
+
+@query("snk_02_history_from_buckets", f"WITH {HIST} SELECT Segment_ID, slot_idx, event_type, event_date, Event_Idx, cycle_num, Measurement_Idx, {r('URA', 'Pavement_Age_years')} FROM hist")
+def _(s, d):
+    """The whole history chain over a bucketed table of events: no exchange at all."""
+    found = history.event_history(_bucketed_events(s, d), fx.TREATED_DROP, fx.UNTREATED_DROP)
+    return found.select("Segment_ID", "slot_idx", "event_type", "event_date", "Event_Idx", "cycle_num", "Measurement_Idx", "URA", "Pavement_Age_years")
+
+
+@query("snk_02_joi_11_asset_from_bucket", f"WITH {HIST} SELECT Segment_ID, Event_Idx, event_type, event_date, cycle_num FROM hist WHERE Segment_ID = '7'")
+def _(s, d):
+    """One asset's history, read from its bucket alone."""
+    own = _bucketed_events(s, d).where("Segment_ID = '7'")
+    return history.event_history(own, fx.TREATED_DROP, fx.UNTREATED_DROP).select("Segment_ID", "Event_Idx", "event_type", "event_date", "cycle_num")
+
+
 @query("src_04_snk_03_result_tables", f"{_RES} SELECT ELY, Toim_lk, round(rmse, 4) AS rmse, n, 'first' AS source FROM res UNION ALL SELECT ELY, Toim_lk, round(rmse, 4), n, 'second' FROM res WHERE n > 5")
 def _(s, d):
     """Result tables written as CSV and read again, tagged by their file; one that is missing is skipped."""

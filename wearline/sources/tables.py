@@ -85,8 +85,9 @@ def write_by_asset(df: DataFrame, path: str, asset: str = "Segment_ID", buckets:
 
 
 def save_bucketed(df: DataFrame, table: str, asset: str = "Segment_ID", buckets: int = 512) -> None:
-    """A table whose later windows and joins by asset need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, asset).sortBy(asset, "event_date").saveAsTable(table)
+    """A table whose later windows and joins by asset need no shuffle; its files lie in the shared folder."""
+    path = work_dir(df.sparkSession, table)
+    df.repartition(buckets, asset).write.mode("overwrite").option("path", path).bucketBy(buckets, asset).sortBy(asset, "event_date").saveAsTable(table)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
