@@ -48,6 +48,15 @@ def test_ridge_is_the_closed_form(spark):
             assert fitted.model.stages[-1].coefficients.toArray() == pytest.approx(want, abs=1e-6)
 
 
+def test_scaling_divides_by_the_population_deviation(spark):
+    x = np.random.default_rng(4).normal(3, 5, (20, 1))
+    df = spark.createDataFrame([(float(a), float(a) * 2) for (a,) in x], "URA double, y double")
+    fitted = models.fit(df, ["URA"], "y", Ridge(7.0))
+    z = (x - x.mean()) / x.std()
+    want = np.linalg.solve(z.T @ z + 7.0, z.T @ (2 * x - 2 * x.mean()))
+    assert fitted.model.stages[-1].coefficients.toArray() == pytest.approx(want.ravel(), abs=1e-8)
+
+
 def test_stated_grids():
     assert (len(models.BOOSTED_GRID), len(models.FOREST_GRID), len(set(models.FOCUSED_GRID))) == (6, 3, 20)
     assert all(not set(v) & set(models.FORBIDDEN) for v in models.FEATURE_MIXTURES.values())

@@ -83,6 +83,13 @@ def _(s, d):
     return s.createDataFrame(list(models.medians(train, _NUMERIC).items()), "feature string, median double")
 
 
+@query("ml_03_scaling", f"{_FULL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(coalesce({c}, m)), 6) AS mean, round(stddev_pop(coalesce({c}, m)), 6) AS deviation FROM lp, (SELECT quantile_cont({c}, 0.5) AS m FROM lp WHERE split = 'train') WHERE split = 'train'" for c in _NUMERIC))
+def _(s, d):
+    """Means and deviations by which numeric features are scaled, after the fills, from the training rows alone."""
+    train, _, _ = _split(s, d)
+    return models.scaling(train, _NUMERIC)
+
+
 _NAMED = ("Toim_lk", "ELY", "surface_type_current", "material_type_current")
 
 
@@ -218,6 +225,24 @@ def _(s, d):
     return rows.groupBy("model", "target", "feature_mixture").pivot("band", [f"h{h}y" for h in (1, 2, 3, 4)]).agg(F.first("rmse").alias("rmse"), F.first("persistence_rmse").alias("persistence_rmse"), F.first("evaluation_rows").alias("rows"))
 
 
+_PREDICTORS = {"persistence": "{c}", "previous": "prev_{c}"}
+
+
+@query("rsh_05_union_of_results", f"WITH {SUP} " + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, 'target_next_{c}' AS target, count(*) AS rows, {rx(mae=f'avg(abs(target_next_{c} - {p.format(c=c)}))', rmse=f'sqrt(avg((target_next_{c} - {p.format(c=c)}) ** 2))')}{note} FROM sup WHERE {p.format(c=c)} IS NOT NULL"
+    for m, p in _PREDICTORS.items() for c, note in (("URA", ", NULL AS note"), ("IRI", ", 'second target' AS note"))))
+def _(s, d):
+    """Result frames of both targets united by name; a column that one of them lacks is null there."""
+    x = stored(fx.training(s, d).select("URA", "IRI", "prev_URA", "prev_IRI", "target_next_URA", "target_next_IRI"))
+    frames = []
+    for c in ("URA", "IRI"):
+        long = metrics.unpivot_predictors(x, [], {m: (f"target_next_{c}", f"target_next_{c}", p.format(c=c)) for m, p in _PREDICTORS.items()})
+        facts = {n: v for n, v in metrics.metric_columns(F.col("actual"), F.col("prediction")).items() if n != "r2"}
+        found = long.groupBy("model", "target").agg(*(v.alias(n) for n, v in facts.items()))
+        frames.append(found if c == "URA" else found.withColumn("note", F.lit("second target")).select("note", *found.columns))
+    return frames[0].unionByName(frames[1], allowMissingColumns=True)
+
+
 _MIXES = {"coarse": (0.0, 0.5, 1.0), "focused": (0.6, 0.7, 0.8, 0.9), "repeat": (0.5, 0.7)}
 _STAGES = f"""WITH {SUP}, c AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', CAST({w} AS DOUBLE))" for i, (n, ws) in enumerate(_MIXES.items()) for w in ws)}) t(stage_no, stage, share)),
 g AS (SELECT stage_no, stage, share, count(*) AS rows, round(sqrt(avg((target_next_URA - share * URA - (1 - share) * prev_URA) ** 2)), 6) AS rmse FROM sup, c WHERE prev_URA IS NOT NULL GROUP BY ALL)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -10,8 +11,9 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -170,7 +172,12 @@ def fit_encoded(rows: DataFrame, code: Encoding, features: Sequence[str], target
     numbers = "numbers"
     stages = [VectorAssembler(inputCols=[f"x_{c}" for c in numeric], outputCol=numbers)]
     if estimator.scaled if scale is None else scale:
-        stages.append(StandardScaler(inputCol=numbers, outputCol="scaled", withMean=True))
+        n = x.count()
+        stages += [
+            StandardScaler(inputCol=numbers, outputCol="by_sample", withMean=True),
+            # Spark divides by the sample's deviation; the population's is wanted
+            ElementwiseProduct(inputCol="by_sample", outputCol="scaled", scalingVec=Vectors.dense([math.sqrt(n / (n - 1)) if n > 1 else 1.0] * len(numeric))),
+        ]
         numbers = "scaled"
     stages.append(VectorAssembler(inputCols=[numbers, *(f"o_{c}" for c in categories)], outputCol="features"))
     vectors = Pipeline(stages=stages).fit(x)
@@ -299,6 +306,15 @@ def response(fitted: Fitted, df: DataFrame, feature: str, grid_values: DataFrame
     return out.groupBy("grid_value").agg(F.avg("prediction").alias("mean_raw"), F.avg("level").alias("mean_level"), F.avg("change").alias("mean_change"), F.count("*").alias("rows")).join(ends, "grid_value")
 
 
+def scaling(train: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Per numeric feature the mean and the population's deviation after the fills, over the training rows."""
+    known = fills(train, features)
+    numeric = [f for f in features if known.get(f) is not None]
+    x = prepared(train, numeric, [], {f: known[f] for f in numeric})
+    facts = [F.struct(F.lit(c).alias("feature"), F.avg(f"x_{c}").alias("mean"), F.stddev_pop(f"x_{c}").alias("deviation")) for c in numeric]
+    return x.agg(F.array(*facts).alias("a")).select(F.inline("a"))
+
+
 def encoded_row(fitted: Fitted, df: DataFrame) -> DataFrame:
     """One row's encoded vector by feature."""
     names = feature_names(fitted, df)
