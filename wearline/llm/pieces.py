@@ -17,7 +17,8 @@ Characters without a piece become byte pieces.  Encoding is narrow: no shuffle.
 (a bounded vocabulary) is read on the driver and broadcast.
 
 Defined cases: a null text has null ids and null counts, an empty one no ids; ``decode`` of null is
-null; U+2581 in a text is a space, as in the public library, so it comes back as one; texts of any
+null; repeated rows are encoded each for itself, of equal scores the leftmost pair is joined, an empty
+table gives an empty result, a column of a new one's name is replaced; U+2581 in a text is a space, as in the public library, so it comes back as one; texts of any
 length are encoded whole.  Only models without normalisation, with a dummy prefix and byte
 fallback, are taken; others raise.
 """
