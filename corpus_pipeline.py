@@ -4,6 +4,11 @@ Stages take (spark, docs, sf_dir) and return a DataFrame; ``run`` writes each re
 the session's shared checkpoint folder and reads it again as the next stage's input.  All but the
 last return the columns of ``documents``; the rows of the last one in the order of (slot,
 offset_in_block) are the mix.
+
+Defined cases: a null or empty text fails the quality rules, so its row goes; a null id is a
+document of its own that links with nothing; of repeated rows one stays; ties of length or weight go by id; a null source is a source; an empty
+table runs through all stages and gives no rows; texts are read whole; further columns of
+``documents`` are carried on by the stages that keep its columns.
 """
 
 from __future__ import annotations
