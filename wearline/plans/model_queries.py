@@ -21,6 +21,8 @@ from wearline.sources.tables import stored
 
 FULL = models.FEATURE_MIXTURES["current_static_lag_lifecycle_material"]
 CURRENT = models.FEATURE_MIXTURES["current"]
+#: Targets with the columns of their current level.
+TARGETS = {"target_next_URA": "URA", "target_next_IRI": "IRI"}
 #: Grids grow forests of a tenth of the stated trees, at full depth; ``ml_10``, ``ml_18`` and all boosted models have the stated size.
 FOREST_SHARE = 10
 
@@ -140,8 +142,7 @@ def _(s, d):
     """Linear models of all mixtures, both targets, direct and as differences, with persistence beside them."""
     train, valid, _ = _split(s, d)
     linear = {k: v for k, v in models.estimators().items() if k in ("linear", "ridge")}
-    grids = [models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", linear, ("direct", "delta"), c) for c in ("URA", "IRI")]
-    return grids[0].unionByName(grids[1])
+    return models.grids(train, valid, models.FEATURE_MIXTURES, TARGETS, linear, ("direct", "delta"))
 
 
 @query("ml_12_tree_grid")
@@ -149,8 +150,7 @@ def _(s, d):
     """Forests and boosted trees of all mixtures and both targets."""
     train, valid, _ = _split(s, d)
     trees = _small({k: v for k, v in models.estimators().items() if k in ("random_forest", "boosted_trees")})
-    grids = [models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", trees, ("direct",), c) for c in ("URA", "IRI")]
-    return grids[0].unionByName(grids[1])
+    return models.grids(train, valid, models.FEATURE_MIXTURES, TARGETS, trees)
 
 
 def _tuning(train: DataFrame, valid: DataFrame) -> dict[str, DataFrame]:
@@ -219,8 +219,7 @@ def _(s, d):
             {"target_next_URA": F.col(f"target_URA_{h}y"), "target_next_IRI": F.col(f"target_IRI_{h}y"), "target_horizon_years": F.col(f"actual_horizon_years_{h}y")}
         )
         train, valid = (own.where(F.col("split") == n) for n in ("train", "validation"))
-        for c in ("URA", "IRI"):
-            found.append(models.grid(train, valid, models.FEATURE_MIXTURES, f"target_next_{c}", tried, ("direct",), c).withColumn("band", F.lit(f"h{h}y")))
+        found.append(models.grids(train, valid, models.FEATURE_MIXTURES, TARGETS, tried).withColumn("band", F.lit(f"h{h}y")))
     rows = reduce(DataFrame.unionByName, found)
     return rows.groupBy("model", "target", "feature_mixture").pivot("band", [f"h{h}y" for h in (1, 2, 3, 4)]).agg(F.first("rmse").alias("rmse"), F.first("persistence_rmse").alias("persistence_rmse"), F.first("evaluation_rows").alias("rows"))
 

@@ -205,7 +205,12 @@ RESULTS = (
 
 
 def grid(train: DataFrame, valid: DataFrame, mixtures: dict[str, Sequence[str]], target: str, models: dict[str, Estimator], target_types: Sequence[str] = ("direct",), current: str = "URA") -> DataFrame:
-    """A result row per model, mixture and target type, equal parameters once, with the persistence of the same rows beside it.
+    """A result row per model, mixture and target type, equal parameters once, with the persistence of the same rows beside it."""
+    return grids(train, valid, mixtures, {target: current}, models, target_types)
+
+
+def grids(train: DataFrame, valid: DataFrame, mixtures: dict[str, Sequence[str]], targets: dict[str, str], models: dict[str, Estimator], target_types: Sequence[str] = ("direct",)) -> DataFrame:
+    """The grids of several targets, each named with the column of its current level.
 
     The rows are encoded and written once; up to ``AT_ONCE`` fits run at the same time on them.
     """
@@ -216,15 +221,15 @@ def grid(train: DataFrame, valid: DataFrame, mixtures: dict[str, Sequence[str]],
         raise ValueError(f"features can't be used: {bad}")
     code = encoding(train, every)
     own, check = code.written(train), code.written(valid)
-    still = metrics(check, target, current).first()["rmse"]
-    tasks = {(to_json(e), m, k): (name, e) for name, e in reversed(models.items()) for m in mixtures for k in target_types}
+    still = {t: metrics(check, t, current).first()["rmse"] for t, current in targets.items()}
+    tasks = {(t, to_json(e), m, k): (name, e) for name, e in reversed(models.items()) for t in targets for m in mixtures for k in target_types}
 
     def run(task: tuple) -> tuple:
-        (params, mixture, kind), (name, estimator) = task
+        (target, params, mixture, kind), (name, estimator) = task
         began = time.time()
-        fitted = fit_encoded(own, code, mixtures[mixture], target, estimator, current=current, target_type=kind)
+        fitted = fit_encoded(own, code, mixtures[mixture], target, estimator, current=targets[target], target_type=kind)
         took = time.time() - began
-        return (name, target, kind, mixture, "validation", *fitted.encoded_metrics(check).first(), still, took, params)
+        return (name, target, kind, mixture, "validation", *fitted.encoded_metrics(check).first(), still[target], took, params)
 
     with ThreadPool(min(AT_ONCE, max(1, len(tasks)))) as pool:
         rows = pool.map(inheritable_thread_target(spark)(run), list(tasks.items()), chunksize=1)
