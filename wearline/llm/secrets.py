@@ -11,7 +11,7 @@ The forest learns from labelled findings (1 a secret, 0 none); ``max_findings``
 by hash within each label and weighted by how often they occur, bound the fit.  Without given
 findings ``weak_labels`` labels candidates by evidence that is no feature: the secret name a value
 is assigned to (features skip that name), its issuer's format, check digits, or surroundings of an
-address.  The labels are noisy, so no finding is scored by a forest that learnt from its own value:
+address.  What the rules don't tell, such as numbers without a check digit, has no label and is left to the forest.  The labels are noisy, so no finding is scored by a forest that learnt from its own value:
 ``FOLDS`` forests learn from the other folds' values each, and the forest's word is the result.
 Only an issuer's format needs no forest.
 
@@ -123,12 +123,12 @@ def features(found: DataFrame, words: list[str] | tuple[str, ...] = ()) -> tuple
     classed = F.regexp_replace(classed, "[^hlud]", "x")
     covered = F.regexp_replace(low, "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")", "") if words else low
     # Neighbours without the name that labels go by.
-    before, after = F.regexp_replace(F.lower(F.coalesce("before", F.lit(""))), rf"(?:{NAMED}|{NAMES}\\s+[\"']?)$", ""), F.lower(F.coalesce("after", F.lit("")))
+    before, after = F.regexp_replace(F.lower(F.coalesce("before", F.lit(""))), ASSIGNED, ""), F.lower(F.coalesce("after", F.lit("")))
     path = F.coalesce(F.col("path"), F.lit(""))
     flags = {
         "length": F.length(value), "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "coverage": (F.length(low) - F.length(covered)) / F.length(low),
-        "hex": low.rlike("^[0-9a-f]+$"), "digits": low.rlike("^[0-9_+/-]+$"), "vowels": (F.length(low) - F.length(F.translate(low, "aeiou", ""))) / F.length(low),
+        "hex": low.rlike("^[0-9a-f]+$"), "vowels": (F.length(low) - F.length(F.translate(low, "aeiou", ""))) / F.length(low),
         "path_sample": path.rlike(PATH_FLAGS), "path_code": path.rlike(CODE_PATH), "path_depth": F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))),
         "quoted": F.col("before").rlike("[\"']$") & after.rlike("^[\"']"), "in_phrase": before.rlike("[a-z,.] $") & after.rlike("^[,.]? [a-z]"),
         "counted": before.rlike("(?:order|invoice|card|phone|tel|isbn|commit|sha|hash|uuid|id|no\\.?|number)[ :#=\"']*$"),
@@ -146,11 +146,11 @@ def features(found: DataFrame, words: list[str] | tuple[str, ...] = ()) -> tuple
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Adds ``label``: 1 for an issuer's format or a mixed value assigned to a secret name, 0 for check digits, numbers, addresses, else null."""
+    """Adds ``label``: 1 for an issuer's format or a mixed value assigned to a secret name, 0 for card numbers by their check digit and parts of addresses, else null."""
     value, before, after = F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
     named = before.rlike(ASSIGNED) & value.rlike("[0-9]|[^A-Za-z].*[^A-Za-z]|[a-z][A-Z]")
     card = value.rlike("^[0-9]{13,19}$") & _luhn(value)
-    plain = card | value.rlike("^[0-9_+/-]+$") | before.rlike("(?:https?://|www\\.)\\S*$") | after.rlike("^[\\w.]*@") | value.rlike("^[A-Za-z]+[_/-]?[0-9]{1,4}$")
+    plain = card | before.rlike("(?:https?://|www\\.)\\S*$") | after.rlike("^[\\w.]*@")
     return found.withColumn("label", F.when(value.rlike(KNOWN) | named, 1.0).when(plain, 0.0))
 
 
