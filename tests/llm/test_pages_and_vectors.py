@@ -1,5 +1,8 @@
 """Wrappers and vector links against brute force, and their defined cases."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +76,7 @@ def test_extraction_needs_the_alignment(monkeypatch):
         whole = wrappers.Wrapper()
         read = [wrappers.read(plain_page(i)[0]) for i in range(12)]
         for x in read:
-            whole.add(*x)
+            whole.add(x[0])
         whole = wrappers.Wrapper.load(whole.dump())
         return ["\n".join(blocks[j] for j in whole.main_blocks(tree)) for tree, blocks, _ in read]
 
@@ -82,12 +85,53 @@ def test_extraction_needs_the_alignment(monkeypatch):
     assert texts() == [""] * 12
 
 
+def test_copies_count_once_in_any_layout(spark):
+    """Copies over many tasks are one page: the text does not depend on how rows are dealt."""
+    copy, other = ("<body><div>Menu</div><p>Alpha story text</p></body>", "<body><div>Menu</div><p>Beta other words</p></body>")
+    rows = [(i, "http://few.org/x", copy if i < 4 else other) for i in range(5)]
+    rows += [(10 + i, "http://bare.org/x", plain_page(i // 3)[0]) for i in range(36)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [{r["page_id"]: r["text"] for r in wrappers.extract(df.repartition(n)).collect()} for n in (1, 8)]
+    assert found[0] == found[1] and found[0][0] == "Menu\nAlpha story text" and found[0][4] == "Menu\nBeta other words"
+    assert [found[0][10 + i] for i in range(36)] == [plain_page(i // 3)[1] for i in range(36)]
+
+
+def test_alignment_is_the_heaviest(monkeypatch):
+    """Against all alignments of short lists; tables that are split weigh the same, and long lists take seconds."""
+    rng = random.Random(8)
+    item = lambda: rng.choice([("#", 1, 1, 1, ()), ("p.a", []), ("p.b", []), ("div.nav", []), ("div.x", [("p", [])]), ("ul", [("li", [])]), ("+", [("p.a", [])])])
+
+    def weight(x, y):
+        w = wrappers._Weights([x], [y])
+        return int(w.row(0, 0, 1)[0])
+
+    assert [weight(("p.a", []), y) for y in (("p.a", []), ("p.b", []), ("+", [("p.a", [])]), ("div", []), ("p.a", [("b", [])]), ("p.nav", []))] == [4, 1, 4, 0, 2, 0]
+
+    def most(a, b):
+        return max(most(a[1:], b), most(a, b[1:]), most(a[1:], b[1:]) + weight(a[0], b[0])) if a and b else 0
+
+    for _ in range(40):
+        a, b = ([item() for _ in range(rng.randint(0, 6))] for _ in range(2))
+        for cells in (1 << 22, 6):
+            monkeypatch.setattr(wrappers, "TABLE_CELLS", cells)
+            pairs = list(wrappers._pairs(wrappers._Weights(a, b), 0, len(a), 0, len(b)))
+            assert pairs == sorted(pairs) and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
+            assert sum(weight(a[x], b[y]) for x, y in pairs) == most(a, b)
+    monkeypatch.setattr(wrappers, "TABLE_CELLS", 1 << 22)
+    pages = ["<body>" + "".join(f"<{tag} class={rng.choice('abcdef')}>{i}</{tag}>" for i in range(10_000) for tag in [rng.choice(["p", "div", "h2", "section"])]) for _ in range(2)]
+    began = time.time()
+    wrappers.align(*(wrappers._unplaced(wrappers.read(x)[0]) for x in pages))
+    assert time.time() - began < 10
+
+
 def test_long_page_and_odd_markup(spark):
     body = "".join(f"<p>Part {i} <b>bold &lt;tag&gt;</b></p>" for i in range(20_000))
     rows = [(1, "http://x.org", f"<main>{body}"), (2, "http://x.org", "<main><p>un<i>closed</p></div></span><p>next<table><tr><td>cell</table>"), (2, None, "<<<>>> & text"), (None, "http://x.org", "<main><p>x")]
+    rows += [(3 + i, "http://deep.org", f"<nav>menu</nav>{'<div>' * 5_000}deep {i}{'</div>' * 4_000}<p>more</p>") for i in range(2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "wrapper": F.lit("w"), "share": F.lit(2)})
     found = {(r["page_id"], r["url"]): r["text"] for r in wrappers.extract(df).collect()}
     assert found[1, "http://x.org"].count("\n") == 19_999 and found[2, "http://x.org"] == "unclosed\nnext\ncell" and found[None, "http://x.org"] == "x" and "text" in found[2, None]
+    assert [found[3 + i, "http://deep.org"] for i in range(2)] == [f"deep {i}\nmore" for i in range(2)]
 
 
 @pytest.fixture(scope="module")

@@ -21,7 +21,7 @@ one; constants there stay.  Text outside of every slot is none.
 
 Defined cases: null and empty pages give the empty text; a null or odd URL counts as one host; a
 page cut off in the middle is closed at its end; unknown, unclosed and wrongly nested tags are
-taken as browsers mostly do; equal pages count once for the wrapper and give a row each; only the
+taken as browsers mostly do; elements nested deeper than ``DEPTH`` are read as neighbours; equal pages count once for the wrapper and give a row each; only the
 three named columns are read, so others may have any names; an empty table gives an empty result;
 pages are read whole.
 """
@@ -34,8 +34,9 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearline.llm.session import cut
@@ -64,6 +65,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-zA-Z][a-z]+|[A-Z]{2,}|[a-zA-Z]+")
+#: Open elements, from which on further ones stand beside each other, as browsers have it too.
+DEPTH = 100
 #: Wrappers of more bytes in total are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -180,7 +183,7 @@ def read(page: str) -> tuple[list, list[str], str]:
             continue
         flush()
         label, children = _label(tag, m[4] or m[7] or ""), []
-        stack[-1][1].append((label, children))
+        stack[min(len(stack) - 1, DEPTH)][1].append((label, children))
         shape.append(f"({label}")
         stack.append((tag, children))
     put(page[at:])
@@ -234,20 +237,6 @@ def fold(items: list) -> list:
     return items
 
 
-def _weight(a, b, ka: str, kb: str) -> float:
-    """How well two items match; 0 if they can't."""
-    if ka == kb:
-        return 4.0
-    x, y = (x[1][0] if x[0] in ("+", "?") and len(x[1]) == 1 else x for x in (a, b))
-    if x[0] in ("+", "?") or y[0] in ("+", "?") or x[0] == "#" or y[0] == "#":
-        return 0.0
-    if x[0] == y[0]:
-        return 2.0
-    # Class names made up for each page: equal tags with equal children may match by what their labels share.
-    same = x[0].split(".")[0] == y[0].split(".")[0] and _outside(x[0]) == _outside(y[0])
-    return 1.0 if same and ka[ka.find("(") :] == kb[kb.find("(") :] else 0.0
-
-
 def align(a: list, b: list) -> list:
     """One expression for both: matched items merged, others optional or repeats of their neighbours."""
     ka, kb = [_kind(x) for x in a], [_kind(x) for x in b]
@@ -264,28 +253,76 @@ def align(a: list, b: list) -> list:
     return _absorb([*front, *_between(fold(a[head : len(a) - tail]), fold(b[head : len(b) - tail])), *back])
 
 
+class _Weights:
+    """How well the items of two lists match: 4 for equal kinds, 2 for equal labels, 1 for equal tags with equal children
+    (class names may be made up for each page, what they say of main text may not differ), else 0."""
+
+    def __init__(self, a: list, b: list) -> None:
+        numbers: dict = {}
+        marks = [[self._marks(x) for x in items] for items in (a, b)]
+        # Marks that a side does not have get numbers of its own, so they equal nothing.
+        table = [[[numbers.setdefault((j, m), len(numbers)) if m is not None else -1 - side for j, m in enumerate(own)] for own in items] for side, items in enumerate(marks)]
+        self.a, self.b = (np.array(x, np.int64).reshape(-1, 3).T for x in table)
+
+    @staticmethod
+    def _marks(item) -> tuple:
+        kind = _kind(item)
+        x = item[1][0] if item[0] in ("+", "?") and len(item[1]) == 1 else item
+        if x[0] in ("+", "?", "#"):
+            return kind, None, None
+        return kind, x[0], (x[0].split(".")[0], _outside(x[0]), kind[kind.find("(") :])
+
+    def row(self, i: int, low: int, high: int) -> np.ndarray:
+        """Item i of the first list against items low to high of the second."""
+        kind, label, rough = (self.b[j, low:high] == self.a[j, i] for j in range(3))
+        return np.where(kind, 4, np.where(label, 2, rough)).astype(np.int32)
+
+
+#: Cells of an alignment table that are kept at once; longer lists are split where the heaviest alignment crosses the middle.
+TABLE_CELLS = 1 << 22
+
+
+def _pairs(w: _Weights, a0: int, a1: int, b0: int, b1: int) -> Iterator[tuple[int, int]]:
+    """The matched places of the heaviest alignment of items a0 to a1 and b0 to b1, in order."""
+    n, m = a1 - a0, b1 - b0
+    if not n or not m:
+        return
+    if n == 1 or (n + 1) * (m + 1) <= TABLE_CELLS:
+        best = np.zeros((n + 1, m + 1), np.int32)
+        for i in range(n - 1, -1, -1):
+            # The running maximum from the right stands for leaving out items of the second list.
+            best[i, :m] = np.maximum.accumulate(np.maximum(best[i + 1, :m], best[i + 1, 1:] + w.row(a0 + i, b0, b1))[::-1])[::-1]
+        i = j = 0
+        while i < n and j < m:
+            match = int(w.row(a0 + i, b0 + j, b0 + j + 1)[0])
+            if match and best[i, j] == best[i + 1, j + 1] + match:
+                yield a0 + i, b0 + j
+                i, j = i + 1, j + 1
+            elif best[i, j] == best[i + 1, j]:
+                i += 1
+            else:
+                j += 1
+        return
+    middle = (a0 + a1) // 2
+    ahead, behind = np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int32)
+    for i in range(a1 - 1, middle - 1, -1):
+        ahead[:m] = np.maximum.accumulate(np.maximum(ahead[:m], ahead[1:] + w.row(i, b0, b1))[::-1])[::-1]
+    for i in range(a0, middle):
+        behind[1:] = np.maximum.accumulate(np.maximum(behind[1:], behind[:-1] + w.row(i, b0, b1)))
+    at = b0 + int(np.argmax(ahead + behind))
+    yield from _pairs(w, a0, middle, b0, at)
+    yield from _pairs(w, middle, a1, at, b1)
+
+
 def _between(a: list, b: list) -> list:
-    """The heaviest alignment of two lists in order."""
-    if not a or not b:
-        return [_optional(x) for x in a or b]
-    ka, kb = [_kind(x) for x in a], [_kind(x) for x in b]
-    weight = [[_weight(x, y, i, j) for y, j in zip(b, kb, strict=True)] for x, i in zip(a, ka, strict=True)]
-    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + weight[i][j] if weight[i][j] else 0.0)
+    """The heaviest alignment of two lists in order; a table's rows are made at once, and memory is bounded by ``TABLE_CELLS``."""
     out: list = []
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and weight[i][j] and best[i][j] == best[i + 1][j + 1] + weight[i][j]:
-            out.append(_merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i][j] == best[i + 1][j]):
-            out.append(_optional(a[i]))
-            i += 1
-        else:
-            out.append(_optional(b[j]))
-            j += 1
+    for x, y in (*_pairs(_Weights(a, b), 0, len(a), 0, len(b)), (len(a), len(b))):
+        out += [_optional(item) for item in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_merge(a[x], b[y]))
+        i, j = x + 1, y + 1
     return out
 
 
@@ -327,8 +364,13 @@ def _unplaced(items: list) -> list:
     return [(*x[:4], ()) if x[0] == "#" else (x[0], _unplaced(x[1])) for x in items]
 
 
+def _shape(items: list) -> str:
+    """A tree without its texts."""
+    return "".join("#" if x[0] == "#" else f"({x[0]}{_shape(x[1])})" for x in items)
+
+
 class Wrapper:
-    """A host's expression and the number of its distinct pages.
+    """A host's expression and the number of its pages, of which each is given once.
 
     Trees of one shape are laid over each other first; ``SHAPES`` of them at most wait to be aligned.
     """
@@ -336,16 +378,11 @@ class Wrapper:
     SHAPES = 200
 
     def __init__(self, pages: int = 0, items: list | None = None) -> None:
-        self.pages, self.items, self.seen, self.waiting = pages, items, set(), {}
+        self.pages, self.items, self.waiting = pages, items, {}
 
-    def add(self, tree: list, blocks: list, shape: str) -> None:
-        mark = hash((shape, tuple(blocks)))
-        if mark in self.seen:
-            return
-        if len(self.seen) < 10_000:
-            self.seen.add(mark)
+    def add(self, tree: list) -> None:
         self.pages += 1
-        tree = _unplaced(tree)
+        tree, shape = _unplaced(tree), _shape(tree)
         self.waiting[shape] = overlay(self.waiting[shape], tree) if shape in self.waiting else tree
         if len(self.waiting) >= self.SHAPES:
             self.settle()
@@ -402,9 +439,9 @@ def _tuples(x: list) -> list:
     return [("#", *y[1:4], ()) if y[0] == "#" else (y[0], _tuples(y[1])) for y in x]
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url or "")
-    return m[1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case; the empty text without one."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
 def _merged(df: DataFrame, by: list[str]) -> DataFrame:
@@ -422,6 +459,11 @@ def _merged(df: DataFrame, by: list[str]) -> DataFrame:
 def infer(df: DataFrame, url: str = "url", page: str = "html", *, shares: int = 64) -> DataFrame:
     """(host, wrapper as JSON) for each host of ``df``."""
 
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [json.dumps(_unplaced(read(x)[0]), separators=(",", ":")) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "tree"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -437,15 +479,15 @@ def infer(df: DataFrame, url: str = "url", page: str = "html", *, shares: int =
             return made
 
         for batch in batches:
-            for at in range(len(batch)):
-                text = batch.column(1)[at].as_py()
-                if text:
-                    hosts.setdefault(host_of(batch.column(0)[at].as_py()), Wrapper()).add(*read(text))
+            for host, tree in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hosts.setdefault(host, Wrapper()).add(_tuples(json.loads(tree)))
                 if len(hosts) > 2000:
                     yield out()
         yield out()
 
-    local = df.select(df[url], df[page]).mapInArrow(run, "host string, share int, wrapper string")
+    # Pages of one tree, texts' hashes included, are one page wherever they lie; copies meet as one row a task at most.
+    distinct = df.select(host_of(df[url]).alias("host"), df[page].alias("page")).where("page <> ''").mapInArrow(trees, "host string, tree string").distinct()
+    local = distinct.mapInArrow(run, "host string, share int, wrapper string")
     return _merged(_merged(local, ["host", "share"]).select("host", "wrapper"), ["host"])
 
 
@@ -464,7 +506,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     """(key, url, text, n_chars, n_blocks) for every row of ``df``."""
     found = cut(infer(df, url, page))
     size = found.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    slim = df.select(df[key], df[url], df[page])
+    slim = df.select(df[key].alias("key"), df[url].alias("url"), df[page].alias("page"), host_of(df[url]).alias("host"))
     kind = slim.schema[0].dataType.simpleString()
     small = size <= BROADCAST_BYTES
     if small:
@@ -473,8 +515,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
         source = slim.withColumn("wrapper", F.lit(None).cast("string"))
     else:
         sent = None
-        host = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.col(url), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")), F.lit("")))
-        source = slim.join(found.withColumnRenamed("host", "_host"), host == F.col("_host"), "left").select(key, url, page, "wrapper")
+        source = slim.join(found, "host", "left").select("key", "url", "page", "host", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
@@ -484,11 +525,11 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
                 text = batch.column(2)[at].as_py()
                 chosen: list[str] = []
                 if text:
-                    host = host_of(batch.column(1)[at].as_py())
+                    host = batch.column(3)[at].as_py()
                     if host not in known:
                         if len(known) > 500:
                             known.clear()
-                        known[host] = Wrapper.load(sent.value[host] if sent else batch.column(3)[at].as_py())
+                        known[host] = Wrapper.load(sent.value[host] if sent else batch.column(4)[at].as_py())
                     tree, blocks, _ = read(text)
                     chosen = [blocks[i] for i in known[host].main_blocks(tree)]
                 texts.append("\n".join(chosen))
