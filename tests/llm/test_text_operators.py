@@ -92,6 +92,16 @@ def test_near_groups_with_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (1, 1), (5, 1), (5, 1), (9, 1), (9, 1), (12, 12)]
 
 
+def test_links_among_documents_whose_pivot_links_with_none(spark):
+    texts = {}
+    for g in range(20):
+        w = [f"g{g}w{i}" for i in range(60)]
+        texts |= {3 * g + 1: " ".join(w[:54]), 3 * g + 2: " ".join(w[:40]), 3 * g + 3: " ".join([*w[:40], "last"])}
+    found = near.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups(texts)
+    assert {r["component_id"] for r in found} == {i for i in texts if i % 3}
+
+
 def test_keep_one_keeps_columns_and_null_keys(docs, spark):
     both = docs.unionByName(spark.createDataFrame([(None, "x y z", None, None, None)], SCHEMA), allowMissingColumns=True)
     kept = near.keep_one(both)

@@ -330,8 +330,9 @@ def near_groups(
     short = cut(mixed.where(F.col("entries") <= CHUNK).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("component", "doc"))).alias("x")).select("x").distinct())
     bitmaps = reps.select(F.col("doc_id").alias("doc"), "n", "bits")
     entry = F.struct("doc", "component", "n", "bits")
+    # Lists are numbered before they are exploded: in one select the number would be each element's own.
     once = (
-        short.select(F.monotonically_increasing_id().alias("list"), F.explode("x").alias("e")).select("list", "e.*").join(bitmaps, "doc")
+        short.withColumn("list", F.monotonically_increasing_id()).select("list", F.explode("x").alias("e")).select("list", "e.*").join(bitmaps, "doc")
         .groupBy("list").agg(F.collect_list(entry).alias("x"))
     )
     chunk = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("component", "doc")) - 1) / CHUNK)
