@@ -47,6 +47,13 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
 
 
+def test_column_order_returns_the_rows(spark, duck):
+    """All rows of the training table in the preferred order of columns, not counts of them."""
+    found = CATALOG["prj_15_column_order"][0](spark, DATA)
+    assert found.columns == ["Segment_ID", "event_date", "URA", "IRI", "slot_idx"]
+    assert found.count() == CATALOG["win_09_10_flt_06_supervised"][0](spark, DATA).count() > 1000
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
