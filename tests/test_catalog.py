@@ -54,6 +54,12 @@ def test_column_order_returns_the_rows(spark, duck):
     assert found.count() == CATALOG["win_09_10_flt_06_supervised"][0](spark, DATA).count() > 1000
 
 
+def test_chain_is_read_once(spark):
+    """Both errors of the gain, and all bands, come from one pass over the history chain."""
+    gain, bands = (CATALOG[n][0](spark, DATA)._jdf.queryExecution().executedPlan().toString() for n in ("joi_09_agg_11_gain", "flt_08_horizon_bands"))
+    assert "Window" not in gain and "Union" not in bands and "Window" in bands
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
