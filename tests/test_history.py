@@ -137,6 +137,20 @@ def test_history_from_buckets_has_no_exchange(spark):
     assert "SelectedBucketsCount: 1 out of 8" in one and "Exchange" not in one
 
 
+def test_tasks_of_the_chain_grow_with_the_lines(spark, monkeypatch):
+    """A task's sorts hold about TASK_ROWS lines at any size, so the number of tasks follows the input and not the cores."""
+    from wearline import fixtures as fx
+    from wearline.plans.model_queries import _bucketed_events
+
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fx, "TASK_ROWS", 500)
+    wanted = -(-fx.view(spark, data, "lineitem").count() // 500)
+    assert wanted > 8
+    found = fx.training(spark, data).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(found) == wanted and max(r["count"] for r in found) <= 1000
+    assert history.event_history(_bucketed_events(spark, data)).rdd.getNumPartitions() == wanted
+
+
 def test_column_order():
     from wearline.functions.columns import ordered
 
