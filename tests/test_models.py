@@ -187,3 +187,19 @@ def test_parts_are_one_forest(spark, monkeypatch):
     assert sum(model.featureImportances) == pytest.approx(1)
     each = [[r["p"] for r in t.transform(x).orderBy("a").select(F.col("prediction").alias("p")).collect()] for p in model.parts for t in p.trees]
     assert [r["prediction"] for r in model.transform(x).orderBy("a").collect()] == pytest.approx(np.mean(each, axis=0))
+
+
+def test_linear_grid_reads_the_rows_once_and_equals_single_fits(table, monkeypatch):
+    mixtures = {"all": ["URA", "IRI", "target_horizon_years", "Toim_lk"], "few": ["IRI", "target_horizon_years"]}
+    tried = {"line": Linear(), "ridge": Ridge(3.0)}
+    single = {(m, k, t): models.evaluated(models.fit(table, mixtures[m], "target_next_URA", e, target_type=t), table).first() for m in mixtures for k, e in tried.items() for t in ("direct", "delta")}
+
+    def refused(*_, **__):
+        raise AssertionError("a pass over the rows for one fit")
+
+    monkeypatch.setattr(models, "fit_encoded", refused)
+    found = models.grid(table, table, mixtures, "target_next_URA", tried, ("direct", "delta")).collect()
+    assert len(found) == len(single) == 8
+    for r in found:
+        want = single[r["feature_mixture"], r["model"], r["target_type"]]
+        assert r["evaluation_rows"] == want["rows"] and [r["mae"], r["rmse"], r["r2"]] == pytest.approx([want["mae"], want["rmse"], want["r2"]], abs=1e-5)
