@@ -203,3 +203,40 @@ def test_linear_grid_reads_the_rows_once_and_equals_single_fits(table, monkeypat
     for r in found:
         want = single[r["feature_mixture"], r["model"], r["target_type"]]
         assert r["evaluation_rows"] == want["rows"] and [r["mae"], r["rmse"], r["r2"]] == pytest.approx([want["mae"], want["rmse"], want["r2"]], abs=1e-5)
+
+
+def test_forest_on_many_rows_is_dealt_by_node(spark, monkeypatch):
+    x = step_table(spark)
+    want = models.metrics(Forest(20, "all", 5).train(x).transform(x), "label", "prediction").first()
+    monkeypatch.setattr(estimators.forest, "FEW_ROWS", 100)
+    monkeypatch.setattr(estimators.forest, "PART_ROWS", 100)
+    monkeypatch.setattr(estimators.forest, "PASS_NODES", 7)
+    model = Forest(20, "all", 5).train(x)
+    got = models.metrics(model.transform(x), "label", "prediction").first()
+    assert got["rows"] == 600 and model.getNumTrees == 20 and got["rmse"] == pytest.approx(want["rmse"], rel=0.15)
+    parts = model.parts.collect()
+    assert len(parts) > 60 and all(len(r["value"]) == len(r["feature"]) for r in parts)  # more than three below each top
+    assert sum(model.featureImportances) == pytest.approx(1) and model.featureImportances[0] > model.featureImportances[1]
+
+
+def test_weights_of_a_dealt_forest_name_every_feature(table, monkeypatch):
+    monkeypatch.setattr(estimators.forest, "FEW_ROWS", 100)
+    fitted = models.fit(table, ["URA", "IRI", "target_horizon_years", "Toim_lk"], "target_next_URA", Forest(3, "all", 5))
+    found = models.weights(fitted, table).collect()
+    assert len({r["feature"] for r in found}) == len(found) == 6 and sum(r["weight"] for r in found) == pytest.approx(1)
+
+
+def test_one_tree_is_the_best_split_of_its_rows():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 6, (300, 2)).astype(np.uint8), rng.normal(size=300)
+    w, sizes = rng.integers(1, 4, 300).astype(float), np.array([6, 6])
+    feature, cut, left, value, gains = estimators.forest.grown(x, y, w, sizes, 1, 10, 2, rng)
+
+    def error(f, c):
+        sides = [x[:, f] <= c, x[:, f] > c]
+        return sum((w[s] * (y[s] - np.average(y[s], weights=w[s])) ** 2).sum() for s in sides)
+
+    assert (feature[0], cut[0]) == min(((f, c) for f in range(2) for c in range(5)), key=lambda k: error(*k))
+    assert gains.sum() == pytest.approx((w * (y - np.average(y, weights=w)) ** 2).sum() - error(feature[0], cut[0]))
+    leaf = estimators.forest.walk(x, feature, cut, left)
+    assert set(leaf) == {1, 2} and value[1] == pytest.approx(np.average(y[leaf == 1], weights=w[leaf == 1]))
