@@ -151,6 +151,20 @@ def test_tasks_of_the_chain_grow_with_the_lines(spark, monkeypatch):
     assert history.event_history(_bucketed_events(spark, data)).rdd.getNumPartitions() == wanted
 
 
+def test_tasks_of_the_split_grow_with_the_lines(spark, monkeypatch):
+    """The join of the wide training rows with their assets' splits has as many tasks as the chain, each with about as many rows."""
+    from wearline import fixtures as fx
+    from wearline.plans.model_queries import _split
+
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fx, "TASK_ROWS", 200)
+    train, valid, test = _split(spark, data)
+    table = train.unionByName(valid).unionByName(test)
+    assert table.count() == fx.training(spark, data).count()
+    per_file = table.groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) > 0.8 * fx.parts(spark, data) > 20 and max(r["count"] for r in per_file) <= 400
+
+
 def test_column_order():
     from wearline.functions.columns import ordered
 
