@@ -134,6 +134,54 @@ def test_best_splits_first():
     assert estimators.kept_leaves(nodes, 99) == [2, 3, 5, 6]
 
 
+def stepped(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(float(i % 20), float(i // 20 % 9), i * 7919 % 101 / 20 + (3.0 if i % 20 > 11 else 0.0) * (i // 20 % 9) - (4.0 if i // 20 % 9 == 5 else 0.0), i * 31 % 11 == 0) for i in range(3000)]
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, y0 double, stop boolean"))
+
+
+def test_fits_grown_together_are_those_grown_alone(spark):
+    from wearline.plans import boost
+
+    x = stepped(spark)
+    tried = [Boosted(0.3, 6, 7, 20), Boosted(0.3, 3, 16, 20, 50.0), Boosted(0.9, 20, 4, 10)]
+    fits = [boost.Fit(0, np.array([0, 1]), t) for t in tried] + [boost.Fit(0, np.array([1]), tried[0])]
+    bounds = boost.boosted(x, 1, fits)
+    got = boost.predicted(x.select("features", "a", "b", "stop"), bounds, fits, ["a", "b", "stop"]).orderBy("a", "b", "stop").collect()
+    for i, t in enumerate(tried):
+        alone = t.train(x.withColumnRenamed("y0", "label"))
+        assert alone.getNumTrees == len(fits[i].trees) > 1
+        wanted = [r["prediction"] for r in alone.transform(x).orderBy("a", "b", "stop").collect()]
+        assert [r["_p"][i] for r in got] == pytest.approx(wanted, abs=1e-8)
+    assert len({r["_p"][3] for r in got}) <= 9  # one feature of nine values
+
+
+def test_levels_are_written_after_a_block(spark, monkeypatch):
+    from wearline.plans import boost
+
+    found = []
+    for block in (25, 2):
+        monkeypatch.setattr(boost, "BLOCK", block)
+        fits = [boost.Fit(0, np.array([0, 1]), Boosted(0.3, 5, 4, 5))]
+        boost.boosted(stepped(spark), 1, fits)
+        found.append([t.refit.tolist() for t in fits[0].trees])
+    assert len(found[0]) == len(found[1]) > 3 and all(a == pytest.approx(b) for a, b in zip(*found, strict=True))
+
+
+def test_boosted_fits_of_a_grid_share_their_passes(table):
+    """More fits of a grid are no more jobs."""
+    sc, count = table.sparkSession.sparkContext, []
+    train = table.withColumn("target_horizon_days", F.lit(1.0))
+    for n in (1, 6):
+        sc.setJobGroup(f"boosted-{n}", "grid")
+        tried = {f"b{i}": Boosted(0.3, 2, 7, 10, float(i)) for i in range(n)}
+        models.grid(train, table, {"all": ["URA", "IRI", "target_horizon_years", "Toim_lk"]}, "target_next_URA", tried)
+        count.append(len(sc.statusTracker().getJobIdsForGroup(f"boosted-{n}")))
+    sc.setJobGroup("other", "other")
+    assert 0 < count[0] <= count[1] < 1.3 * count[0]
+
+
 def test_grid_tells_candidates_apart(table):
     train = table.withColumn("target_horizon_days", F.lit(1.0))
     features = {"all": ["URA", "IRI", "target_horizon_years", "Toim_lk"]}
