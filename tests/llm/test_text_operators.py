@@ -469,6 +469,50 @@ def test_hot_seeds_give_the_same_passages(spark, monkeypatch):
     assert passages._hot(df.select(F.col("doc_id").alias("doc"), "text"), 8, 16).count() > 2 and spans() == whole
 
 
+def test_passages_beyond_three_earlier_places(spark, monkeypatch):
+    """The only holder of a changed passage lies among holders of its clean run alone, which are first, last and go on alike."""
+    rng = random.Random(21)
+    make = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, due, at = [], {}, 0
+    for _ in range(12):
+        passage, low = make(70), rng.randint(6, 40)
+        run = passage[low : low + 24]
+        changed = {j for j in range(1, 69) if (j < low or j >= low + 24) and j % 6 == 2}
+        other = [f"edit{at}x{j}" if j in changed else w for j, w in enumerate(passage)]
+        for text in (run, run, make(70) + passage + make(70), run, run, run, make(90) + other + make(90)):
+            rows.append((at, " ".join(text if text is not run else make(30) + run + make(30))))
+            at += 1
+        equal = [j not in changed for j in range(70)]
+        due[at - 1] = (90 + low - _reach(equal[:low][::-1]), 90 + low + _reach(equal[low:]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda: {r["doc_id"]: (r["start_word"], r["end_word"]) for r in passages.repeated_passages(df).collect()}
+    assert spans() == due
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    monkeypatch.setattr(passages, "PAIRS", 3)
+    assert spans() == due
+    monkeypatch.setattr(passages, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(passages, "LEAST_HOT", 4)
+    monkeypatch.setattr(passages, "HOT", 1e-9)
+    assert spans() == due
+
+
+def test_pairs_of_surroundings_grow_as_one_pair_does():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for share in (0.02, 0.15, 0.5):
+        base = rng.integers(2, 60, 64)
+        rows = np.where(rng.random((40, 64)) < share, rng.integers(2, 60, (40, 64)), base).astype(np.uint16)
+        sizes = rng.integers(0, 65, 40)
+        rows[np.arange(64) >= sizes[:, None]] = 0
+        length, equal = passages.reach(rows, rows[::-1])
+        for i in range(40):
+            for j in range(40):
+                a, b = rows[i][: sizes[i]], rows[39 - j][: sizes[39 - j]]
+                n = passages._grow(a, b)
+                assert (length[i, j], equal[i, j]) == (n, int((a[:n] == b[:n]).sum()))
+
+
 def test_lone_seeds_grow_as_chains_do():
     import numpy as np
 
