@@ -288,3 +288,29 @@ def test_one_tree_is_the_best_split_of_its_rows():
     assert gains.sum() == pytest.approx((w * (y - np.average(y, weights=w)) ** 2).sum() - error(feature[0], cut[0]))
     leaf = estimators.forest.walk(x, feature, cut, left)
     assert set(leaf) == {1, 2} and value[1] == pytest.approx(np.average(y[leaf == 1], weights=w[leaf == 1]))
+
+
+def test_equal_rows_are_one_row_with_their_number(spark, monkeypatch):
+    x = step_table(spark)
+    want = models.metrics(Forest(20, "all", 5).train(x).transform(x), "label", "prediction").first()
+    monkeypatch.setattr(estimators.forest, "FEW_ROWS", 100)
+    monkeypatch.setattr(estimators.forest, "PART_ROWS", 700)
+    many = x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    model = Forest(20, "all", 25).train(many)  # five times the rows in a leaf
+    parts = model.parts.collect()
+    assert sorted((r["tree"], r["node"]) for r in parts) == [(t, 0) for t in range(20)]  # 3,000 rows are 600, which a task holds: no tree is cut
+    got = models.metrics(model.transform(many), "label", "prediction").first()
+    assert got["rows"] == 3000 and got["rmse"] == pytest.approx(want["rmse"], rel=0.15)
+    monkeypatch.setattr(estimators.forest, "PART_ROWS", 10_000)
+    whole = {r["a"]: r["prediction"] for r in model.transform(x).collect()}
+    monkeypatch.setattr(estimators.forest, "PART_ROWS", 10)
+    assert {r["a"]: r["prediction"] for r in model.transform(x).collect()} == pytest.approx(whole)  # scored by parts of trees
+
+
+def test_copies_in_a_bag_are_poisson_draws():
+    ids = np.arange(200_000)
+    for mean in (1, 2, 50, 3000):
+        drawn = estimators.forest.copies(ids, 3, np.full(len(ids), mean))
+        assert drawn.mean() == pytest.approx(mean, rel=0.01) and drawn.var() == pytest.approx(mean, rel=0.02)
+    mixed = estimators.forest.copies(ids, 3, 1 + 49 * (ids % 2))
+    assert (mixed[::2] == estimators.forest.copies(ids, 3, np.ones(len(ids), int))[::2]).all() and (mixed[1::2] == estimators.forest.copies(ids, 3, np.full(len(ids), 50))[1::2]).all()
