@@ -76,3 +76,15 @@ def test_tuning_stages(spark):
     for stage in ("coarse", "focused"):
         assert min(r["rmse"] for r in found if r["stage"] == stage) == next(r["rmse"] for r in found if r["stage"] == stage and r["is_best"])
     assert len({r["rmse"] for r in found}) > 15
+
+
+def test_grids_state_all_trees(spark, monkeypatch):
+    from wearline.plans import model_queries, models
+
+    asked = []
+    monkeypatch.setattr(models, "grid", lambda *a, **_: asked.append(a[4]))
+    monkeypatch.setattr(models, "grids", lambda *a, **_: (asked.append(a[4]), spark.range(1))[1])
+    model_queries._tuning(None, None)
+    monkeypatch.setattr(model_queries, "_split", lambda *_: (None, None, None))
+    entry.queries()["ml_12_tree_grid"](spark, DATA)
+    assert sorted(e.trees for tried in asked for e in tried.values() if hasattr(e, "trees")) == [100, 250, 300, 350]
