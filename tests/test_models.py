@@ -314,3 +314,37 @@ def test_copies_in_a_bag_are_poisson_draws():
         assert drawn.mean() == pytest.approx(mean, rel=0.01) and drawn.var() == pytest.approx(mean, rel=0.02)
     mixed = estimators.forest.copies(ids, 3, 1 + 49 * (ids % 2))
     assert (mixed[::2] == estimators.forest.copies(ids, 3, np.ones(len(ids), int))[::2]).all() and (mixed[1::2] == estimators.forest.copies(ids, 3, np.full(len(ids), 50))[1::2]).all()
+
+
+def test_forests_of_a_grid_are_the_single_ones(table, monkeypatch):
+    monkeypatch.setattr(estimators.forest, "FEW_ROWS", 100)
+    train = table.withColumn("target_horizon_days", F.lit(1.0)).where("URA is not null")
+    features = {"all": ["URA", "IRI", "target_horizon_years", "Toim_lk"], "few": ["URA", "IRI"]}
+    tried = {"a": Forest(12, "0.5", 5), "b": Forest(5, "all", 20)}
+    want = {(k, t): models.evaluated(models.fit(train, features["all"], "target_next_URA", e, target_type=t), train).first() for k, e in tried.items() for t in ("direct", "delta")}
+
+    def refused(*_, **__):
+        raise AssertionError("a fit of its own")
+
+    with monkeypatch.context() as m:
+        m.setattr(models, "fit_encoded", refused)
+        found = models.grid(train, train, features, "target_next_URA", tried, ("direct", "delta")).collect()
+    assert len(found) == 8
+    for r in found:
+        if r["feature_mixture"] == "all":
+            w = want[r["model"], r["target_type"]]
+            assert r["evaluation_rows"] == w["rows"] and [r["mae"], r["rmse"], r["r2"]] == pytest.approx([w["mae"], w["rmse"], w["r2"]], rel=0.1)
+    monkeypatch.setattr(estimators.forest, "PART_ROWS", 50)  # too many for a task: fitted one by one, with the same result but for the draws
+    again = {(r["model"], r["target_type"], r["feature_mixture"]): r["rmse"] for r in models.grid(train, train, features, "target_next_URA", {"a": tried["a"]}).collect()}
+    assert again["a", "direct", "all"] == pytest.approx(next(r["rmse"] for r in found if (r["model"], r["target_type"], r["feature_mixture"]) == ("a", "direct", "all")), rel=0.2)
+
+
+def test_boosted_fits_count_equal_rows(spark):
+    from wearline.plans import boost
+
+    x, found = stepped(spark), []
+    for times, spec in ((1, Boosted(0.3, 6, 7, 20, 1.0)), (3, Boosted(0.3, 6, 7, 60, 3.0))):
+        fits = [boost.Fit(0, np.array([0, 1]), spec)]
+        boost.boosted(x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))), 1, fits)
+        found.append([t.refit.tolist() for t in fits[0].trees])
+    assert len(found[0]) == len(found[1]) > 1 and all(a == pytest.approx(b) for a, b in zip(*found, strict=True))
