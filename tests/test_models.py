@@ -348,3 +348,31 @@ def test_boosted_fits_count_equal_rows(spark):
         boost.boosted(x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))), 1, fits)
         found.append([t.refit.tolist() for t in fits[0].trees])
     assert len(found[0]) == len(found[1]) > 1 and all(a == pytest.approx(b) for a, b in zip(*found, strict=True))
+
+
+def test_permutation_importance_of_boosted_trees_is_scored_in_arrays(table, monkeypatch):
+    features = ["URA", "IRI", "target_horizon_years", "Toim_lk"]
+    train = table.withColumn("unseen", F.col("Toim_lk")).where("Toim_lk != 'c'")
+    fitted = models.fit(train, features, "target_next_URA", Boosted(0.3, 8, 9, 10), target_type="delta")
+    rows = table.where("URA is not null")  # with a category that no tree knows
+    scored = rows.transform(fitted.predict).orderBy("Segment_ID").collect()
+    got = {r["feature"]: r for r in models.permutation_importance(fitted, rows, features, ["Segment_ID"], 2).collect()}
+    assert set(got) == set(features) and got["URA"]["rmse_increase"] > 0.5
+    import hashlib
+
+    plain = [r.asDict() for r in rows.collect()]
+    rmse = lambda out: np.sqrt(np.mean([(r["target_next_URA"] - r["prediction"]) ** 2 for r in out]))
+    for f in ("URA", "Toim_lk"):
+        found = []
+        for k in range(2):
+            order = sorted(plain, key=lambda r: hashlib.md5(f"{1000 + k}|{r['Segment_ID']}".encode()).hexdigest())
+            found.append(rmse(fitted.predict(rows.sparkSession.createDataFrame([{**r, f: order[i - 1][f]} for i, r in enumerate(order)], rows.schema)).collect()) - rmse(scored))
+        assert got[f]["rmse_increase"] == pytest.approx(np.mean(found), abs=1e-9) and got[f]["std"] == pytest.approx(np.std(found), abs=1e-9)
+
+    def refused(*_, **__):
+        raise AssertionError("rows of every feature and repeat are encoded anew")
+
+    base = models.evaluated(fitted, rows)
+    monkeypatch.setattr(models, "evaluated", lambda *_: base)
+    monkeypatch.setattr(models.Fitted, "predict", refused)
+    assert {r["feature"] for r in models.permutation_importance(fitted, rows, features, ["Segment_ID"], 1).collect()} == set(features)
