@@ -376,3 +376,12 @@ def test_permutation_importance_of_boosted_trees_is_scored_in_arrays(table, monk
     monkeypatch.setattr(models, "evaluated", lambda *_: base)
     monkeypatch.setattr(models.Fitted, "predict", refused)
     assert {r["feature"] for r in models.permutation_importance(fitted, rows, features, ["Segment_ID"], 1).collect()} == set(features)
+
+
+def test_importances_count_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(estimators.forest, "FEW_ROWS", 100)
+    monkeypatch.setattr(estimators.forest, "PART_ROWS", 700)
+    x = step_table(spark)
+    one, many = (Forest(10, "all", 5 * k).train(x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))) for k in (1, 5))
+    assert one.parts.count() == many.parts.count() == 10  # the copies add no parts
+    assert many.featureImportances.toArray() == pytest.approx(one.featureImportances.toArray(), abs=0.1) and sum(many.featureImportances) == pytest.approx(1)
