@@ -88,3 +88,24 @@ def test_grids_state_all_trees(spark, monkeypatch):
     monkeypatch.setattr(model_queries, "_split", lambda *_: (None, None, None))
     entry.queries()["ml_12_tree_grid"](spark, DATA)
     assert sorted(e.trees for tried in asked for e in tried.values() if hasattr(e, "trees")) == [100, 250, 300, 350]
+
+
+def test_final_candidates_state_all_trees(spark, monkeypatch):
+    from wearline.plans import model_queries, models
+
+    asked = []
+
+    class Enough(Exception):
+        pass
+
+    def seen(*a, **_):
+        asked.append(a[4])
+        if len(asked) == 2:
+            raise Enough
+        return spark.range(1)
+
+    monkeypatch.setattr(models, "grid", seen)
+    monkeypatch.setattr(model_queries, "_split", lambda *_: (None, None, None))
+    with pytest.raises(Enough):
+        entry.queries()["ml_14_16_17_src_04_snk_03_04_final_model"](spark, DATA)
+    assert [e.trees for e in asked[1].values() if hasattr(e, "trees")] == [100]
